@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import piece_bpe, quality_classifier, simhash, token_count
+from tessera.llm import piece_bpe, quality_classifier, simhash, substring_dedup, suffix_dedup, token_count
 from tessera.llm.common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents")).drop("kept")
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeated_words(table(spark, folder, "documents")).drop("kept")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -29,7 +37,9 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op4_quality_classifier": op4_quality_classifier,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
