@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import piece_bpe, quality_classifier, simhash, substring_dedup, suffix_dedup, token_count
+from tessera.llm import piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
 from tessera.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents")).drop("kept")
 
 
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -37,7 +45,9 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_url_filters": op3_url_filters,
         "op4_quality_classifier": op4_quality_classifier,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
