@@ -16,7 +16,7 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents")).drop("kept")
+    return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"), texts=False).drop("kept")
 
 
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.remove_repeated_words(table(spark, folder, "documents")).drop("kept")
+    return substring_dedup.remove_repeated_words(table(spark, folder, "documents"), texts=False).drop("kept")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,9 +9,11 @@ A symbol is a byte or a word. A window is ``width`` symbols of one document.
   sequence of its phrases, about two for every ``width - gram`` symbols.
 * Phrases are looked up by anchor and content. A phrase that occurs again is
   repeated as a whole. One that does not, but whose anchor occurs in another
-  phrase, may repeat in part: its windows are compared one by one with those of
-  the anchor's other phrases, one of each content. Any other phrase has no
-  repeated window.
+  phrase, may repeat in part and stays open, as does one phrase of each repeated
+  content of that anchor. Any other phrase has no repeated window.
+* Open phrases with their text meet by anchor, and their windows are compared
+  one by one. The windows of an anchor with more than ``HOT`` open phrases are
+  dealt by their own content instead.
 
 A worker merges equal entries of a batch before they leave it, so a key sends
 one entry from each batch however often it occurs, and entries that are settled
@@ -42,7 +44,11 @@ GATHER = 500_000
 #: Kinds of entries: phrase by anchor, settled span, phrase by content, witness; NULL_ID marks a null doc_id.
 BY_ANCHOR, SETTLED, BY_CONTENT, WITNESS, NULL_ID = 0, 1, 2, 3, 128
 FIELDS = (("kind", np.uint8), ("times", np.uint8), ("n", np.uint32), ("pos", np.uint32), ("a", U), ("c", U), ("doc", np.int64), ("h", np.int64))
-OUT = "doc_id long, h long, pos long, n long, settled boolean"
+#: Open phrases of one anchor that may meet in one bucket.
+HOT = 2_000
+OUT = "doc_id long, h long, pos long, n long, settled boolean, a long"
+OPEN = "bucket long, entries binary, doc_id long, h long, pos long, ctx binary"
+SPANS = "doc_id long, h long, span long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -162,10 +168,10 @@ def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def phrases(block: Block, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, first symbol and number of windows of each phrase of a block."""
+    """Anchor hash, content hash, first symbol, number of windows and anchor's place of each phrase of a block."""
     n = len(block.symbols)
     if n < width:
-        return (np.empty(0, U),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, U),) * 2 + (np.empty(0, np.int64),) * 3
     roll = Rolling(block.symbols)
     grams = mix(roll.all(gram))
     low = U((1 << 24) - 1)
@@ -176,7 +182,7 @@ def phrases(block: Block, width: int, gram: int) -> tuple[np.ndarray, ...]:
     stop = np.flatnonzero(within & np.r_[new[1:] | ~within[1:], True]) + 1
     at = anchor[first]
     content = mix(roll.runs(first, stop + width - 1) ^ mix((stop - first).astype(U) << U(32) | (at - first).astype(U)))
-    return grams[at], content, first, stop - first
+    return grams[at], content, first, stop - first, at - first
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,9 +259,9 @@ def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, bucke
         for b in batches:
             doc, h, null = _entries(b, 0, b.num_rows)
             for block in blocks(b.column("t").to_pylist(), width):
-                a, c, first, n = phrases(block, width, gram)
+                a, c, first, n, place = phrases(block, width, gram)
                 row = block.row[first]
-                held.append({"kind": null[row], "times": np.ones(len(a), np.uint8), "n": n, "pos": block.pos[first], "a": a, "c": c, "doc": doc[row], "h": h[row]})
+                held.append({"kind": null[row], "times": np.ones(len(a), np.uint8), "n": place << 16 | n, "pos": block.pos[first], "a": a, "c": c, "doc": doc[row], "h": h[row]})
                 count += len(a)
                 if count >= GATHER:
                     yield _send(held, buckets, None)
@@ -266,48 +272,76 @@ def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, bucke
     return docs.mapInArrow(run, "bucket long, entries binary")
 
 
-def window_entries(found: DataFrame, blocks: Blocks, width: int, buckets: int, lead: Callable, bucket_of: Callable) -> DataFrame:
-    """Entries of all windows in the stretches that are to be compared (column ``open``)."""
+@dataclass
+class Windows:
+    """All windows of some open phrases: phrase, place in it, and what the windows are compared by."""
+
+    row: np.ndarray
+    pos: np.ndarray
+    a: np.ndarray
+    c: np.ndarray
+
+
+def windows_of(contexts: list[bytes], blocks: Blocks, width: int, gram: int) -> Windows:
+    parts = []
+    for block in blocks(contexts, width):
+        n = len(block.symbols) - width + 1
+        if n < 1:
+            continue
+        at = np.flatnonzero(block.row[:n] == block.row[width - 1 :])
+        roll = Rolling(block.symbols)
+        parts.append((block.row[at], block.pos[at], mix(roll.runs(at, at + gram)), mix(roll.runs(at, at + width))))
+    if not parts:
+        return Windows(*(np.empty(0, np.int64),) * 2, *(np.empty(0, U),) * 2)
+    return Windows(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, buckets: int, cut: Callable, bucket_of: Callable) -> DataFrame:
+    """Open phrases (column ``open``) with their text, or the entries of their windows where the anchor is hot.
+
+    ``cut`` gives the text of symbols lo to hi of a document; ``bucket_of`` the
+    buckets of phrases by anchor hash and by the text from the anchor on.
+    """
+
+    def rows_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, h, null = _entries(b, 0, b.num_rows)
+        cold, hot = [], []
+        for i, (t, places) in enumerate(zip(b.column("t").to_pylist(), b.column("open").to_pylist())):
+            text = cut(t)
+            for x in places:
+                n, place = x["n"] & 0xFFFF, x["n"] >> 16
+                lo, hi = x["pos"], x["pos"] + n + width - 1
+                (hot if x["hot"] else cold).append((i, lo, text(lo, hi), x["a"], text(lo + place, hi)[:8]))
+        if cold:
+            row, pos, ctx, a, ahead = zip(*cold)
+            row = np.array(row)
+            by = bucket_of(np.array(a, np.int64).view(U), ahead)
+            ids = pa.array(doc[row], pa.int64(), mask=null[row] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(by.astype(np.int64)), pa.nulls(len(row), pa.binary()), ids, pa.array(h[row]), pa.array(pos, pa.int64()), pa.array(ctx, pa.binary())], OPEN_NAMES)
+        if hot:
+            row, pos, ctx, *_ = zip(*hot)
+            row, pos = np.array(row), np.array(pos)
+            w = windows_of(list(ctx), blocks, width, gram)
+            row, pos = row[w.row], pos[w.row] + w.pos
+            rec = {"kind": null[row], "times": np.ones(len(row), np.uint8), "n": np.ones(len(row), np.uint32), "pos": pos, "a": w.a, "c": w.c, "doc": doc[row], "h": h[row]}
+            sent = _send([rec], buckets, lambda r: r["c"] % U(buckets))
+            none = pa.nulls(sent.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([sent.column(0), sent.column(1), none, none, none, pa.nulls(sent.num_rows, pa.binary())], OPEN_NAMES)
 
     def run(batches):
-        held, count = [], 0
         for b in batches:
-            doc, h, null = _entries(b, 0, b.num_rows)
-            stretches = b.column("open")
-            places = np.asarray(pc.struct_field(stretches.values, "pos")), np.asarray(pc.struct_field(stretches.values, "n"))
-            bounds = np.asarray(stretches.offsets)
-            texts = b.column("t").to_pylist()
-            for block in blocks(texts, width):
-                n = len(block.symbols) - width + 1
-                if n < 1:
-                    continue
-                wanted = np.zeros(n, bool)
-                for row in np.unique(block.row[:n]):
-                    own = slice(bounds[row], bounds[row + 1])
-                    begin = np.searchsorted(block.row, row)
-                    shift = begin - block.pos[begin]
-                    for lo, size in zip(places[0][own] + shift, places[1][own]):
-                        wanted[max(0, lo) : max(0, min(lo + size, n))] = True
-                wanted &= block.row[:n] == block.row[width - 1 :]
-                at = np.flatnonzero(wanted)
-                if not len(at):
-                    continue
-                roll = Rolling(block.symbols)
-                row = block.row[at]
-                held.append({"kind": null[row], "times": np.ones(len(at), np.uint8), "n": np.ones(len(at), np.uint32), "pos": block.pos[at], "a": lead(block, roll, at), "c": mix(roll.runs(at, at + width)), "doc": doc[row], "h": h[row]})
-                count += len(at)
-                if count >= GATHER:
-                    yield _send(held, buckets, bucket_of)
-                    held, count = [], 0
-        if count:
-            yield _send(held, buckets, bucket_of)
+            for lo in range(0, b.num_rows, 1000):
+                yield from rows_of(b.slice(lo, 1000))
+
+    return found.mapInArrow(run, OPEN)
+
 
-    return found.mapInArrow(run, "bucket long, entries binary")
+OPEN_NAMES = [x.split()[0] for x in OPEN.split(", ")]
 
 
-def _out(rec: dict[str, np.ndarray], at: np.ndarray, settled: np.ndarray) -> pa.Table:
+def _out(rec: dict[str, np.ndarray], at: np.ndarray, settled: bool) -> pa.Table:
     null = rec["kind"][at] >= NULL_ID
-    return pa.table({"doc_id": pa.array(rec["doc"][at], pa.int64(), mask=null), "h": rec["h"][at], "pos": rec["pos"][at].astype(np.int64), "n": rec["n"][at].astype(np.int64), "settled": settled})
+    return pa.table({"doc_id": pa.array(rec["doc"][at], pa.int64(), mask=null), "h": rec["h"][at], "pos": rec["pos"][at].astype(np.int64), "n": rec["n"][at].astype(np.int64), "settled": np.full(len(at), settled), "a": rec["a"][at].view(np.int64)})
 
 
 def judge_phrases(t: pa.Table) -> pa.Table:
@@ -333,22 +367,40 @@ def judge_phrases(t: pa.Table) -> pa.Table:
         still.append(at[(~again & several & ~told)[group]])
         still.append(at[begin[again & several]])
     done, still = np.concatenate(done), np.concatenate([*still, np.empty(0, np.int64)]).astype(np.int64)
-    return pa.concat_tables([_out(rec, done, np.ones(len(done), bool)), _out(rec, still, np.zeros(len(still), bool))])
-
-
-def judge_windows(t: pa.Table, order_of: Callable = _groups) -> pa.Table:
-    """Windows of a bucket that occur more than once."""
-    rec = unpack(t["entries"].to_pylist())
-    kind = rec["kind"] & np.uint8(127)
-    own = np.flatnonzero(kind != SETTLED)
-    order, begin, group = order_of(rec["a"][own], rec["c"][own])
-    done = [np.flatnonzero(kind == SETTLED)]
-    if len(own):
-        total = np.add.reduceat(rec["times"][own][order].astype(np.int64), begin)
+    return pa.concat_tables([_out(rec, done, True), _out(rec, still, False)])
+
+
+def judge_open(t: pa.Table, blocks: Blocks, width: int, gram: int, equal: Callable) -> pa.Table:
+    """Spans of the windows that occur more than once among a bucket's open phrases and window entries.
+
+    ``equal`` groups the windows of whole phrases: order, begin and group.
+    """
+    out = []
+    whole = t.filter(pc.is_valid(t["ctx"]))
+    if whole.num_rows:
+        contexts = whole["ctx"].to_pylist()
+        w = windows_of(contexts, blocks, width, gram)
+        order, begin, group = equal(contexts, w)
+        again = np.sort(order[(np.diff(np.r_[begin, len(order)]) > 1)[group]])  # by phrase and place
+        row, pos = w.row[again], w.pos[again]
+        new = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)][: len(again)]
+        first = np.flatnonzero(new)
+        n = np.diff(np.r_[first, len(again)])
+        at = row[first]
+        span = np.asarray(whole["pos"])[at] + pos[first] << 24 | n
+        out.append(pa.table({"doc_id": whole["doc_id"].take(pa.array(at)), "h": whole["h"].take(pa.array(at)), "span": span}))
+    blobs = t.filter(pc.is_valid(t["entries"]))["entries"].to_pylist()
+    if blobs:
+        rec = unpack(blobs)
+        kind = rec["kind"] & np.uint8(127)
+        own = np.flatnonzero(kind != SETTLED)
+        order, begin, group = _groups(rec["a"][own], rec["c"][own])
+        total = np.add.reduceat(rec["times"][own][order].astype(np.int64), begin) if len(own) else np.empty(0)
         at = own[order]
-        done.append(at[(total > 1)[group] & (rec["times"][at] == 1)])
-    done = np.concatenate(done)
-    return _out(rec, done, np.ones(len(done), bool))
+        at = np.concatenate([np.flatnonzero(kind == SETTLED), at[(total > 1)[group] & (rec["times"][at] == 1)]])
+        one = _out(rec, at, True)
+        out.append(pa.table({"doc_id": one["doc_id"], "h": one["h"], "span": np.asarray(one["pos"]) << 24 | 1}))
+    return pa.concat_tables(out)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -356,33 +408,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw_text()).alias("h"), raw_text().alias("t"))
 
 
-def by_document(judged: DataFrame, name: str) -> DataFrame:
-    return judged.groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "n")).alias(name))
-
-
 def attach(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Join by document; what was found is the built side, so texts are not sorted."""
     on = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["h"] == found["h"])
     return texts.join(found.hint("shuffle_hash"), on, how).drop(found["doc_id"]).drop(found["h"])
 
 
-def repeated(docs: DataFrame, blocks: Blocks, width: int, gram: int, lead: Callable, bucket_of: Callable, order_of: Callable = _groups) -> DataFrame:
-    """(doc_id, h, spans): the starts of repeated windows of each document that has any, as runs (pos, n)."""
+def by_hash(buckets: int) -> Callable:
+    """Buckets of phrases by the hash of their anchor."""
+    return lambda a, ahead: a % U(buckets)
+
+
+def equal_hashes(contexts: list[bytes], w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _groups(w.a, w.c)
+
+
+def repeated(docs: DataFrame, blocks: Blocks, width: int, gram: int, cut: Callable, bucket_of: Callable | None = None, equal: Callable = equal_hashes) -> DataFrame:
+    """(doc_id, h, spans): the starts of repeated windows of each document that has any.
+
+    A span is a long: the first start, shifted by 24 bits, and the number of starts.
+    """
     buckets = 4 * shuffle_parts(docs.sparkSession)
     texts = keyed(docs)
     sent = phrase_entries(texts, blocks, width, gram, buckets)
     judged = stored(sent.groupBy("bucket").applyInArrow(judge_phrases, OUT))
-    open_ = by_document(judged.where("not settled"), "open")
-    windows = window_entries(attach(texts, open_, "inner"), blocks, width, buckets, lead, bucket_of)
-    compared = windows.groupBy("bucket").applyInArrow(lambda t: judge_windows(t, order_of), OUT)
-    return by_document(judged.where("settled").union(compared), "spans")
+    still = judged.where("not settled")
+    hot = still.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot"))
+    still = still.join(hot, "a", "left").select("doc_id", "h", F.struct("pos", "n", "a", F.coalesce("hot", F.lit(False)).alias("hot")).alias("phrase"))
+    found = attach(texts, still.groupBy("doc_id", "h").agg(F.collect_list("phrase").alias("open")), "inner")
+    sent = open_phrases(found, blocks, width, gram, buckets, cut, bucket_of or by_hash(buckets))
+    compared = sent.groupBy("bucket").applyInArrow(lambda t: judge_open(t, blocks, width, gram, equal), SPANS)
+    settled = judged.where("settled").select("doc_id", "h", F.shiftleft("pos", 24).bitwiseOR(F.col("n").bitwiseAND(F.lit(0xFFFF))).alias("span"))
+    return settled.union(compared).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
 
 
-def covered(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
+def covered(spans: list[int] | None, width: int) -> list[tuple[int, int]]:
     """Maximal runs of symbols under the windows of ``spans``: (begin, end) in order."""
     out: list[tuple[int, int]] = []
-    for lo, n in sorted((s["pos"], s["n"]) for s in spans or ()):
-        hi = lo + n + width - 1
+    for x in sorted(spans or ()):
+        lo, hi = x >> 24, (x >> 24) + (x & 0xFFFFFF) + width - 1
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(hi, out[-1][1])
         else:

@@ -14,30 +14,26 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import raw_text, shuffle_parts
-from tessera.llm.repeats import U, Block, Rolling, attach, covered, keyed, mix, repeated, word_blocks
+from tessera.llm.common import raw_text
+from tessera.llm.repeats import attach, covered, keyed, repeated, word_blocks, word_bounds
 
 #: Words of a window, and of an anchor.
 WIDTH = 35
 GRAM = 8
 
 
-def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, h, spans) of documents with repeated windows, in words."""
-    buckets = U(4 * shuffle_parts(docs.sparkSession))
-
-    def lead(block: Block, roll: Rolling, at: np.ndarray) -> np.ndarray:
-        return mix(roll.runs(at, at + gram))
+def _by_words(t: bytes):
+    start, end = word_bounds(t)
+    return lambda lo, hi: t[start[lo] : end[hi - 1]]
 
-    def bucket_of(rec: dict) -> np.ndarray:
-        return rec["c"] % buckets
 
-    return repeated(docs, word_blocks, width, gram, lead, bucket_of)
+def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(doc_id, h, spans) of documents with repeated windows, in words."""
+    return repeated(docs, word_blocks, width, gram, _by_words)
 
 
 def _cut(text: bytes, spans, width: int) -> tuple[int, int, bytes]:
@@ -51,9 +47,10 @@ def _cut(text: bytes, spans, width: int) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words joined by one space) of every row.
 
+    Without ``texts``, kept is null.
     A word goes if a window over it also starts elsewhere in the corpus, the same
     document included. Null and empty texts have no words. Repeated rows are
     copies of each other. Null doc_ids are kept; no rows give no rows; other
@@ -63,10 +60,12 @@ def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
 
     def run(batches):
         for b in batches:
-            rows = [_cut(t, s, width) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            n, gone, kept = zip(*rows) if rows else ((),) * 3
-            sha = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
+                n, gone, kept = zip(*[_cut(t, s, width) for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist())])
+                sha = [hashlib.sha256(k).hexdigest() for k in kept]
+                text = pa.array([k.decode() for k in kept], pa.string()) if texts else pa.nulls(len(kept), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), text], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
@@ -85,17 +84,20 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 
 
 def _apply(joined: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    at, spans_at = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, spans_at = names.index("text"), len(names)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            for i, s in enumerate(b.column(spans_at).to_pylist()):
-                if s:
-                    texts[i] = _cut(texts[i].encode(), s, width)[2].decode()
-            columns = b.columns[:spans_at]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 250):
+                b = whole.slice(lo, 250)
+                texts = b.column(at).to_pylist()
+                for i, s in enumerate(b.column(spans_at).to_pylist()):
+                    if s:
+                        texts[i] = _cut(texts[i].encode(), s, width)[2].decode()
+                columns = b.columns[:spans_at]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out

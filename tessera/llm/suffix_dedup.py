@@ -2,16 +2,19 @@
 
 Suffixes count by their first ``WIDTH`` bytes. Those that may have an equal are
 first narrowed down (see ``repeats``): stretches that repeat as a whole need no
-sort, and suffixes whose anchor occurs once have no equal. The others are
-range-partitioned by splitters sampled from the leading bytes. Each bucket is
-sorted by multikey quicksort, eight bytes to a character, and neighbours are
-compared. Splitters cut between leading strings, never inside one, so suffixes
-that are equal share a bucket and boundaries hide none.
+sort, and suffixes whose anchor occurs once have no equal. The others go, with
+the stretch of text they start in, to buckets that are range-partitioned by
+splitters sampled from leading characters, a character being the eight bytes from
+the stretch's anchor on. Each bucket sorts the suffixes of its stretches by
+multikey quicksort, eight bytes to a character, and compares neighbours.
+Splitters cut between characters, never inside one, and equal suffixes have
+equal anchors, so they share a bucket and boundaries hide none.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import raw_text, shuffle_parts
-from tessera.llm.repeats import U, Block, Rolling, attach, byte_blocks, covered, keyed, repeated
+from tessera.llm.repeats import U, Windows, attach, byte_blocks, covered, keyed, repeated
 
 #: Bytes that make a suffix count as repeated, and bytes of an anchor.
 WIDTH = 200
@@ -53,66 +56,80 @@ def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
     return np.unique(seen[np.linspace(0, len(seen) - 1, buckets + 1).astype(int)[1:-1]])
 
 
-def multikey_order(*characters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Multikey quicksort: order by the first character, then only ties by the next.
+def multikey_order(first: np.ndarray, following: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multikey quicksort: order by the first character, then only ties by the next, and so on.
 
-    Gives the order, the begin of each group of equals, and each entry's group.
+    ``following`` maps entries to their next character. Gives the order, the begin
+    of each group of equals, and each entry's group.
     """
-    n = len(characters[0])
-    order = np.argsort(characters[0], kind="quicksort")
-    lead = characters[0][order]
+    n = len(first)
+    order = np.argsort(first, kind="quicksort")
+    lead = first[order]
     new = np.r_[True, lead[1:] != lead[:-1]][:n]
-    for key in characters[1:]:
+    for character in following:
         begin = np.flatnonzero(new)
         size = np.diff(np.r_[begin, n])
-        tied = np.repeat(size > 1, size)
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(np.repeat(size > 1, size))
         if not len(at):
             break
         group = (np.cumsum(new) - 1)[at]
-        ids = order[at]
-        inner = np.lexsort((key[ids], group))
-        order[at] = ids = ids[inner]
-        k, g = key[ids], group[inner]
+        key = character(order[at])
+        inner = np.lexsort((key, group))
+        order[at] = order[at][inner]
+        k, g = key[inner], group[inner]
         new[at] = np.r_[True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])]
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _whole(t: bytes):
+    return lambda lo, hi: t[lo:hi]
+
+
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, spans) of documents with repeated byte strings."""
     cuts = splitters(docs, 4 * shuffle_parts(docs.sparkSession))
 
-    def lead(block: Block, roll: Rolling, at: np.ndarray) -> np.ndarray:
-        return leading(block.raw, at)
+    def bucket_of(a: np.ndarray, ahead: tuple[bytes, ...]) -> np.ndarray:
+        lead = np.frombuffer(b"".join([x.ljust(8, b"\0") for x in ahead]), ">u8").astype(U)
+        return np.searchsorted(cuts, lead, side="right")
 
-    def bucket_of(rec: dict) -> np.ndarray:
-        return np.searchsorted(cuts, rec["a"], side="right").astype(U)
+    def equal(contexts: list[bytes], w: Windows):
+        raw = np.frombuffer(b"".join([*contexts, bytes(8)]), np.uint8)
+        sizes = np.array([len(x) for x in contexts])
+        at = (np.cumsum(sizes) - sizes)[w.row] + w.pos
+        last = max(0, width - 8)
+        places = [*range(8, last, 8), last] if last else []
+        following = [lambda e, k=k: leading(raw, at[e] + k) for k in places]
+        first = leading(raw, at) if width >= 8 else leading(raw, at) >> U(8 * (8 - width))
+        return multikey_order(first, following)
 
-    return repeated(docs, byte_blocks, width, gram, lead, bucket_of, multikey_order)
+    return repeated(docs, byte_blocks, width, gram, _whole, bucket_of, equal)
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of ``docs``.
 
+    Without ``texts``, kept is null.
     A byte goes if a ``width``-byte string over it also starts elsewhere in the
     corpus, the same document included. Null and empty texts keep no bytes.
     Repeated rows are copies of each other and go whole if long enough. Null
     doc_ids are kept; no rows give no rows; other columns are ignored.
     """
-    texts = keyed(docs)
-    whole = attach(texts, repeated_bytes(docs, width, gram), "left").select("doc_id", "t", "spans")
+    whole = attach(keyed(docs), repeated_bytes(docs, width, gram), "left").select("doc_id", "t", "spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                runs, kept, at = covered(spans, width), [], 0
-                for lo, hi in runs:
-                    kept.append(t[at:lo])
-                    at = hi
-                kept = b"".join([*kept, t[at:]])
-                rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-            n, gone, parts, sha, kept = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for lo in range(0, b.num_rows, 250):
+                part, rows = b.slice(lo, 250), []
+                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    runs, kept, at = covered(spans, width), [], 0
+                    for begin, end in runs:
+                        kept.append(t[at:begin])
+                        at = end
+                    kept = b"".join([*kept, t[at:]])
+                    rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if texts else None))
+                n, gone, parts, sha, kept = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], names)
 
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
