@@ -1,8 +1,63 @@
-"""A corpus pipeline of five stages, each one operator of ``tessera.llm``."""
+"""A corpus pipeline: five stages over ``documents``, each one operator of ``tessera.llm``.
 
-STAGES = []
+A stage is a function of (spark, docs, folder): ``docs`` is what its predecessor
+kept, ``folder`` holds the other tables. All but the last return the columns of
+documents. A text that loses passages is its kept words joined by one space, and
+n_chars follows it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, piece_bpe, quality_classifier, simhash, substring_dedup
+from tessera.llm.common import stored, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the nearest-neighbour classifier rejects go."""
+    return quality_classifier.accepted(docs, table(spark, folder, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Passages that occur more than once are cut out; no document goes."""
+    return substring_dedup.without_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, folder, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text that they decode to."""
+    coded = piece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.when(F.col("n_tokens") > 0, F.split("ids", ",").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    return coded.select("doc_id", "n_tokens", ids.alias("ids"), "decoded")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", keep_one_of_each),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("sentencepiece", encode),
+]
+
+#: Nearest-neighbour scores and fingerprints are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what each returns is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
+from tessera.llm import decontaminate, html_extract, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
 from tessera.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_text(table(spark, folder, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, folder, "documents"), texts=False).drop("kept")
 
@@ -43,16 +47,22 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_url_filters": op3_url_filters,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_html_extraction": op5_html_extraction,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
