@@ -206,7 +206,7 @@ def run_id(name: Column, at: Column) -> Column:
 
 
 def four_decimals(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", x), F.lit("n/a"))
+    return F.when(x.isNotNull(), F.format_string("%.4f", x)).otherwise("n/a")
 
 
 def preview(text: Column, limit: int) -> Column:
