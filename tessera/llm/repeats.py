@@ -46,6 +46,8 @@ BY_ANCHOR, SETTLED, BY_CONTENT, WITNESS, NULL_ID = 0, 1, 2, 3, 128
 FIELDS = (("kind", np.uint8), ("times", np.uint8), ("n", np.uint32), ("pos", np.uint32), ("a", U), ("c", U), ("doc", np.int64), ("h", np.int64))
 #: Open phrases of one anchor that may meet in one bucket.
 HOT = 2_000
+#: Hot anchors that are broadcast at most, 16 MB; with more they are joined by a shuffle.
+BROADCAST_HOT = 1_000_000
 OUT = "doc_id long, h long, pos long, n long, settled boolean, a long"
 OPEN = "bucket long, entries binary, doc_id long, h long, pos long, ctx binary"
 SPANS = "doc_id long, h long, span long"
@@ -433,8 +435,8 @@ def repeated(docs: DataFrame, blocks: Blocks, width: int, gram: int, cut: Callab
     sent = phrase_entries(texts, blocks, width, gram, buckets)
     judged = stored(sent.groupBy("bucket").applyInArrow(judge_phrases, OUT))
     still = judged.where("not settled")
-    hot = still.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot"))
-    still = still.join(hot, "a", "left").select("doc_id", "h", F.struct("pos", "n", "a", F.coalesce("hot", F.lit(False)).alias("hot")).alias("phrase"))
+    hot = stored(still.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot")))
+    still = still.join(F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot, "a", "left").select("doc_id", "h", F.struct("pos", "n", "a", F.coalesce("hot", F.lit(False)).alias("hot")).alias("phrase"))
     found = attach(texts, still.groupBy("doc_id", "h").agg(F.collect_list("phrase").alias("open")), "inner")
     sent = open_phrases(found, blocks, width, gram, buckets, cut, bucket_of or by_hash(buckets))
     compared = sent.groupBy("bucket").applyInArrow(lambda t: judge_open(t, blocks, width, gram, equal), SPANS)
