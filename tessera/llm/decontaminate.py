@@ -49,7 +49,7 @@ def template_tokens(text: Column) -> Column:
     """Tokens, one for one with ``raw_tokens``: placeholders, and other words in lower case."""
     numbers = F.regexp_replace(text, rf"(?<!{_LETTER}|\p{{N}}[.,])\p{{N}}{_LETTER}*(?:(?<=\p{{N}})[.,]\p{{N}}{_LETTER}*)*", NUMBER)
     names = F.regexp_replace(numbers, rf"(?<!{_LETTER})\p{{Lu}}{_LETTER}*", NAME)
-    units = F.regexp_replace(F.lower(names), rf"(?<={NUMBER}[  -])(?:{'|'.join(UNITS)})(?!{_LETTER})", UNIT)
+    units = F.regexp_replace(F.lower(names), rf"(?<={NUMBER}[^\p{{L}}\p{{N}}]{{1,3}})(?:{'|'.join(UNITS)})(?!{_LETTER})", UNIT)
     return raw_tokens(units)
 
 

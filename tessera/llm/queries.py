@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html_extract, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
+from tessera.llm import decontaminate, html_extract, oracle, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
 from tessera.llm.common import table
 
 
@@ -67,4 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where there is any; the other queries are tested against brute force."""
+    return {
+        "op1_quality_rules": oracle.quality_sql(),
+        "op2_suffix_dedup": oracle.suffix_sql(),
+        "op6_substring_dedup": oracle.substring_sql(),
+        "op10_benchmark_decontamination": oracle.decontamination_sql(),
+    }

@@ -144,8 +144,9 @@ def frequent_pieces(docs: DataFrame, path: str) -> dict[str, int]:
     """Token counts of the commonest short pre-tokens of a bounded sample; it decides speed only."""
     rows = docs.select(F.substring(text_of(), 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS).collect()
     seen: Counter = Counter()
+    special = _tokenizer(path).special
     for row in rows:
-        seen.update(x for x in pieces(row["t"]) if len(x) <= LONGEST)
+        seen.update(x for x in pieces(row["t"]) if len(x) <= LONGEST and not any(s in x for s in special))
     names = [x for x, _ in seen.most_common(FREQUENT)]
     return dict(zip(names, _tokenizer(path).encode(names)))
 
