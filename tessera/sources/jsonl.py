@@ -38,32 +38,32 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, path: str, schema: str, rules: list[schemas.Rule], columns: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
-    """Every line that is not blank with its fields, ``error`` (null if valid) and ``raw_text``."""
-    body = F.col("raw_text")
-    rows = lines(spark, path).where(~blank(F.col("text"))).select("file", "line_no", strip(F.col("text")).alias("raw_text"))
+    """Every line that is not blank: file, ord (line number), fields, ``_line`` and ``_error`` (null if valid)."""
+    body = F.col("_line")
+    rows = lines(spark, path).where(~blank(F.col("text"))).select("file", "line_no", strip(F.col("text")).alias("_line"))
     full = f"{schema}, _corrupt string"
     rows = rows.withColumn("r", F.from_json(body, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     not_object = F.try_parse_json(body).isNull() | ~body.startswith("{")
-    rows = rows.select("file", F.col("line_no").alias("ord"), "raw_text", not_object.alias("_bad"), "r.*")
+    rows = rows.select("file", F.col("line_no").alias("ord"), "_line", not_object.alias("_bad"), "r.*")
     if columns:
         rows = rows.withColumns(columns(body))
     broken = F.when(F.col("_bad"), "not a JSON object").when(F.col("_corrupt").isNotNull(), "a field has another type")
     for rule, message in rules:
         broken = broken.when(rule, message)
-    return rows.withColumn("error", broken).drop("_bad", "_corrupt")
+    return rows.withColumn("_error", broken).drop("_bad", "_corrupt")
 
 
 def strict(rows: DataFrame) -> DataFrame:
     """Valid rows; an invalid one is an error at run time that names the file and line."""
-    where = F.concat(F.col("file"), F.lit(":"), F.col("ord").cast("string"), F.lit(": "), F.col("error"))
-    checked = rows.withColumn("ord", F.when(F.col("error").isNotNull(), F.raise_error(where).cast("bigint")).otherwise(F.col("ord")))
-    return checked.drop("file", "raw_text", "error")
+    where = F.concat(F.col("file"), F.lit(":"), F.col("ord").cast("string"), F.lit(": "), F.col("_error"))
+    checked = rows.withColumn("ord", F.when(F.col("_error").isNotNull(), F.raise_error(where).cast("bigint")).otherwise(F.col("ord")))
+    return checked.drop("file", "_line", "_error")
 
 
 def permissive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the others as line_no, error and raw_text. Nothing is lost."""
-    good = rows.where("error is null").drop("file", "raw_text", "error")
-    return good, rows.where("error is not null").select(F.col("ord").alias("line_no"), "error", "raw_text")
+    good = rows.where("_error is null").drop("file", "_line", "_error")
+    return good, rows.where("_error is not null").select(F.col("ord").alias("line_no"), F.col("_error").alias("error"), F.col("_line").alias("raw_text"))
 
 
 def examples(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +95,7 @@ def optional_table(spark: SparkSession, path: str | None, schema: str) -> DataFr
 def keyed_table(spark: SparkSession, path: str, schema: str, value: str) -> DataFrame:
     """One row for each (example_id, method_id); of repeated keys the last line."""
     rows = parsed(spark, path, schema, [])
-    fields = [c for c in rows.columns if c not in ("file", "ord", "raw_text", "error", "example_id", "method_id")]
+    fields = [c for c in rows.columns if c not in ("file", "ord", "_line", "_error", "example_id", "method_id")]
     last = rows.groupBy("example_id", "method_id").agg(F.max_by(F.struct(*fields), "ord").alias("r"))
     return last.select("example_id", "method_id", "r.*")
 
@@ -108,7 +108,7 @@ def predictions(spark: SparkSession, path: str, method_id: str) -> DataFrame:
     from tessera.operators.guards import require_unique
 
     rows = parsed(spark, path, schemas.PREDICTION, [(blank(F.col("example_id")), "example_id is missing")])
-    keys = rows.select(F.explode(F.json_object_keys("raw_text")).alias("k")).distinct()
+    keys = rows.select(F.explode(F.json_object_keys("_line")).alias("k")).distinct()
     known = {r[0] for r in keys.where(F.col("k").isin(*rows.columns)).limit(100).collect()}
     optional = {"parse_failed", "correct", "matched", "reward", "ground_truth"}
     kept = strict(rows).select(*[c for c in strict(rows).columns if c not in optional - known])
