@@ -18,6 +18,20 @@ def join_manifest(predictions: DataFrame, examples: DataFrame, columns: tuple[st
     return joined.withColumn("example_id", check).drop("_there")
 
 
+def positional(examples: DataFrame, artifacts: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Three tables row by row (column ``ord``), with the columns of predictions and trick_id.
+
+    Every position must be in all three with one example id; else it is an error
+    at run time.
+    """
+    e = examples.select("ord", F.col("example_id").alias("_e"), "trick_id")
+    a = artifacts.select("ord", F.col("example_id").alias("_a"))
+    rows = e.join(a, "ord", "full").join(predictions.drop("trick_id"), "ord", "full")
+    aligned = F.col("_e").eqNullSafe(F.col("_a")) & F.col("_e").eqNullSafe(F.col("example_id")) & F.col("_e").isNotNull()
+    broken = F.raise_error(F.concat(F.lit("rows differ at position "), F.col("ord").cast("string"))).cast("string")
+    return rows.withColumn("example_id", F.when(aligned, F.col("example_id")).otherwise(broken)).drop("_e", "_a")
+
+
 def diagnostic_tags(correct: Column, failed: Column, raw: Column, parsed: Column, error: Column, mode: Column, majority: Column, *notes: Column) -> Column:
     """Observations on one prediction, in a fixed order; a correct one has only ``correct``."""
     mode = F.lower(F.coalesce(mode, F.lit("")))

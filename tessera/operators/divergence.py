@@ -51,11 +51,11 @@ def cell_rewards(aligned: DataFrame, scores: DataFrame, settings: Settings) -> D
 def cuts(cells: DataFrame, settings: Settings) -> DataFrame:
     """One row: high_cut and low_cut. Quantiles of the after method, of both if it has no rewards; absolute cuts win."""
     wanted = {"high_cut": settings.high_quantile, "low_cut": settings.low_quantile}
-    own = nearest_rank(cells.where(F.col("method_id") == settings.after), "reward", wanted)
-    both = nearest_rank(cells, "reward", wanted).select(F.col("high_cut").alias("_h"), F.col("low_cut").alias("_l"))
-    joined = own.crossJoin(both)
-    given = lambda x: F.lit(x).cast("double")
-    return joined.select(F.coalesce(given(settings.high_cut), "high_cut", "_h").alias("high_cut"), F.coalesce(given(settings.low_cut), "low_cut", "_l").alias("low_cut"))
+    own = (F.col("method_id") == settings.after) & F.col("reward").isNotNull()
+    some = cells.agg((count_true(own) > 0).alias("_some"))
+    pool = cells.select("method_id", "reward").crossJoin(F.broadcast(some)).where(own | ~F.col("_some"))
+    given = lambda x, name: F.coalesce(F.lit(x).cast("double"), name).alias(name)
+    return nearest_rank(pool, "reward", wanted).select(given(settings.high_cut, "high_cut"), given(settings.low_cut, "low_cut"))
 
 
 def reward_is_accuracy(cells: DataFrame, settings: Settings) -> DataFrame:

@@ -63,6 +63,16 @@ def test_alignment_keeps_missing_cells(spark):
         align.require_full_coverage(aligned).collect()
 
 
+def test_positional_join_needs_equal_order(spark):
+    ex = examples(spark, {}, {})
+    preds = spark.createDataFrame([("e0", 0, True), ("e1", 1, False)], "example_id string, ord int, correct boolean")
+    assert analysis.positional(ex, preds, preds).count() == 2
+    swapped = spark.createDataFrame([("e1", 0, True), ("e0", 1, False)], "example_id string, ord int, correct boolean")
+    for bad in (swapped, preds.limit(1)):
+        with pytest.raises(Exception, match="rows differ at position"):
+            analysis.positional(ex, preds, bad).collect()
+
+
 def test_prediction_columns_count_as_given_when_there(spark):
     with_null = spark.createDataFrame([("e", "m", "x", "x", "x", None)], "example_id string, method_id string, raw_text string, parsed_answer string, ground_truth string, correct boolean")
     assert align.normalized_predictions(with_null).first().correct is False
