@@ -39,13 +39,13 @@ from tessera.llm.common import raw_text, shuffle_parts, stored
 U = np.uint64
 #: Symbols that are worked on at once, entries that a worker gathers before it sends them.
 BLOCK = 200_000
-GATHER = 500_000
+GATHER = 250_000
 
 #: Kinds of entries: phrase by anchor, settled span, phrase by content, witness; NULL_ID marks a null doc_id.
 BY_ANCHOR, SETTLED, BY_CONTENT, WITNESS, NULL_ID = 0, 1, 2, 3, 128
 FIELDS = (("kind", np.uint8), ("times", np.uint8), ("n", np.uint32), ("pos", np.uint32), ("a", U), ("c", U), ("doc", np.int64), ("h", np.int64))
 #: Open phrases of one anchor that may meet in one bucket.
-HOT = 2_000
+HOT = 256
 #: Hot anchors that are broadcast at most, 16 MB; with more they are joined by a shuffle.
 BROADCAST_HOT = 1_000_000
 OUT = "doc_id long, h long, pos long, n long, settled boolean, a long"
@@ -227,8 +227,10 @@ def _send(held: list[dict], buckets: int, bucket_of: Callable | None) -> pa.Reco
     settled = order[times[group] > 1]
     lead = order[begin]
     parts = [{f: x[settled] for f, x in rec.items()}, {f: x[lead] for f, x in rec.items()}]
+    if bucket_of is not None:
+        parts[0] = _joined_windows(parts[0])
     parts[0]["kind"] = parts[0]["kind"] | np.uint8(SETTLED)
-    parts[0]["a"] = parts[0]["c"] = np.zeros(len(settled), U)
+    parts[0]["a"] = parts[0]["c"] = np.zeros(len(parts[0]["pos"]), U)
     parts[1]["times"] = np.minimum(times, 2).astype(np.uint8)
     even = mix(parts[0]["h"].astype(U) + parts[0]["pos"].astype(U)) % U(buckets)
     if bucket_of is not None:
@@ -249,6 +251,16 @@ def _send(held: list[dict], buckets: int, bucket_of: Callable | None) -> pa.Reco
     return pack(whole, np.r_[even, by])
 
 
+def _joined_windows(rec: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Neighbouring windows of a document as one entry with their number."""
+    order = np.lexsort((rec["pos"], rec["h"], rec["doc"], rec["kind"]))
+    doc, h, kind, pos = (rec[f][order] for f in ("doc", "h", "kind", "pos"))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(new)
+    return {f: x[order[first]] for f, x in rec.items()} | {"n": np.diff(np.r_[first, len(order)])}
+
+
 def _entries(b: pa.RecordBatch, lo: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc ids (null: 0), text hashes and the null flag of some rows of a batch."""
     ids = b.column("doc_id").slice(lo, n)
@@ -258,7 +270,7 @@ def _entries(b: pa.RecordBatch, lo: int, n: int) -> tuple[np.ndarray, np.ndarray
 def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, buckets: int) -> DataFrame:
     def run(batches):
         held, count = [], 0
-        for b in batches:
+        for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             doc, h, null = _entries(b, 0, b.num_rows)
             for block in blocks(b.column("t").to_pylist(), width):
                 a, c, first, n, place = phrases(block, width, gram)
@@ -401,7 +413,7 @@ def judge_open(t: pa.Table, blocks: Blocks, width: int, gram: int, equal: Callab
         at = own[order]
         at = np.concatenate([np.flatnonzero(kind == SETTLED), at[(total > 1)[group] & (rec["times"][at] == 1)]])
         one = _out(rec, at, True)
-        out.append(pa.table({"doc_id": one["doc_id"], "h": one["h"], "span": np.asarray(one["pos"]) << 24 | 1}))
+        out.append(pa.table({"doc_id": one["doc_id"], "h": one["h"], "span": np.asarray(one["pos"]) << 24 | np.asarray(one["n"])}))
     return pa.concat_tables(out)
 
 
