@@ -13,21 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, piece_bpe, quality_classifier, simhash, substring_dedup
-from tessera.llm.common import stored, table
+from tessera.llm.common import ship, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the nearest-neighbour classifier rejects go."""
+    ship(spark)
     return quality_classifier.accepted(docs, table(spark, folder, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages that occur more than once are cut out; no document goes."""
+    ship(spark)
     return substring_dedup.without_repeats(docs)
 
 
@@ -38,6 +41,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that they decode to."""
+    ship(spark)
     coded = piece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
     ids = F.when(F.col("n_tokens") > 0, F.split("ids", ",").cast("array<int>")).otherwise(F.array().cast("array<int>"))
     return coded.select("doc_id", "n_tokens", ids.alias("ids"), "decoded")

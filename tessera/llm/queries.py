@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, html_extract, oracle, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
-from tessera.llm.common import table
+from tessera.llm.common import ship, table
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_quality_rules": op1_quality_rules,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_url_filters": op3_url_filters,
@@ -64,6 +64,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
+    return {name: _with_package(f) for name, f in found.items()}
+
+
+def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
