@@ -363,14 +363,12 @@ def first_violation(s, d):
 @query(
     """, f AS (SELECT 'error' AS severity, 'inconsistent_clip_ground_truth' AS code, clip_id AS subject FROM ex WHERE task = 'hidden_state' GROUP BY clip_id HAVING count(DISTINCT ground_truth) > 1
   UNION ALL SELECT 'review', 'missing_fps', example_id FROM ex WHERE fps IS NULL)
-SELECT severity, code, subject, row_number() OVER (ORDER BY severity, code, subject)::BIGINT AS place FROM f"""
+SELECT severity, code, subject FROM f ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'leakage' THEN 1 ELSE 2 END, code, subject"""
 )
 def findings_sorted(s, d):
-    from pyspark.sql import Window
-
     ex = b.examples(s, d)
     found = validation.clip_consistency(ex).where("code = 'inconsistent_clip_ground_truth'").unionByName(validation.fps_and_spans(ex).where("code = 'missing_fps'"))
-    return validation.ordered(found).select("severity", "code", "subject").withColumn("place", F.row_number().over(Window.orderBy("severity", "code", "subject")).cast("long"))
+    return validation.ordered(found).select("severity", "code", "subject")
 
 
 @query(

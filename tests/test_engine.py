@@ -107,6 +107,12 @@ def test_validation_rules(spark):
     assert validation.findings(empty).count() == 0
 
 
+def test_findings_are_ordered_by_severity_code_and_subject(spark):
+    rows = [("review", "a", "1"), ("error", "z", "2"), ("leakage", "b", "3"), ("error", "a", "9"), ("error", "a", "1")]
+    found = spark.createDataFrame(rows, "severity string, code string, subject string").repartition(3)
+    assert [tuple(r) for r in validation.ordered(found).collect()] == [("error", "a", "1"), ("error", "a", "9"), ("error", "z", "2"), ("leakage", "b", "3"), ("review", "a", "1")]
+
+
 PAIR = "judgment_id string, pair_id string, ord int, clip_id string, example_id string, instruction string, response_a string, response_b string, winner string, annotator_id string, task string, split string"
 
 
