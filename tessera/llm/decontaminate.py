@@ -45,11 +45,16 @@ def raw_tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, _BETWEEN), "")
 
 
-def template_tokens(text: Column) -> Column:
-    """Tokens, one for one with ``raw_tokens``: placeholders, and other words in lower case."""
+def template_tokens(text: Column, names: bool = True) -> Column:
+    """Tokens, one for one with ``raw_tokens``: placeholders, and other words in lower case.
+
+    A name is a capital followed by a small letter; words in capitals and single
+    letters are not, so a passage in capitals or in lower case equals the tokens
+    of its original without ``names``.
+    """
     numbers = F.regexp_replace(text, rf"(?<!{_LETTER}|\p{{N}}[.,])\p{{N}}{_LETTER}*(?:(?<=\p{{N}})[.,]\p{{N}}{_LETTER}*)*", NUMBER)
-    names = F.regexp_replace(numbers, rf"(?<!{_LETTER})\p{{Lu}}{_LETTER}*", NAME)
-    units = F.regexp_replace(F.lower(names), rf"(?<={NUMBER}[^\p{{L}}\p{{N}}]{{1,3}})(?:{'|'.join(UNITS)})(?!{_LETTER})", UNIT)
+    named = F.regexp_replace(numbers, rf"(?<!{_LETTER})\p{{Lu}}\p{{Ll}}{_LETTER}*", NAME) if names else numbers
+    units = F.regexp_replace(F.lower(named), rf"(?<={NUMBER}[^\p{{L}}\p{{N}}]{{1,3}})(?:{'|'.join(UNITS)})(?!{_LETTER})", UNIT)
     return raw_tokens(units)
 
 
@@ -64,9 +69,13 @@ def _is_slot(token: Column) -> Column:
 
 
 def item_classes(benchmark: DataFrame) -> DataFrame:
-    """Items by template: cls, the item ids, raw and template tokens of the first, and its windows that say enough."""
+    """Items by template: cls, the item ids, raw and template tokens of the first, and its windows that say enough.
+
+    Each item has two templates, with and without placeholders for names.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("t"))
-    items = items.select("item_id", raw_tokens(F.col("t")).alias("raw"), template_tokens(F.col("t")).alias("tpl"))
+    both = F.array(template_tokens(F.col("t")), template_tokens(F.col("t"), names=False))
+    items = items.select("item_id", raw_tokens(F.col("t")).alias("raw"), F.explode(both).alias("tpl"))
     first = items.groupBy("tpl").agg(F.min_by("raw", F.struct("item_id", "raw")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
     said = lambda i: F.size(F.filter(F.slice("tpl", i + 1, WINDOW), lambda x: ~_is_slot(x))) >= LITERALS
     marked = F.filter(F.transform("windows", lambda w, i: F.struct(i.alias("ipos"), w.alias("w"))), lambda x: said(x["ipos"]))

@@ -76,14 +76,14 @@ def decontamination_sql() -> str:
     units = ", ".join(f"'{u}'" for u in dc.UNITS)
     n, w = dc.WINDOW, dc.WINDOW - 1
 
-    def tokens(table: str, key: str, where: str) -> str:
+    def tokens(table: str, key: str, where: str, names: bool = True) -> str:
         raw = r"regexp_extract_all(coalesce(text, ''), '(?:\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}])+')"
-        kind = rf"list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '^\p{{N}}') THEN '{dc.NUMBER}' WHEN regexp_matches(x, '^\p{{Lu}}') THEN '{dc.NAME}' ELSE lower(x) END)"
+        kind = rf"list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '^\p{{N}}') THEN '{dc.NUMBER}' WHEN {names} AND regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '{dc.NAME}' ELSE lower(x) END)"
         unit = f"list_transform(t0, lambda x, i: CASE WHEN i > 1 AND t0[i - 1] = '{dc.NUMBER}' AND x IN ({units}) THEN '{dc.UNIT}' ELSE x END)"
         return f"{where} AS (SELECT id, raw, {unit} AS tpl FROM (SELECT id, raw, {kind} AS t0 FROM (SELECT {key} AS id, {raw} AS raw FROM {table})))"
 
     slot = f"IN ('{dc.NAME}', '{dc.NUMBER}', '{dc.UNIT}')"
-    return f"""WITH {tokens('benchmark', 'item_id', 'bt')}, {tokens('documents', 'doc_id', 'dt')},
+    return f"""WITH {tokens('benchmark', 'item_id', 'bn')}, {tokens('benchmark', 'item_id', 'bp', False)}, bt AS (SELECT * FROM bn UNION ALL SELECT * FROM bp), {tokens('documents', 'doc_id', 'dt')},
 cls AS (SELECT tpl, arg_min(raw, id) AS raw, list(DISTINCT id) AS items, row_number() OVER () AS c FROM bt GROUP BY tpl),
 iw AS (SELECT c, i AS ipos, array_to_string(tpl[i:i + {w}], ' ') AS h, tpl, raw FROM (SELECT *, unnest(range(1, len(tpl) - {n - 2})) AS i FROM cls WHERE len(tpl) >= {n}) WHERE len(list_filter(tpl[i:i + {w}], lambda x: x NOT {slot})) >= {dc.LITERALS}),
 size AS (SELECT c, count(*) AS n_windows FROM iw GROUP BY c),

@@ -164,11 +164,11 @@ def test_decontamination_finds_other_parameters(spark):
     item = "Alice has 12 apples and gives 3.5 kg of them to Bob before walking 7 miles home with Alice's dog"
     other = "Carol has 40 apples and gives 9 pounds of them to Dave before walking 2 miles home with Carol's dog"
     mixed = other.replace("Carol's", "Erin's")  # one slot has two values
-    rows = [(1, f"Intro words here. {item} and more."), (2, f"Some text, {other}!"), (3, mixed), (4, "Nothing of the kind is in this text at all, is it"), (5, None), (6, ""), (None, item), (1, f"Intro words here. {item} and more."), (7, item[:50])]
+    rows = [(1, f"Intro words here. {item} and more."), (2, f"Some text, {other}!"), (3, mixed), (4, "Nothing of the kind is in this text at all, is it"), (5, None), (6, ""), (None, item), (1, f"Intro words here. {item} and more."), (7, item[:50]), (8, f"Then {item.upper()}!!"), (9, item.lower())]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash"))
     items = bench(spark, item, "short one", None, "Carol has 99 apples and gives 1 g of them to Ed before walking 5 miles home with Carol's dog")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
-    assert got == {(d, i) for d in (1, 2, None) for i in (0, 3)}
+    assert got == {(d, i) for d in (1, 2, None) for i in (0, 3)} | {(8, 0), (9, 0)}
     kept = decontaminate.without_leaks(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
