@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import blank, strip
 
-_NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+))"
 #: How responses state an interval, in order of preference.
 SECONDS = (
-    rf"(?i)start_s\s*[=:]\s*{_NUMBER}\s*[,\s]+end_s\s*[=:]\s*{_NUMBER}",
-    rf"(?i)interval\s*[=:]\s*\[?\s*{_NUMBER}\s*[,--]\s*{_NUMBER}\s*\]?\s*(?:s|sec|seconds)?",
-    rf"(?i)(?:from\s+)?{_NUMBER}\s*(?:s|sec|seconds)\s*(?:-|-|to)\s*{_NUMBER}\s*(?:s|sec|seconds)?",
+    r"(?i)start_s\s*[=:]\s*([+-]?(?:\d+\.?\d*|\.\d+))\s*[,\s]+end_s\s*[=:]\s*([+-]?(?:\d+\.?\d*|\.\d+))",
+    r"(?i)interval\s*[=:]\s*\[?\s*([+-]?(?:\d+\.?\d*|\.\d+))\s*[,--]\s*([+-]?(?:\d+\.?\d*|\.\d+))\s*\]?\s*(?:s|sec|seconds)?",
+    r"(?i)(?:from\s+)?([+-]?(?:\d+\.?\d*|\.\d+))\s*(?:s|sec|seconds)\s*(?:-|-|to)\s*([+-]?(?:\d+\.?\d*|\.\d+))\s*(?:s|sec|seconds)?",
 )
 FRAMES = (
     r"(?i)start_frame\s*[=:]\s*(\d+)\s*[,\s]+end_frame\s*[=:]\s*(\d+)",

@@ -29,6 +29,7 @@ FORBIDDEN_CLAIMS = (
 )
 #: Prefixes of an answer line, in lower case.
 ANSWER_PREFIXES = ("final answer:", "answer:")
+#: Fixed value: the default prompt.
 PROMPT = "You are analyzing a short magic or mentalism demonstration.\nQuestion: {question}\nAnswer briefly and concretely."
 
 SPACE = r"(?U)\s+"
