@@ -8,7 +8,8 @@ of the item must have one value in the document throughout.
 
 Everything is built-in expressions. Benchmark windows are broadcast only if they
 are few (they are counted first), else the join is shuffled. Items with the same
-template share one class, so a template costs one match however many items use it.
+template whose slots are equal to each other at the same places share one class,
+so a template costs one match for each such pattern, however many items use it.
 """
 
 from __future__ import annotations
@@ -68,19 +69,26 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
+def _pattern(raw: Column, tpl: Column) -> Column:
+    """For each slot, the number of the first slot with its value: all that the comparison of slots depends on."""
+    values = F.transform(F.filter(F.arrays_zip(raw.alias("raw"), tpl.alias("tpl")), lambda x: _is_slot(x["tpl"])), lambda x: F.lower(x["raw"]))
+    return F.transform(values, lambda v: F.array_position(values, v))
+
+
 def item_classes(benchmark: DataFrame) -> DataFrame:
-    """Items by template: cls, the item ids, raw and template tokens of the first, and its windows that say enough.
+    """Items by template and pattern of equal slots: cls, the item ids, raw and template tokens of the first, and its windows that say enough.
 
     Each item has two templates, with and without placeholders for names.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("t"))
     both = F.array(template_tokens(F.col("t")), template_tokens(F.col("t"), names=False))
     items = items.select("item_id", raw_tokens(F.col("t")).alias("raw"), F.explode(both).alias("tpl"))
-    first = items.groupBy("tpl").agg(F.min_by("raw", F.struct("item_id", "raw")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = items.withColumn("pattern", _pattern(F.col("raw"), F.col("tpl")))
+    first = items.groupBy("tpl", "pattern").agg(F.min_by("raw", F.struct("item_id", "raw")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
     said = lambda i: F.size(F.filter(F.slice("tpl", i + 1, WINDOW), lambda x: ~_is_slot(x))) >= LITERALS
     marked = F.filter(F.transform("windows", lambda w, i: F.struct(i.alias("ipos"), w.alias("w"))), lambda x: said(x["ipos"]))
     out = first.withColumn("windows", _windows(F.col("tpl"))).withColumn("windows", F.coalesce(marked, F.expr("cast(array() as array<struct<ipos:int,w:bigint>>)")))
-    return out.select(F.xxhash64("tpl").alias("cls"), "items", "raw", "tpl", "windows", F.size("windows").alias("n_windows"))
+    return out.select(F.xxhash64("tpl", "pattern").alias("cls"), "items", "raw", "tpl", "windows", F.size("windows").alias("n_windows"))
 
 
 def _slots(item_raw: Column, item_tpl: Column, doc_raw: Column, shift: Column, first: Column, last: Column) -> Column:

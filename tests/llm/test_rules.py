@@ -174,6 +174,15 @@ def test_decontamination_finds_other_parameters(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_compares_slots_with_every_item(spark):
+    item = "Alice has 3 red apples in a basket and Bob has {} green pears in another box and they share all of them"
+    docs = spark.createDataFrame([(i, f"Text before. {item.format(n)}, and after.") for i, n in enumerate((3, 4))], "doc_id long, text string")
+    items = bench(spark, item.format(3), item.format(4), item.format(5))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert {(0, 0), (1, 1), (1, 2)} <= got
+    assert decontaminate.without_leaks(docs, items).count() == 0
+
+
 def test_tokens_line_up(spark):
     rows = [("x5.5 and 5.5.5 km, Ünder 3rd 7kg-b 1,000 m. A.B c2 12 hours",), ("ÄÖ ñ 日本 ٣ 4%",), ("",), ("...",)]
     df = spark.createDataFrame(rows, "t string")
