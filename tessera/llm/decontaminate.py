@@ -3,8 +3,9 @@
 Texts become token sequences in which numbers, names and units are typed
 placeholders, so a question with other parameters keeps its template. Windows of
 five template tokens are hash-joined with those of the benchmark. Where enough of
-an item's windows line up in a document, the slots are compared: the same value
-of the item must have one value in the document throughout.
+an item's windows line up in a document, the slots in them are compared: the same
+value of the item must have one value in the document, and windows with another
+than its most frequent one do not count.
 
 Everything is built-in expressions. Benchmark windows are broadcast only if they
 are few (they are counted first), else the join is shuffled. Items with the same
@@ -91,17 +92,29 @@ def item_classes(benchmark: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("tpl", "pattern").alias("cls"), "items", "raw", "tpl", "windows", F.size("windows").alias("n_windows"))
 
 
-def _slots(item_raw: Column, item_tpl: Column, doc_raw: Column, shift: Column, first: Column, last: Column) -> Column:
-    """(value in the item, value in the document) of each slot from item token first to last."""
-    at = F.filter(F.sequence(first, last), lambda i: _is_slot(F.get(item_tpl, i)))
-    return F.array_distinct(F.transform(at, lambda i: F.struct(F.lower(F.get(item_raw, i)).alias("a"), F.lower(F.get(doc_raw, i + shift)).alias("b"))))
+def _slots(item_raw: Column, item_tpl: Column, doc_raw: Column, shift: Column, at: Column) -> Column:
+    """Place, value in the item (a) and value in the document (b) of each slot in the windows that start at ``at``."""
+    slots = F.filter(F.transform(item_tpl, lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda s: _is_slot(s["x"]) & F.exists(at, lambda i: s["j"].between(i, i + WINDOW - 1)))
+    return F.transform(slots, lambda s: F.struct(s["j"].alias("j"), F.lower(F.get(item_raw, s["j"])).alias("a"), F.lower(F.get(doc_raw, s["j"] + shift)).alias("b")))
+
+
+def _votes(slots: Column) -> Column:
+    """Each pair of values (a, b) and the number n of slots that have it."""
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(s["a"], s["b"])))
+    return F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.size(F.filter(slots, lambda s: (s["a"] == p["a"]) & (s["b"] == p["b"]))).alias("n")))
+
+
+def _deviating(slots: Column, votes: Column) -> Column:
+    """Places of the slots whose value in the document is not the most frequent one for their value in the item; of equally frequent ones none is."""
+    beaten = F.filter(votes, lambda v: F.exists(votes, lambda o: (o["a"] == v["a"]) & (o["b"] != v["b"]) & (o["n"] >= v["n"])))
+    return F.transform(F.filter(slots, lambda s: F.exists(beaten, lambda v: (v["a"] == s["a"]) & (v["b"] == s["b"]))), lambda s: s["j"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_windows, n_matched, similarity, contaminated (true).
 
     A document holds an item if ``SIMILARITY`` of the item's windows or more are
-    in it, each in a stretch with consistent slots. Items without a window that
+    in it, each with consistent slots. Items without a window that
     says enough are never found. Null and empty texts hold nothing; repeated rows
     give one row; a null doc_id or item_id is carried; empty tables give no rows;
     other columns are ignored.
@@ -129,12 +142,12 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = texts.join(near.hint("shuffle_hash"), same(texts, near, "doc_id", "h")).select(near["doc_id"], near["h"], raw_tokens(F.col("t")).alias("doc_raw"), "cls", "runs").dropDuplicates(["doc_id", "h", "cls"])
     whole = again.join(classes, "cls")
 
-    def consistent(run: Column) -> Column:
-        last = F.array_max(run["at"]) + WINDOW - 1
-        slots = _slots(F.col("raw"), F.col("tpl"), F.col("doc_raw"), run["shift"], F.array_min(run["at"]), last)
-        return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: x["a"])))
-
-    kept = whole.withColumn("n_matched", F.size(F.array_distinct(F.flatten(F.filter("runs", consistent)["at"]))))
+    # one step for each array, so that none is computed again inside a lambda
+    whole = whole.withColumn("runs", F.transform("runs", lambda r: F.struct(r["at"].alias("at"), _slots(F.col("raw"), F.col("tpl"), F.col("doc_raw"), r["shift"], r["at"]).alias("slots"))))
+    whole = whole.withColumn("runs", F.transform("runs", lambda r: F.struct(r["at"].alias("at"), r["slots"].alias("slots"), _votes(r["slots"]).alias("votes"))))
+    whole = whole.withColumn("runs", F.transform("runs", lambda r: F.struct(r["at"].alias("at"), _deviating(r["slots"], r["votes"]).alias("off"))))
+    right = F.transform("runs", lambda r: F.filter(r["at"], lambda i: ~F.exists(r["off"], lambda j: j.between(i, i + WINDOW - 1))))
+    kept = whole.withColumn("n_matched", F.size(F.array_distinct(F.flatten(right))))
     return kept.where(F.col("n_matched") >= SIMILARITY * F.col("n_windows")).select("doc_id", "h", "items", "n_windows", "n_matched")
 
 

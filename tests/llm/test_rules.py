@@ -183,6 +183,16 @@ def test_decontamination_compares_slots_with_every_item(spark):
     assert decontaminate.without_leaks(docs, items).count() == 0
 
 
+def test_decontamination_drops_only_deviating_windows(spark):
+    item = "Alice has twelve red apples in a basket and gives seven of them to Bob who then walks home along the river with the dog that Alice bought in the spring while her sister waits at the old mill for Alice to come back with bread"
+    copies = [item.replace("that Alice bought", "that she bought"), item.replace("that Alice bought", "that Carol bought"), item.replace("Alice", "Erin").replace("that Erin bought", "that Carol bought")]
+    parted = item.replace("Alice has", "Erin has").replace("that Alice bought", "that Carol bought").replace("for Alice", "for Frank")  # three values, none of them the most frequent
+    docs = spark.createDataFrame(list(enumerate([*copies, parted])), "doc_id long, text string")
+    got = {r.doc_id: (r.n_matched, r.n_windows) for r in decontaminate.leaks(docs, bench(spark, item)).collect()}
+    n = len(item.split()) - decontaminate.WINDOW + 1
+    assert got == {i: (n - 5, n) for i in range(3)}
+
+
 def test_tokens_line_up(spark):
     rows = [("x5.5 and 5.5.5 km, Ünder 3rd 7kg-b 1,000 m. A.B c2 12 hours",), ("ÄÖ ñ 日本 ٣ 4%",), ("",), ("...",)]
     df = spark.createDataFrame(rows, "t string")
