@@ -5,7 +5,8 @@ placeholders, so a question with other parameters keeps its template. Windows of
 five template tokens are hash-joined with those of the benchmark. Where enough of
 an item's windows line up in a document, the slots in them are compared: the same
 value of the item must have one value in the document, and windows with another
-than its most frequent one do not count.
+than its most frequent one do not count. Lower-cased words are windowed besides,
+so that copies word for word are found whatever their capitals, numbers or length.
 
 Everything is built-in expressions. Benchmark windows are broadcast only if they
 are few (they are counted first), else the join is shuffled. Items with the same
@@ -47,6 +48,10 @@ def raw_tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, _BETWEEN), "")
 
 
+def _low_tokens(text: Column) -> Column:
+    return raw_tokens(F.lower(text))
+
+
 def template_tokens(text: Column, names: bool = True) -> Column:
     """Tokens, one for one with ``raw_tokens``: placeholders, and other words in lower case.
 
@@ -60,10 +65,10 @@ def template_tokens(text: Column, names: bool = True) -> Column:
     return raw_tokens(units)
 
 
-def _windows(tokens: Column) -> Column:
-    """Hash of each run of ``WINDOW`` tokens; null if there are fewer."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - WINDOW)
-    return F.when(F.size(tokens) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)])))
+def _windows(tokens: Column, width: int = WINDOW) -> Column:
+    """Hash of each run of ``width`` tokens; null if there are fewer."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - width + 1)
+    return F.when(F.size(tokens) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, width))))
 
 
 def _is_slot(token: Column) -> Column:
@@ -79,17 +84,21 @@ def _pattern(raw: Column, tpl: Column) -> Column:
 def item_classes(benchmark: DataFrame) -> DataFrame:
     """Items by template and pattern of equal slots: cls, the item ids, raw and template tokens of the first, and its windows that say enough.
 
-    Each item has two templates, with and without placeholders for names.
+    Each item has two templates, with and without placeholders for names, and its
+    words in lower case as a third form, which is ``exact`` and has no slots. There
+    an item of fewer than ``WINDOW`` words is one window. ``shaped`` are templates.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("t"))
-    both = F.array(template_tokens(F.col("t")), template_tokens(F.col("t"), names=False))
-    items = items.select("item_id", raw_tokens(F.col("t")).alias("raw"), F.explode(both).alias("tpl"))
+    forms = ((template_tokens(F.col("t")), False), (template_tokens(F.col("t"), names=False), False), (_low_tokens(F.col("t")), True))
+    forms = F.array(*[F.struct(tpl.alias("tpl"), F.lit(exact).alias("exact")) for tpl, exact in forms])
+    items = items.select("item_id", raw_tokens(F.col("t")).alias("raw"), F.inline(forms))
     items = items.withColumn("pattern", _pattern(F.col("raw"), F.col("tpl")))
-    first = items.groupBy("tpl", "pattern").agg(F.min_by("raw", F.struct("item_id", "raw")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    first = items.groupBy("tpl", "pattern").agg(F.min_by("raw", F.struct("item_id", "raw")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"), F.max(~F.col("exact")).alias("shaped"))
     said = lambda i: F.size(F.filter(F.slice("tpl", i + 1, WINDOW), lambda x: ~_is_slot(x))) >= LITERALS
     marked = F.filter(F.transform("windows", lambda w, i: F.struct(i.alias("ipos"), w.alias("w"))), lambda x: said(x["ipos"]))
-    out = first.withColumn("windows", _windows(F.col("tpl"))).withColumn("windows", F.coalesce(marked, F.expr("cast(array() as array<struct<ipos:int,w:bigint>>)")))
-    return out.select(F.xxhash64("tpl", "pattern").alias("cls"), "items", "raw", "tpl", "windows", F.size("windows").alias("n_windows"))
+    whole = F.when(F.col("exact") & F.size("tpl").between(1, WINDOW - 1), F.array(F.struct(F.lit(0).alias("ipos"), F.xxhash64("tpl").alias("w"))))
+    out = first.withColumn("windows", _windows(F.col("tpl"))).withColumn("windows", F.coalesce(marked, whole, F.expr("cast(array() as array<struct<ipos:int,w:bigint>>)")))
+    return out.select(F.xxhash64("tpl", "pattern").alias("cls"), "items", "raw", "tpl", "exact", "shaped", "windows", F.size("windows").alias("n_windows"))
 
 
 def _slots(item_raw: Column, item_tpl: Column, doc_raw: Column, shift: Column, at: Column) -> Column:
@@ -114,26 +123,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_windows, n_matched, similarity, contaminated (true).
 
     A document holds an item if ``SIMILARITY`` of the item's windows or more are
-    in it, each with consistent slots. Items without a window that
-    says enough are never found. Null and empty texts hold nothing; repeated rows
+    in it, each with consistent slots. Counts are of the item's
+    templates, or of its words as they are if only those are found. An item of fewer
+    than ``WINDOW`` words is held where all of them follow each other, so one of a
+    single common word is in many documents; one without words is never found. Null and empty texts hold nothing; repeated rows
     give one row; a null doc_id or item_id is carried; empty tables give no rows;
     other columns are ignored.
     """
     found = _found(docs, benchmark)
-    each = found.select("doc_id", F.explode("items").alias("item_id"), "n_windows", "n_matched")
-    best = each.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    each = found.select("doc_id", F.explode("items").alias("item_id"), "shaped", "n_windows", "n_matched")
+    most = lambda name: F.coalesce(F.max(F.when(F.col("shaped"), F.col(name))), F.max(name)).alias(name)
+    best = each.groupBy("doc_id", "item_id").agg(most("n_matched"), most("n_windows"))
     return best.select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), (F.col("n_matched") / F.col("n_windows")).alias("similarity"), F.lit(True).alias("contaminated"))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, h, items, n_windows, n_matched) for each class found in each text."""
+    """(doc_id, h, items, shaped, n_windows, n_matched) for each class found in each text."""
     classes = stored(item_classes(benchmark))
     index = classes.select("cls", F.inline("windows"))
     if index.count() <= BROADCAST_WINDOWS:
         index = F.broadcast(index)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("t"))
-    tokens = texts.select("doc_id", "h", template_tokens(F.col("t")).alias("tpl"))
-    windows = tokens.select("doc_id", "h", F.posexplode(_windows(F.col("tpl"))).alias("pos", "w"))
+    short = [r[0] for r in classes.where(F.col("exact") & F.size("tpl").between(1, WINDOW - 1)).select(F.size("tpl")).distinct().collect()]
+    tokens = texts.select("doc_id", "h", template_tokens(F.col("t")).alias("tpl"), _low_tokens(F.col("t")).alias("low"))
+    hashed = tokens.select("doc_id", "h", _windows(F.col("tpl")).alias("w_tpl"), _windows(F.col("low")).alias("w_low"), *[_windows(F.col("low"), n).alias(f"w_{n}") for n in short])
+    # a window without placeholders is the same in both forms and counts once
+    other = F.transform("w_low", lambda w, i: F.when(~w.eqNullSafe(F.get("w_tpl", i)), w))
+    none = F.expr("cast(array() as array<bigint>)")
+    every = F.concat(*[F.coalesce(x, none) for x in (F.col("w_tpl"), other, *[F.col(f"w_{n}") for n in short])])
+    # outer, as else a filter on the array's size repeats its making; the join drops the nulls.
+    # Only positions of template windows are those in the text; others meet no slots.
+    windows = hashed.select("doc_id", "h", F.posexplode_outer(every).alias("pos", "w"))
     hits = windows.join(index, "w").groupBy("doc_id", "h", "cls", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
     # classes of which enough windows occur at all
     by_class = hits.groupBy("doc_id", "h", "cls").agg(F.collect_list(F.struct("shift", "at")).alias("runs"))
@@ -148,7 +168,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = whole.withColumn("runs", F.transform("runs", lambda r: F.struct(r["at"].alias("at"), _deviating(r["slots"], r["votes"]).alias("off"))))
     right = F.transform("runs", lambda r: F.filter(r["at"], lambda i: ~F.exists(r["off"], lambda j: j.between(i, i + WINDOW - 1))))
     kept = whole.withColumn("n_matched", F.size(F.array_distinct(F.flatten(right))))
-    return kept.where(F.col("n_matched") >= SIMILARITY * F.col("n_windows")).select("doc_id", "h", "items", "n_windows", "n_matched")
+    return kept.where(F.col("n_matched") >= SIMILARITY * F.col("n_windows")).select("doc_id", "h", "items", "shaped", "n_windows", "n_matched")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -193,6 +193,16 @@ def test_decontamination_drops_only_deviating_windows(spark):
     assert got == {i: (n - 5, n) for i in range(3)}
 
 
+def test_decontamination_finds_copies_word_for_word(spark):
+    item = "Alice has twelve red apples in a basket and gives seven of them to Bob who walks home"
+    items = bench(spark, item, "Compute 12 + 7 - 3 * 4", "Mix 3 kg 4 g", "Rome or Paris", "", "?")
+    rows = [item.title(), "".join(c.upper() if i % 2 else c.lower() for i, c in enumerate(item)), "So, compute 12 + 7 - 3 * 4 now", "Then MIX 3 kg 4 g well", "is it rome, or Paris", "Compute 13 + 7 - 3 * 4", "Mix 3 kg 5 g", "Rome and Paris", "", None, "Rome or"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(0, 0, 1.0), (1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == list(range(5, 11))
+
+
 def test_tokens_line_up(spark):
     rows = [("x5.5 and 5.5.5 km, Ünder 3rd 7kg-b 1,000 m. A.B c2 12 hours",), ("ÄÖ ñ 日本 ٣ 4%",), ("",), ("...",)]
     df = spark.createDataFrame(rows, "t string")
