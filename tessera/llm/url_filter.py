@@ -5,21 +5,29 @@ FP-growth finds token combinations that often come with it; rules are pruned by
 support, confidence and redundancy (a rule adds nothing where a shorter one
 holds). For matching, each rule is filed in an inverted index under its rarest
 token; a URL looks up its tokens and checks the few rules it finds. The index is
-a literal of at most ``MOST_RULES`` rules, so no page is shuffled.
+a literal of all rules, so no page is shuffled: none of them holds another and
+each is in a share ``SUPPORT`` of the pages, so their number depends on the tokens
+of a page and not on the number of pages.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: Verdict, host and path of each fixed rule.
 FIXED = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SUPPORT = 0.002
 LEAST_PAGES = 20
 CONFIDENCE = 0.6
-MOST_RULES = 2_000
+#: Parts of the inverted index, by a checksum of the token.
+PARTS = 1024
 BAD = "label=bad"
 
 
@@ -69,35 +77,40 @@ def bad_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine(transactions: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_PAGES) -> list[list[str]]:
-    """Token combinations that imply a bad label; at most ``MOST_RULES``, the most confident and frequent first."""
+    """Token combinations that imply a bad label; all that hold no shorter one."""
     total = transactions.count()
     if not total:
         return []
     floor = min(1.0, max(support, least / total))
     model = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=confidence).fit(transactions)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == BAD))
-    rows = found.orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(MOST_RULES).collect()
-    kept: list[frozenset] = []
-    for rule in sorted((frozenset(r["antecedent"]) for r in rows), key=lambda r: (len(r), sorted(r))):
-        if not any(k <= rule for k in kept):
-            kept.append(rule)
-    return [sorted(r) for r in kept]
-
-
-def matches(url: Column, rules: list[list[str]]) -> Column:
-    """Whether all tokens of some rule are in the URL, by the inverted index."""
-    if not rules:
-        return F.lit(False)
+    rest = stored(found.select(F.array_sort("antecedent").alias("rule")))
+    kept: list[list[str]] = []
+    for n in range(1, (rest.agg(F.max(F.size("rule"))).first()[0] or 0) + 1):
+        level = sorted(r["rule"] for r in rest.where(F.size("rule") == n).collect())
+        if level:
+            kept += level
+            rest = rest.where((F.size("rule") > n) & ~_holds(F.col("rule"), level))
+    return kept
+
+
+def _holds(has: Column, rules: list[list[str]]) -> Column:
+    """Whether all tokens of some rule are in ``has``, by the inverted index."""
     often: dict[str, int] = {}
     for r in rules:
         for t in r:
             often[t] = often.get(t, 0) + 1
-    index: dict[str, list[list[str]]] = {}
+    index: list[list[list[str]]] = [[] for _ in range(PARTS)]
     for r in rules:
-        index.setdefault(min(r, key=lambda t: (often[t], t)), []).append(r)
-    literal = F.create_map(*[x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*[F.array(*map(F.lit, r)) for r in rs]))])
-    has = tokens(url)
-    return F.exists(has, lambda t: F.coalesce(F.exists(F.try_element_at(literal, t), lambda r: F.size(F.array_except(r, has)) == 0), F.lit(False)))
+        index[zlib.crc32(min(r, key=lambda t: (often[t], t)).encode()) % PARTS].append(r)
+    literal = F.from_json(F.lit(json.dumps(index)), "array<array<array<string>>>")  # folded to a literal once
+    part = lambda t: F.get(literal, (F.crc32(t.cast("binary")) % PARTS).cast("int"))
+    return F.exists(has, lambda t: F.exists(part(t), lambda r: F.size(F.array_except(r, has)) == 0))
+
+
+def matches(url: Column, rules: list[list[str]]) -> Column:
+    """Whether all tokens of some rule are in the URL."""
+    return _holds(tokens(url), rules) if rules else F.lit(False)
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -95,6 +95,21 @@ def test_mined_url_rules(spark):
     assert ["host:casino"] in rules and not any("host:casino" in r for r in rules if len(r) > 1)
 
 
+def test_no_general_url_rule_is_crowded_out(spark):
+    extra = "abcdefghi"  # thousands of combinations, all bad, of tokens that come with one bad host
+    rows, labels = [], []
+    for i in range(600):
+        kind = i % 6
+        host, path = ("hot", "/".join(extra)) if kind == 0 else ("casino", "x") if kind == 1 else (f"site{'abcd'[kind - 2]}", "x")
+        rows.append((i, f"http://{host}.net/{path}/{i}"))
+        labels.append((i, int(kind > 1 or i % 60 == 1), 0))  # a tenth of casino's pages is good
+    pages, known = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = url_filter.mine(url_filter.bad_pages(pages, known))
+    assert ["host:casino"] in rules and ["host:hot"] in rules and all(len(r) == 1 for r in rules)
+    out = {r.page_id: r.verdict for r in url_filter.judge(pages, known).collect()}
+    assert all(out[i] == ("block" if i % 6 < 2 else "allow") for i in range(600))
+
+
 def test_classifier_on_held_out_rows(spark):
     r = random.Random(3)
     prose = lambda: " ".join(r.choice(["river", "stone", "walks", "under", "bright", "the", "and", "of"]) for _ in range(r.randint(20, 80))).capitalize() + "."
