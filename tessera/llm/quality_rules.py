@@ -7,10 +7,11 @@ if so few of them are rejected that, were the true rate of false rejections
 most ``LEVEL`` / (strata x rules). Testing a rule ends with its first failure
 (fixed-sequence testing), strata and rules share the level (Bonferroni). So with
 confidence 1 - ``LEVEL`` no stratum loses more than ``RISK`` of its good
-documents by these rules.
+documents by these rules. A stratum without certified cutoffs has the base alone.
 
-Statistics, tests and verdicts are built-in expressions; nothing is shuffled but
-the labelled sample and the counts of the tests.
+Statistics, tests and verdicts are built-in expressions. Statistics are computed
+once and stored; no text is shuffled, only the labels, the statistics that they
+meet and the counts of the tests.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_GAP, text_of
+from tessera.llm.common import WORD_GAP, stored, text_of
 
 RISK = 0.05
 LEVEL = 0.05
-#: Labelled documents that cutoffs are certified on at most, and good ones that a stratum of its own needs.
-SAMPLE = 20_000
+#: Labelled good documents that a stratum needs for cutoffs.
 OWN_STRATUM = 700
-#: Strata of their own at most; the rest are judged together.
+#: Only of the SQL equivalent: labelled documents and strata at most, and the name of the pooled rest.
+SAMPLE = 20_000
 STRATA = 60
 REST = "*"
 BASE_WORDS = 20
@@ -108,34 +109,32 @@ def statistics(docs: DataFrame, *keep: Column) -> DataFrame:
 
 
 def binomial_tail(n: str, k: str, rate: float) -> Column:
-    """P(X <= k) for X ~ Bin(n, rate), term by term; n is bounded by the sample, so the first term is no underflow."""
-    first = f"exp({n} * ln(1 - {rate}D))"
-    step = f"(s, i) -> named_struct('t', s.t * ({n} - i + 1) / i * {rate / (1 - rate)}D, 'sum', s.sum + s.t * ({n} - i + 1) / i * {rate / (1 - rate)}D)"
-    total = f"aggregate(sequence(1L, {k}), named_struct('t', {first}, 'sum', {first}), {step}, s -> s.sum)"
-    return F.expr(f"CASE WHEN {k} = 0 THEN {first} WHEN {k} > {n} * {rate}D THEN 1D ELSE {total} END")
+    """P(X <= k) for X ~ Bin(n, rate): the logarithm of the last term, and the sum's ratio to it, which is at least 1."""
+    first = f"{n} * ln(1 - {rate}D)"
+    odds = f"(({n} - i + 1) / i * {rate / (1 - rate)}D)"
+    step = f"(s, i) -> named_struct('log', s.log + ln({odds}), 'ratio', 1D + s.ratio / {odds})"
+    total = f"aggregate(sequence(1L, {k}), named_struct('log', {first}, 'ratio', 1D), {step}, s -> exp(s.log + ln(s.ratio)))"
+    return F.expr(f"CASE WHEN {k} = 0 THEN exp({first}) WHEN {k} > {n} * {rate}D THEN 1D ELSE {total} END")
 
 
-def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """A bounded sample of good documents' ids. A document with several labels counts with its lowest."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """All good documents' ids. A document with several labels counts with its lowest."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
-    return chosen.where("quality = 1").select("doc_id")
+    return known.where("quality = 1").select("doc_id")
+
 
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang (null as empty) and the statistics of every row, stored."""
+    return stored(statistics(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang")))
 
-def tests(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+def tests(seen: DataFrame, labels: DataFrame) -> DataFrame:
     """Each stratum's, rule's and cutoff's test: n, k, p, and whether the sequence is certified so far."""
-    good = F.broadcast(labelled(labels))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").join(good, "doc_id")
-    seen = statistics(chosen, F.col("lang"))
+    good = seen.select("doc_id", "lang", "base_failed", *RULES).join(labelled(labels), "doc_id").where(~F.col("base_failed"))
     values = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("value"), F.array(*map(F.lit, cuts)).alias("cuts")) for name, cuts in RULES.items()])
-    each = seen.select("lang", "base_failed", F.inline(values)).select("lang", "base_failed", "rule", "value", F.posexplode("cuts").alias("step", "cut"))
-    fine = ~F.col("base_failed")  # counted, not filtered: a filter would move below and repeat the statistics
-    counts = each.groupBy("lang", "rule", "step", "cut").agg(F.count_if(fine).alias("n"), F.count_if(fine & (F.col("value") > F.col("cut"))).alias("k"))
-    sizes = counts.where((F.col("rule") == next(iter(RULES))) & (F.col("step") == 0) & (F.col("n") >= OWN_STRATUM))
-    own = sizes.orderBy(F.desc("n"), "lang").limit(STRATA).select("lang", F.col("lang").alias("stratum"))
-    by = counts.join(F.broadcast(own), "lang", "left").withColumn("stratum", F.coalesce("stratum", F.lit(REST)))
-    by = by.groupBy("stratum", "rule", "step", "cut").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    tried = by.withColumn("p", binomial_tail("n", "k", RISK / len(RULES)))
+    each = good.select("lang", F.inline(values)).select("lang", "rule", "value", F.posexplode("cuts").alias("step", "cut"))
+    counts = each.groupBy(F.col("lang").alias("stratum"), "rule", "step", "cut").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("k"))
+    tried = counts.where(F.col("n") >= OWN_STRATUM).withColumn("p", binomial_tail("n", "k", RISK / len(RULES)))
     everything = Window.partitionBy(F.lit(1))  # strata x rules x cutoffs, a few thousand rows at most
     shared = F.size(F.collect_set("stratum").over(everything)) * len(RULES)
     so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,30 +143,32 @@ def tests(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def cutoffs(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[str, float]], list[str]]:
     """rule -> stratum -> strictest certified cutoff, and the strata: some hundred numbers at most."""
-    rows = tests(docs, labels).collect()
+    return _cutoffs(measured(docs), labels)
+
+
+def _cutoffs(seen: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[str, float]], list[str]]:
+    rows = tests(seen, labels).collect()
     found: dict[str, dict[str, float]] = {rule: {} for rule in RULES}
     for r in rows:
         if r["certified"]:
             found[r["rule"]][r["stratum"]] = min(r["cut"], found[r["rule"]].get(r["stratum"], r["cut"]))
-    return found, sorted({r["stratum"] for r in rows} - {REST})
+    return found, sorted({r["stratum"] for r in rows})
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every row.
 
     Null and empty texts have no words and fail the base. Strata are languages,
-    null being one of its own; languages with few labels are judged together.
-    Without enough labels no cutoff is certified and the base alone decides.
+    null being one of its own. For a language without enough labels no cutoff is
+    certified and the base alone decides.
     Repeated rows and null doc_ids are judged like others; no rows give no rows;
     other columns are ignored.
     """
-    found, strata = cutoffs(docs, labels)
-    seen = statistics(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"))
-    stratum = F.when(F.col("lang").isin(strata), F.col("lang")).otherwise(F.lit(REST)) if strata else F.lit(REST)
-    seen = seen.withColumn("stratum", stratum)
+    seen = measured(docs)
+    found, _ = _cutoffs(seen, labels)
     broken = F.lit(False)
     for rule, cuts in found.items():
         if cuts:
             table = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
-            broken = broken | F.coalesce(F.col(rule) > F.try_element_at(table, F.col("stratum")), F.lit(False))
+            broken = broken | F.coalesce(F.col(rule) > F.try_element_at(table, F.col("lang")), F.lit(False))
     return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~broken).alias("kept"))

@@ -56,6 +56,27 @@ def test_cutoffs_reject_junk_and_keep_good(spark):
     assert quality_rules.quality_verdicts(docs.limit(0), labels).count() == 0
 
 
+def test_cutoffs_only_where_certified(spark):
+    assert quality_rules.labelled(spark.range(30_000).selectExpr("id as doc_id", "1 as quality")).count() == 30_000
+    r = random.Random(2)
+    good = lambda: " ".join(r.choice("abcdefghij") + str(r.randint(0, 10**6)) for _ in range(30))
+    odd = {2000: "l3", 2001: "unlabelled"}  # capitals, in a language with 100 labels and in one without any
+    rows = [(i, good(), f"l{i % 20}") for i in range(2000)] + [(i, good().upper(), lang) for i, lang in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, quality int")
+    assert quality_rules.cutoffs(docs, labels) == ({rule: {} for rule in quality_rules.RULES}, [])
+    assert quality_rules.quality_verdicts(docs, labels).where("kept = base_failed").count() == 0
+
+
+def test_binomial_tail_of_many(spark):
+    from math import exp, fsum, lgamma, log
+
+    rows = [(100_000, 900), (1_000_000, 9_700)]
+    for r in spark.createDataFrame(rows, "n long, k long").select("n", "k", quality_rules.binomial_tail("n", "k", 0.01).alias("p")).collect():
+        exact = fsum(exp(lgamma(r.n + 1) - lgamma(i + 1) - lgamma(r.n - i + 1) + i * log(0.01) + (r.n - i) * log(0.99)) for i in range(r.k + 1))
+        assert r.p == pytest.approx(exact, rel=1e-6) and 0 < r.p < 0.5
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule, verdict",
     [
