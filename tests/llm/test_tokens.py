@@ -50,6 +50,32 @@ def test_pieces_equal_the_library(spark):
     assert piece_bpe.round_trip(docs.limit(0), PIECES).count() == 0
 
 
+def test_a_difference_is_settled_by_the_library(monkeypatch):
+    """Wrong merges, wrong surfaces and a wrong fast counter change no result."""
+    from tokenizers import Tokenizer
+
+    texts = ["one two  three", "▁x y", "", "日本 a\n\nb"] * 8
+    m = piece_bpe.Model(PIECES)
+    monkeypatch.setitem(piece_bpe._models, PIECES, m)
+    monkeypatch.setattr(m, "merge", lambda word: [5])
+    m.surface = [b"?"] * len(m.surface)
+    ids = m.library.encode(texts)
+    assert [x[1] for x in piece_bpe.encode_batch(texts, PIECES)] == [",".join(map(str, i)) for i in ids]
+    assert [x[2] for x in piece_bpe.encode_batch(texts, PIECES)] == m.library.decode(ids)
+    t = token_count.Lengths(BPE)
+    monkeypatch.setitem(token_count._loaded, BPE, t)
+    t.fast = type("Wrong", (), {"encode_ordinary": lambda self, x: [0] * 99})()
+    want = [len(e.ids) for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert token_count.count_batch(texts, BPE, {}) == want and t.fast is None
+
+
+def test_pieces_cut_at_single_spaces_only():
+    text = " a b\n\nc d  e \tf\xa0 g h "
+    assert "".join(token_count.pieces(text)) == text
+    assert token_count.pieces(text) == [" a", " b\n\nc", " d  e \tf\xa0 g", " h "]
+    assert token_count.pieces("one two") == ["one", " two"] and token_count.pieces("") == []
+
+
 def test_recent_is_bounded():
     c = Recent(10)
     for i in range(1000):
