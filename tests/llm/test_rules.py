@@ -1,6 +1,8 @@
 """Quality rules, URL filters, classifier, extraction, decontamination."""
 
 import random
+import time
+from html import unescape
 
 import numpy as np
 import pytest
@@ -187,7 +189,7 @@ def test_extraction(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("html", ["<", "<p", "<!--", "<script>", "<a <b> c", "</p></div>", "<p title='x", "&", "&#x110000;", "<div>" * 3000 + "x", "<li><li><td><table><td>x", "<svg><p>no</svg>yes", "\0<p>\0"])
+@pytest.mark.parametrize("html", ["<", "<p", "<!--", "<script>", "<a <b> c", "</p></div>", "<p title='x", "&", "&#x110000;", "<div>" * 3000 + "x", "<li><li><td><table><td>x", "<svg><p>no</svg>yes", "<a ='>'", "<x\"y='z>", "\0<p>\0"])
 def test_parser_takes_any_string(html):
     assert isinstance(html_extract.parse(html).text(None), str)
 
@@ -196,6 +198,82 @@ def bench(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<div class="content with-sidebar"><p>article</p></div>', "article"),
+        ('<div class="page no-ads"><article>a</article></div>', "a"),
+        ('<div class="post search-result related-topic"><p>x</p></div>', "x"),
+        ('<p title="the hidden truth">p</p>', "p"),
+        ('<div data-id="ad-12" data-role="banner">q</div>', "q"),
+        ("<p>f <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, <svg><text>lab</text></svg> <object>fall</object></p>", "f x=2, lab fall"),
+        ('<div class="sidebar"><article><p>kept</p></article></div>', "kept"),
+        ('<article><h1>T</h1><p>a</p><div class="comment-list"><article class="comment-body"><p>c</p></article></div></article>', "T a"),
+        ('<div id="adBox-3">no</div><p>yes</p><div class="comments"><p>' + "long " * 90 + "</p></div>", "yes"),
+        ('<p>a<p hidden>b<p style="display: none">c<p>d', "a d"),
+        ("<article>a\u00a0 b<br>c<wbr>d &lt;e&gt; <b>f</b>g</article>", "a b cd <e> fg"),
+        ("<xmp><b>&amp;</xmp>", "<b>&amp;"),
+        ("1 < 2 and a<b", "1 < 2 and a<b"),
+    ],
+)
+def test_only_names_of_no_article_silence(html, text):
+    assert html_extract.parse(html).text(None) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<h1>", "<div>", '<a x=">" ', "<!--", "<script>", "</script", "<p>", "<li><li><td>", "<a b='> <a b=\"> ", "<", "&", '<div class="ad">', "</b>"])
+def test_parsing_takes_linear_time(piece):
+    def seconds(n):
+        html, began = piece * (n // len(piece)), time.process_time()
+        html_extract.parse(html).text(None)
+        return time.process_time() - began
+
+    assert seconds(400_000) < 8 * max(0.1, seconds(100_000))
+
+
+def test_generated_pages_against_their_making(spark):
+    """Pages of several hosts, each with its own markup; the right text is known from the making."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abdegiklmnorstu", k=r.randint(2, 9))) + r.choice(["", "", "", "&amp;", "&eacute;", "&#8211;"])
+    words = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
+    inline = [("<b>", "</b>"), ("<em class=ad-hoc>", "</em>"), ("<a href='/x?a=1>2'>", "</a>"), ("<!-- no -->", ""), ("<span>", "</span>"), ("", "")]
+    noise = [
+        lambda: f"<div class='ad slot-{r.randint(1, 99)}'><p>{words(2, 40)}</p></div>", lambda: f"<aside><p>{words(5, 60)}</p></aside>", lambda: f"<script>if (a<b) {{ '{words(1, 9)}</p>' }}</script>",
+        lambda: f"<form><label>{words(1, 3)}</label><select><option>{words(1, 3)}</select></form>", lambda: f"<ul id=commentList><li>{words(20, 90)}<li>{words(1, 30)}</ul>", lambda: f"<div role=alert>{words(2, 9)}</div>",
+    ]
+    shells = [
+        ("<main><div class='col c{n}'>", "</div></main>"), ("<div class='page has-sidebar'><article id=post-{n}>", "</article></div>"),
+        ("<table><tr><td class=nav>" + "menu " * 5 + "<td class='story no-comments'>", "</table>"), ("<div id=content data-id='ad-1'><section>", "</section></div>"),
+    ]
+    rows, want = [], {}
+    for i in range(240):
+        host = i % len(shells)
+        blocks = [words(15, 60) for _ in range(r.randint(3, 9))]
+        body = ""
+        for b in blocks:
+            a, z = r.choice(inline)
+            at = r.randint(0, b.count(" "))
+            cut = b.split(" ")
+            body += f"\n <p>{' '.join(cut[:at])} {a}{' '.join(cut[at:])}{z}" + r.choice(["</p>", ""])
+            if r.random() < 0.4:
+                body += r.choice(noise)()
+        html = f"<!DOCTYPE html><html class='no-js'><head><title>{words(2, 5)}</title></head><body class='single comments-open'><nav>{words(5, 20)}</nav><header><h1>{words(1, 4)}</h1></header>"
+        html += shells[host][0].replace("{n}", str(i)) + body + shells[host][1] + f"<footer>{words(2, 20)}</footer></body></html>"
+        rows.append((i, f"http://h{host}.example.net/{i}", html))
+        want[i] = " ".join(" ".join(unescape(b) for b in blocks).split())
+    got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i in want if got[i] != want[i]} == set()
+
+
+def test_ties_long_pages_and_repeats_of_pages(spark):
+    long = "<body><div class=a><p>" + "long text " * 60_000 + "</p></div></body>"
+    tie = "<body><div class=b><p>one two</p></div><div class=c><p>one two</p></div></body>"
+    rows = [(1, "http://a.org/1", long), (1, "http://a.org/1", long), (2, None, tie), (3, "http://b.org/", tie), (None, "http://c.org/", "<div>" * 2000 + "deep")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "path": F.lit("clash")})
+    got = [(x.page_id, x.text) for x in html_extract.main_text(pages).collect()]
+    assert sorted((x for x in got if x[0] is not None), key=str) == sorted([(1, ("long text " * 60_000).strip())] * 2 + [(2, "one two one two"), (3, "one two one two")], key=str)
+    assert (None, "deep") in got
+
+
 def test_decontamination_finds_other_parameters(spark):
     item = "Alice has 12 apples and gives 3.5 kg of them to Bob before walking 7 miles home with Alice's dog"
     other = "Carol has 40 apples and gives 9 pounds of them to Dave before walking 2 miles home with Carol's dog"
