@@ -169,12 +169,12 @@ def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrases(block: Block, width: int, gram: int) -> tuple[np.ndarray, ...]:
+def phrases(block: Block, width: int, gram: int, roll: Rolling | None = None) -> tuple[np.ndarray, ...]:
     """Anchor hash, content hash, first symbol, number of windows and anchor's place of each phrase of a block."""
     n = len(block.symbols)
     if n < width:
         return (np.empty(0, U),) * 2 + (np.empty(0, np.int64),) * 3
-    roll = Rolling(block.symbols)
+    roll = roll or Rolling(block.symbols)
     grams = mix(roll.all(gram))
     low = U((1 << 24) - 1)
     anchor = (sliding_min(grams & ~low | np.arange(len(grams), dtype=U), width - gram + 1) & low).astype(np.int64)
@@ -187,7 +187,7 @@ def phrases(block: Block, width: int, gram: int) -> tuple[np.ndarray, ...]:
     return grams[at], content, first, stop - first, at - first
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that brings equal keys together, begin of each group in it, and each entry's group."""
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
@@ -222,7 +222,7 @@ def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
 def _send(held: list[dict], buckets: int, bucket_of: Callable | None) -> pa.RecordBatch:
     """Merge equal entries of a batch. The content key is ``c``; ``a`` is the anchor, or part of the key."""
     rec = {f: np.concatenate([h[f] for h in held]) for f, _ in FIELDS}
-    order, begin, group = _groups(rec["a"], rec["c"])
+    order, begin, group = groups(rec["a"], rec["c"])
     times = np.diff(np.r_[begin, len(order)])
     settled = order[times[group] > 1]
     lead = order[begin]
@@ -261,17 +261,17 @@ def _joined_windows(rec: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f: x[order[first]] for f, x in rec.items()} | {"n": np.diff(np.r_[first, len(order)])}
 
 
-def _entries(b: pa.RecordBatch, lo: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc ids (null: 0), text hashes and the null flag of some rows of a batch."""
-    ids = b.column("doc_id").slice(lo, n)
-    return np.asarray(ids.fill_null(0)), np.asarray(b.column("h").slice(lo, n)), np.where(np.asarray(ids.is_null()), np.uint8(NULL_ID), np.uint8(0))
+def ids_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc ids (null: 0), text hashes and the null flag of the rows of a batch."""
+    ids = b.column("doc_id")
+    return np.asarray(ids.fill_null(0)), np.asarray(b.column("h")), np.where(np.asarray(ids.is_null()), np.uint8(NULL_ID), np.uint8(0))
 
 
 def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, buckets: int) -> DataFrame:
     def run(batches):
         held, count = [], 0
         for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
-            doc, h, null = _entries(b, 0, b.num_rows)
+            doc, h, null = ids_of(b)
             for block in blocks(b.column("t").to_pylist(), width):
                 a, c, first, n, place = phrases(block, width, gram)
                 row = block.row[first]
@@ -318,7 +318,7 @@ def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, bucket
     """
 
     def rows_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc, h, null = _entries(b, 0, b.num_rows)
+        doc, h, null = ids_of(b)
         cold, hot = [], []
         for i, (t, places) in enumerate(zip(b.column("t").to_pylist(), b.column("open").to_pylist())):
             text = cut(t)
@@ -367,7 +367,7 @@ def judge_phrases(t: pa.Table) -> pa.Table:
         if not len(own):
             continue
         a, c, k = rec["a"][own], rec["c"][own], kind[own]
-        order, begin, group = _groups(a, k == WITNESS, c)
+        order, begin, group = groups(a, k == WITNESS, c)
         total = np.add.reduceat(rec["times"][own][order].astype(np.int64), begin)
         lead_a, told = a[order][begin], k[order][begin] == WITNESS
         fresh = np.r_[True, lead_a[1:] != lead_a[:-1]]
@@ -408,7 +408,7 @@ def judge_open(t: pa.Table, blocks: Blocks, width: int, gram: int, equal: Callab
         rec = unpack(blobs)
         kind = rec["kind"] & np.uint8(127)
         own = np.flatnonzero(kind != SETTLED)
-        order, begin, group = _groups(rec["a"][own], rec["c"][own])
+        order, begin, group = groups(rec["a"][own], rec["c"][own])
         total = np.add.reduceat(rec["times"][own][order].astype(np.int64), begin) if len(own) else np.empty(0)
         at = own[order]
         at = np.concatenate([np.flatnonzero(kind == SETTLED), at[(total > 1)[group] & (rec["times"][at] == 1)]])
@@ -434,7 +434,7 @@ def by_hash(buckets: int) -> Callable:
 
 
 def equal_hashes(contexts: list[bytes], w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _groups(w.a, w.c)
+    return groups(w.a, w.c)
 
 
 def repeated(docs: DataFrame, blocks: Blocks, width: int, gram: int, cut: Callable, bucket_of: Callable | None = None, equal: Callable = equal_hashes) -> DataFrame:

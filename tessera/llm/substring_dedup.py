@@ -1,13 +1,9 @@
 """Removal of word passages that occur more than once, by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, cut into phrases and indexed in blocks: each
-bucket of ``repeats`` holds the phrases of its share of anchors or contents.
-Documents are factored against every block that can hold a factor of theirs: a
-phrase that a block knows from elsewhere extends the running factor, one that no
-block knows ends it. A factor is at least one phrase, so at least one window
-long, and becomes a duplicate span. At the ends of a factor, windows reach over
-the boundary into a phrase that differs; these are looked up one by one, so a
-passage that is cut by a boundary is found too, to the word.
+Documents are factored greedily against reference blocks that hold the whole
+corpus (see ``lempel_ziv``). A factor of ``WIDTH`` words or more becomes a
+duplicate span, and windows over the boundaries of factors are looked up too, so
+every word under a repeated window goes, to the word.
 """
 
 from __future__ import annotations
@@ -19,21 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import raw_text
-from tessera.llm.repeats import attach, covered, keyed, repeated, word_blocks, word_bounds
+from tessera.llm.lempel_ziv import factors
+from tessera.llm.repeats import attach, covered, keyed, word_blocks
 
 #: Words of a window, and of an anchor.
 WIDTH = 35
 GRAM = 8
 
 
-def _by_words(t: bytes):
-    start, end = word_bounds(t)
-    return lambda lo, hi: t[start[lo] : end[hi - 1]]
-
-
 def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, spans) of documents with repeated windows, in words."""
-    return repeated(docs, word_blocks, width, gram, _by_words)
+    return factors(docs, word_blocks, width, gram)
 
 
 def _cut(text: bytes, spans, width: int) -> tuple[int, int, bytes]:

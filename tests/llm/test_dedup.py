@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tessera.llm import components, repeats, simhash, substring_dedup, suffix_dedup
+from tessera.llm import components, lempel_ziv, repeats, simhash, substring_dedup, suffix_dedup
 from tessera.llm.common import WORD_GAP
 
 DOCS = "doc_id long, text string, h string, spans int, fp int"  # the last three clash with inner names
@@ -36,6 +37,8 @@ def corpus(seed):
 def test_repeats_equal_brute_force(spark, monkeypatch, seed, hot, gather, block):
     for name, value in (("HOT", hot), ("GATHER", gather), ("BLOCK", block)):
         monkeypatch.setattr(repeats, name, value)
+    for name, value in (("HOT", hot), ("GATHER", gather), ("SAMPLED", 1)):
+        monkeypatch.setattr(lempel_ziv, name, value)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     width, gram = 20, 6
@@ -57,6 +60,45 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, hot, gather, block)
     assert all(brute.sha((r.kept or "").encode()) == r.kept_sha256 for r in out.collect())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_equal_a_plain_greedy_parser(seed):
+    """Each phrase parsed word by word: the longest run that starts elsewhere in the block too, then from the first window that it does not cover."""
+    r = random.Random(seed)
+    width, gram = 6, 3
+    texts = [" ".join(r.choices("abc", k=r.randint(0, 60))) for _ in range(25)]
+    texts += [" ".join([*texts[i].split()[: r.randint(0, 60)], "x", *texts[i + 1].split()]) for i in range(10)] + [texts[0], "a " * 80]
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "h": pa.array([0] * len(texts), pa.int64()), "t": pa.array([t.encode() for t in texts], pa.binary())})
+    (rec, windows), *more = lempel_ziv._of_blocks(b, repeats.word_blocks, width, gram)
+    assert not more
+    sent = lempel_ziv.pack(rec, rec["begin"], windows, np.zeros(len(rec["n"]), np.uint64))
+    out = lempel_ziv.factor_block(pa.Table.from_batches([sent]))
+    got = sorted((d, s >> 24, (s & 0xFFFFFF) + width - 1) for d, s in zip(out["doc_id"].to_pylist(), out["span"].to_pylist()))
+
+    words = [t.split() for t in texts]
+    phrases = [(int(d), int(p), words[d][p : p + n + width - 1]) for d, p, n in zip(rec["doc"], rec["pos"], rec["n"])]
+    assert sorted((d, p + i) for d, p, w in phrases for i in range(len(w) - width + 1)) == [(d, i) for d, w in enumerate(words) for i in range(len(w) - width + 1)]
+    starts: dict[tuple, list] = {}
+    for q, (_, _, w) in enumerate(phrases):
+        for j in range(len(w) - width + 1):
+            starts.setdefault(tuple(w[j : j + width]), []).append((q, j))
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    want = []
+    for q, (d, p, w) in enumerate(phrases):
+        i = 0
+        while i + width <= len(w):
+            longest = max((common(w[i:], phrases[o][2][j:]) for o, j in starts[tuple(w[i : i + width])] if (o, j) != (q, i)), default=0)
+            if longest:
+                want.append((d, p + i, longest))
+            i += longest - width + 1 if longest else 1
+    assert got == sorted(want) and want
+
+
 def test_without_repeats_keeps_columns_and_rows(spark):
     rows = [(1, "a b c d e f", "en", 11), (2, "x a b c d e y", "en", 13), (None, None, None, None), (4, "  two  words ", "de", 13)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
