@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,34 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of a column of longs."""
+    m = np.uint64(0xFFFFFFFF)
+    c = [np.uint64(v) for v in (0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35)]
+    turn = lambda v, n: (v << np.uint64(n) | v >> np.uint64(32 - n)) & m
+    h = np.full(len(x), np.uint64(42))
+    for half in (x.astype(np.uint64) & m, x.astype(np.uint64) >> np.uint64(32)):
+        h = turn(h ^ turn(half * c[0] & m, 15) * c[1] & m, 13) * np.uint64(5) + c[2] & m
+    h ^= np.uint64(8)
+    h = (h ^ h >> np.uint64(16)) * c[3] & m
+    h = (h ^ h >> np.uint64(13)) * c[4] & m
+    return (h ^ h >> np.uint64(16)).astype(np.uint32).view(np.int32)
+
+
+def bucket_ids(spark: SparkSession, each: int = 4) -> np.ndarray:
+    """Numbers of buckets of which a shuffle by number deals ``each`` to every one of its partitions."""
+    parts = shuffle_parts(spark)
+    tried = 8 * parts * (each + 4)
+    while True:
+        ids = np.arange(tried)
+        of = _spread(ids).astype(np.int64) % parts
+        order = np.argsort(of, kind="stable")
+        begin = np.searchsorted(of[order], np.arange(parts))
+        if (np.diff(np.r_[begin, tried]) >= each).all():
+            return np.sort(np.concatenate([order[begin + i] for i in range(each)]))
+        tried *= 2
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on columns that carry the same names on both sides."""
     out = F.lit(True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_parts
+from tessera.llm.common import bucket_ids
 from tessera.llm.repeats import NULL_ID, U, Blocks, Rolling, groups, ids_of, keyed, mix, phrases
 
 #: Phrases that a worker gathers before it sends them.
@@ -94,7 +94,7 @@ def _factors_in_batch(rec: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _send(held: list[dict], windows: list[np.ndarray], hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _send(held: list[dict], windows: list[np.ndarray], hot: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """The entries of a batch: whole phrases by anchor, windows of hot anchors by content, of equal ones the first."""
     rec = {f: np.concatenate([x[f] for x in held]) for f in held[0]}
     w = np.concatenate(windows)
@@ -114,7 +114,7 @@ def _send(held: list[dict], windows: list[np.ndarray], hot: np.ndarray, buckets:
     done = _factors_in_batch({f: x[order[rest]] for f, x in rec.items()})
     even = mix(done["h"].astype(U) + done["pos"].astype(U))
     whole = {f: np.concatenate([lead[f], done[f]]) for f in rec}
-    return pack(whole, whole["begin"], w, np.r_[lead["by"], even] % U(buckets))
+    return pack(whole, whole["begin"], w, ids[np.r_[lead["by"], even] % U(len(ids))])
 
 
 def _of_blocks(b: pa.RecordBatch, blocks: Blocks, width: int, gram: int):
@@ -156,7 +156,7 @@ def hot_anchors(texts: DataFrame, blocks: Blocks, width: int, gram: int) -> np.n
     return np.sort(found["a"].to_numpy().view(U))
 
 
-def entries(texts: DataFrame, blocks: Blocks, width: int, gram: int, buckets: int) -> DataFrame:
+def entries(texts: DataFrame, blocks: Blocks, width: int, gram: int, ids: np.ndarray) -> DataFrame:
     """(bucket, entries): the phrases of all texts, dealt to reference blocks."""
     hot = texts.sparkSession.sparkContext.broadcast(hot_anchors(texts, blocks, width, gram))
 
@@ -169,10 +169,10 @@ def entries(texts: DataFrame, blocks: Blocks, width: int, gram: int, buckets: in
                 windows.append(w)
                 count, size = count + len(rec["a"]), size + len(w)
                 if count >= GATHER:
-                    yield _send(held, windows, hot.value, buckets)
+                    yield _send(held, windows, hot.value, ids)
                     held, windows, count, size = [], [], 0, 0
         if held:
-            yield _send(held, windows, hot.value, buckets)
+            yield _send(held, windows, hot.value, ids)
 
     return texts.mapInArrow(run, "bucket long, entries binary")
 
@@ -254,6 +254,6 @@ def factor_block(t: pa.Table) -> pa.Table:
 
 def factors(docs: DataFrame, blocks: Blocks, width: int, gram: int) -> DataFrame:
     """(doc_id, h, spans): the factors of each document that has any, each once however often its row is repeated."""
-    sent = entries(keyed(docs), blocks, width, gram, 4 * shuffle_parts(docs.sparkSession))
+    sent = entries(keyed(docs), blocks, width, gram, bucket_ids(docs.sparkSession))
     found = sent.groupBy("bucket").applyInArrow(factor_block, "doc_id long, h long, span long")
     return found.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
