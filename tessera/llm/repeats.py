@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import raw_text, shuffle_parts, stored
+from tessera.llm.common import bucket_ids, raw_text, stored
 
 U = np.uint64
 #: Symbols that are worked on at once, entries that a worker gathers before it sends them.
@@ -219,8 +219,9 @@ def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {f: np.concatenate(x) for f, x in parts.items()}
 
 
-def _send(held: list[dict], buckets: int, bucket_of: Callable | None) -> pa.RecordBatch:
+def _send(held: list[dict], ids: np.ndarray, bucket_of: Callable | None) -> pa.RecordBatch:
     """Merge equal entries of a batch. The content key is ``c``; ``a`` is the anchor, or part of the key."""
+    buckets = len(ids)
     rec = {f: np.concatenate([h[f] for h in held]) for f, _ in FIELDS}
     order, begin, group = groups(rec["a"], rec["c"])
     times = np.diff(np.r_[begin, len(order)])
@@ -248,15 +249,15 @@ def _send(held: list[dict], buckets: int, bucket_of: Callable | None) -> pa.Reco
             parts[2][f] = np.zeros_like(parts[2][f])
         by = np.r_[by, parts[2]["a"] % U(buckets)]
     whole = {f: np.concatenate([p[f] for p in parts]) for f, _ in FIELDS}
-    return pack(whole, np.r_[even, by])
+    return pack(whole, ids[np.r_[even, by].astype(np.int64)])
 
 
 def _joined_windows(rec: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Neighbouring windows of a document as one entry with their number."""
     order = np.lexsort((rec["pos"], rec["h"], rec["doc"], rec["kind"]))
     doc, h, kind, pos = (rec[f][order] for f in ("doc", "h", "kind", "pos"))
-    new = np.ones(len(order), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (pos[1:] != pos[:-1] + 1)
+    new = np.arange(len(order)) % 1_000_000 == 0  # a number of windows has 24 bits
+    new[1:] |= (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (pos[1:] != pos[:-1] + 1)
     first = np.flatnonzero(new)
     return {f: x[order[first]] for f, x in rec.items()} | {"n": np.diff(np.r_[first, len(order)])}
 
@@ -267,7 +268,7 @@ def ids_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(ids.fill_null(0)), np.asarray(b.column("h")), np.where(np.asarray(ids.is_null()), np.uint8(NULL_ID), np.uint8(0))
 
 
-def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, buckets: int) -> DataFrame:
+def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, ids: np.ndarray) -> DataFrame:
     def run(batches):
         held, count = [], 0
         for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
@@ -278,10 +279,10 @@ def phrase_entries(docs: DataFrame, blocks: Blocks, width: int, gram: int, bucke
                 held.append({"kind": null[row], "times": np.ones(len(a), np.uint8), "n": place << 16 | n, "pos": block.pos[first], "a": a, "c": c, "doc": doc[row], "h": h[row]})
                 count += len(a)
                 if count >= GATHER:
-                    yield _send(held, buckets, None)
+                    yield _send(held, ids, None)
                     held, count = [], 0
         if count:
-            yield _send(held, buckets, None)
+            yield _send(held, ids, None)
 
     return docs.mapInArrow(run, "bucket long, entries binary")
 
@@ -310,7 +311,7 @@ def windows_of(contexts: list[bytes], blocks: Blocks, width: int, gram: int) ->
     return Windows(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, buckets: int, cut: Callable, bucket_of: Callable) -> DataFrame:
+def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, ids: np.ndarray, cut: Callable, bucket_of: Callable) -> DataFrame:
     """Open phrases (column ``open``) with their text, or the entries of their windows where the anchor is hot.
 
     ``cut`` gives the text of symbols lo to hi of a document; ``bucket_of`` the
@@ -325,20 +326,20 @@ def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, bucket
             for x in places:
                 n, place = x["n"] & 0xFFFF, x["n"] >> 16
                 lo, hi = x["pos"], x["pos"] + n + width - 1
-                (hot if x["hot"] else cold).append((i, lo, text(lo, hi), x["a"], text(lo + place, hi)[:8]))
+                (hot if x["hot"] else cold).append((i, lo, text(lo, hi), x["a"], text(lo + place, min(hi, lo + place + gram))))
         if cold:
             row, pos, ctx, a, ahead = zip(*cold)
             row = np.array(row)
-            by = bucket_of(np.array(a, np.int64).view(U), ahead)
-            ids = pa.array(doc[row], pa.int64(), mask=null[row] > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(by.astype(np.int64)), pa.nulls(len(row), pa.binary()), ids, pa.array(h[row]), pa.array(pos, pa.int64()), pa.array(ctx, pa.binary())], OPEN_NAMES)
+            by = ids[bucket_of(np.array(a, np.int64).view(U), ahead).astype(np.int64)]
+            own = pa.array(doc[row], pa.int64(), mask=null[row] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(by), pa.nulls(len(row), pa.binary()), own, pa.array(h[row]), pa.array(pos, pa.int64()), pa.array(ctx, pa.binary())], OPEN_NAMES)
         if hot:
             row, pos, ctx, *_ = zip(*hot)
             row, pos = np.array(row), np.array(pos)
             w = windows_of(list(ctx), blocks, width, gram)
             row, pos = row[w.row], pos[w.row] + w.pos
             rec = {"kind": null[row], "times": np.ones(len(row), np.uint8), "n": np.ones(len(row), np.uint32), "pos": pos, "a": w.a, "c": w.c, "doc": doc[row], "h": h[row]}
-            sent = _send([rec], buckets, lambda r: r["c"] % U(buckets))
+            sent = _send([rec], ids, lambda r: r["c"] % U(len(ids)))
             none = pa.nulls(sent.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([sent.column(0), sent.column(1), none, none, none, pa.nulls(sent.num_rows, pa.binary())], OPEN_NAMES)
 
@@ -437,23 +438,25 @@ def equal_hashes(contexts: list[bytes], w: Windows) -> tuple[np.ndarray, np.ndar
     return groups(w.a, w.c)
 
 
-def repeated(docs: DataFrame, blocks: Blocks, width: int, gram: int, cut: Callable, bucket_of: Callable | None = None, equal: Callable = equal_hashes) -> DataFrame:
+def repeated(docs: DataFrame, blocks: Blocks, width: int, gram: int, cut: Callable, buckets_by: Callable | None = None, equal: Callable = equal_hashes) -> DataFrame:
     """(doc_id, h, spans): the starts of repeated windows of each document that has any.
 
     A span is a long: the first start, shifted by 24 bits, and the number of starts.
+    ``buckets_by`` makes the rule for buckets from all texts and their open phrases.
     """
-    buckets = 4 * shuffle_parts(docs.sparkSession)
+    ids = bucket_ids(docs.sparkSession)
     texts = keyed(docs)
-    sent = phrase_entries(texts, blocks, width, gram, buckets)
+    sent = phrase_entries(texts, blocks, width, gram, ids)
     judged = stored(sent.groupBy("bucket").applyInArrow(judge_phrases, OUT))
     still = judged.where("not settled")
     hot = stored(still.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot")))
     still = still.join(F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot, "a", "left").select("doc_id", "h", F.struct("pos", "n", "a", F.coalesce("hot", F.lit(False)).alias("hot")).alias("phrase"))
-    found = attach(texts, still.groupBy("doc_id", "h").agg(F.collect_list("phrase").alias("open")), "inner")
-    sent = open_phrases(found, blocks, width, gram, buckets, cut, bucket_of or by_hash(buckets))
+    found = attach(texts, still.groupBy("doc_id", "h").agg(F.collect_set("phrase").alias("open")), "inner")
+    bucket_of = buckets_by(texts, still, len(ids)) if buckets_by else by_hash(len(ids))
+    sent = open_phrases(found, blocks, width, gram, ids, cut, bucket_of)
     compared = sent.groupBy("bucket").applyInArrow(lambda t: judge_open(t, blocks, width, gram, equal), SPANS)
     settled = judged.where("settled").select("doc_id", "h", F.shiftleft("pos", 24).bitwiseOR(F.col("n").bitwiseAND(F.lit(0xFFFF))).alias("span"))
-    return settled.union(compared).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
+    return settled.union(compared).groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def covered(spans: list[int] | None, width: int) -> list[tuple[int, int]]:

@@ -4,11 +4,11 @@ Suffixes count by their first ``WIDTH`` bytes. Those that may have an equal are
 first narrowed down (see ``repeats``): stretches that repeat as a whole need no
 sort, and suffixes whose anchor occurs once have no equal. The others go, with
 the stretch of text they start in, to buckets that are range-partitioned by
-splitters sampled from leading characters, a character being the eight bytes from
-the stretch's anchor on. Each bucket sorts the suffixes of its stretches by
-multikey quicksort, eight bytes to a character, and compares neighbours.
-Splitters cut between characters, never inside one, and equal suffixes have
-equal anchors, so they share a bucket and boundaries hide none.
+splitters over the anchor's ``GRAM`` leading bytes, sampled from those stretches
+themselves, so a common opening is cut further on. Each bucket sorts the suffixes
+of its stretches by multikey quicksort, eight bytes to a character, and compares
+neighbours. Equal suffixes have equal anchors, and splitters cut between anchors,
+never inside one, so equal suffixes share a bucket and boundaries hide none.
 """
 
 from __future__ import annotations
@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import raw_text, shuffle_parts
+from tessera.llm.common import raw_text, same
 from tessera.llm.repeats import U, Windows, attach, byte_blocks, covered, keyed, repeated
 
 #: Bytes that make a suffix count as repeated, and bytes of an anchor.
 WIDTH = 200
 GRAM = 40
-#: Rows and suffixes of each row that the splitters are sampled from at most.
-SAMPLE_ROWS = 2_000
-SAMPLE_SUFFIXES = 50
+#: Open stretches that the splitters are sampled from, about.
+SAMPLE = 20_000
 
 
 def leading(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -40,20 +39,14 @@ def leading(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Leading characters that cut a bounded sample of suffixes evenly. They decide balance only."""
-    total = docs.count()
-    some = docs.sample(fraction=min(1.0, 1.2 * SAMPLE_ROWS / max(1, total)), seed=7) if total > SAMPLE_ROWS else docs
-    rows = some.select(F.substring(raw_text(), 1, 20_000).alias("t")).limit(SAMPLE_ROWS).collect()
-    seen = []
-    for r in rows:
-        raw = np.frombuffer(bytes(r["t"]), np.uint8)
-        if len(raw) >= 8:
-            seen.append(leading(raw, np.linspace(0, len(raw) - 8, SAMPLE_SUFFIXES).astype(int)))
-    if not seen:
-        return np.empty(0, U)
-    seen = np.sort(np.concatenate(seen))
-    return np.unique(seen[np.linspace(0, len(seen) - 1, buckets + 1).astype(int)[1:-1]])
+def splitters(texts: DataFrame, still: DataFrame, buckets: int, gram: int = GRAM) -> np.ndarray:
+    """Anchors that cut a bounded sample of the open stretches evenly. They decide balance only."""
+    some = still.where("not phrase.hot").select("doc_id", "h", (F.col("phrase.pos") + F.shiftright("phrase.n", 16) + 1).cast("int").alias("at"))
+    total = some.count()
+    some = some.sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=7).limit(2 * SAMPLE)
+    rows = texts.join(F.broadcast(some), same(texts, some, "doc_id", "h")).select(F.substring("t", F.col("at"), F.lit(gram)).alias("lead")).toArrow()
+    seen = np.sort(np.array(rows["lead"].to_pylist(), f"S{gram}"))
+    return np.unique(seen[np.linspace(0, len(seen) - 1, buckets + 1).astype(int)[1:-1]]) if len(seen) else seen
 
 
 def multikey_order(first: np.ndarray, following: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +80,9 @@ def _whole(t: bytes):
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, spans) of documents with repeated byte strings."""
-    cuts = splitters(docs, 4 * shuffle_parts(docs.sparkSession))
-
-    def bucket_of(a: np.ndarray, ahead: tuple[bytes, ...]) -> np.ndarray:
-        lead = np.frombuffer(b"".join([x.ljust(8, b"\0") for x in ahead]), ">u8").astype(U)
-        return np.searchsorted(cuts, lead, side="right")
+    def buckets_by(texts: DataFrame, still: DataFrame, buckets: int):
+        cuts = splitters(texts, still, buckets, gram)
+        return lambda a, ahead: np.searchsorted(cuts, np.array(ahead, cuts.dtype), side="right")
 
     def equal(contexts: list[bytes], w: Windows):
         raw = np.frombuffer(b"".join([*contexts, bytes(8)]), np.uint8)
@@ -103,7 +94,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         first = leading(raw, at) if width >= 8 else leading(raw, at) >> U(8 * (8 - width))
         return multikey_order(first, following)
 
-    return repeated(docs, byte_blocks, width, gram, _whole, bucket_of, equal)
+    return repeated(docs, byte_blocks, width, gram, _whole, buckets_by, equal)
 
 
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tessera.llm import components, lempel_ziv, repeats, simhash, substring_dedup, suffix_dedup
+from tessera.llm import common, components, lempel_ziv, repeats, simhash, substring_dedup, suffix_dedup
 from tessera.llm.common import WORD_GAP
 
 DOCS = "doc_id long, text string, h string, spans int, fp int"  # the last three clash with inner names
@@ -117,6 +117,26 @@ def test_empty_tables(spark):
     assert [r.n_removed for r in suffix_dedup.remove_repeated_bytes(blank).collect()] == [0, 0]
 
 
+def test_bucket_ids_are_dealt_evenly(spark):
+    ids = common.bucket_ids(spark, 3)
+    parts = common.shuffle_parts(spark)
+    assert len(set(ids.tolist())) == len(ids) == 3 * parts
+    rows = spark.createDataFrame([(int(i),) for i in ids] + [(-7,), (1 << 40,)], "b long").select("b", F.hash("b").alias("k")).collect()
+    assert [r.k for r in rows] == common._spread(np.array([r.b for r in rows])).tolist()
+    assert set(Counter(r.k % parts for r in rows[:-2]).values()) == {3}
+
+
+def test_splitters_cut_a_common_opening(spark):
+    """All stretches open with the same bytes; they are cut where they differ."""
+    r = random.Random(1)
+    rows = [(i, 0, b"x" * 30 + bytes(r.choices(b"ab\0", k=20))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, h long, t binary")
+    still = texts.select("doc_id", "h", F.struct(F.lit(0).cast("long").alias("pos"), F.lit(5).cast("long").alias("n"), F.lit(False).alias("hot")).alias("phrase"))
+    cuts = suffix_dedup.splitters(texts, still, 8, 40)
+    share = np.bincount(np.searchsorted(cuts, np.array([t[:40] for *_, t in rows], "S40"), side="right"))
+    assert len(share) == 8 and share.max() <= 60
+
+
 def test_multikey_order_sorts_ties_by_later_characters():
     r = np.random.default_rng(0)
     a, b, c = (r.integers(0, 3, 200).astype(np.uint64) for _ in range(3))
