@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import same, stored, text_of
+from tessera.llm.common import stored, text_of
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 LITERALS = 2
 #: Benchmark windows that are broadcast at most, some 40 MB.
 BROADCAST_WINDOWS = 1_000_000
+#: Documents with a hit whose keys are broadcast at most, some 24 MB; with more, texts are joined by a shuffle.
+BROADCAST_FOUND = 1_000_000
 
 #: Placeholders: letters that texts in other scripts lack.
 NAME, NUMBER, UNIT = "ꓠ", "ꓓ", "ꓴ"
@@ -48,27 +50,59 @@ def raw_tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, _BETWEEN), "")
 
 
-def _low_tokens(text: Column) -> Column:
-    return raw_tokens(F.lower(text))
+def _kinds(raw: Column) -> Column:
+    """Of each raw token its placeholder, empty for a word that stands for itself; units are not looked for.
 
+    A name is a capital followed by a small letter; words in capitals and single
+    letters are not.
+    """
+    return F.transform(raw, lambda x: F.when(x.rlike(r"^\p{N}"), NUMBER).when((x != F.lower(x)) & x.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(""))
 
-def template_tokens(text: Column, names: bool = True) -> Column:
-    """Tokens, one for one with ``raw_tokens``: placeholders, and other words in lower case.
 
-    A name is a capital followed by a small letter; words in capitals and single
-    letters are not, so a passage in capitals or in lower case equals the tokens
-    of its original without ``names``.
+def template_tokens(raw: Column, kinds: Column, names: bool = True) -> Column:
+    """Tokens, one for one with ``raw``: placeholders, and other words in lower case.
+
+    A passage in capitals or in lower case equals the tokens of its original
+    without ``names``.
     """
-    numbers = F.regexp_replace(text, rf"(?<!{_LETTER}|\p{{N}}[.,])\p{{N}}{_LETTER}*(?:(?<=\p{{N}})[.,]\p{{N}}{_LETTER}*)*", NUMBER)
-    named = F.regexp_replace(numbers, rf"(?<!{_LETTER})\p{{Lu}}\p{{Ll}}{_LETTER}*", NAME) if names else numbers
-    units = F.regexp_replace(F.lower(named), rf"(?<={NUMBER}[^\p{{L}}\p{{N}}]{{1,3}})(?:{'|'.join(UNITS)})(?!{_LETTER})", UNIT)
-    return raw_tokens(units)
+    low = F.transform(raw, F.lower)
+    unit = lambda x, i: (F.get(kinds, i - 1) == NUMBER) & x.isin(*UNITS)
+    kind = lambda x, i: F.when(F.get(kinds, i) == NUMBER, NUMBER).when(F.lit(names) & (F.get(kinds, i) == NAME), NAME).when((i > 0) & unit(x, i), UNIT).otherwise(x)
+    return F.transform(low, kind)
+
+
+def _windows(hashes: Column, width: int = WINDOW) -> Column:
+    """Hash of each run of ``width`` token hashes; null if there are fewer."""
+    starts = F.sequence(F.lit(0), F.size(hashes) - width)
+    return F.when(F.size(hashes) >= width, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])))
+
+
+def _short(hashes: Column, size: Column) -> Column:
+    """Hash of the first tokens of an item of fewer than ``WINDOW``."""
+    whole = F.lit(None).cast("long")
+    for n in range(1, WINDOW):
+        whole = F.when(size == n, F.xxhash64(*[F.get(hashes, F.lit(k)) for k in range(n)])).otherwise(whole)
+    return whole
+
 
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
-def _windows(tokens: Column, width: int = WINDOW) -> Column:
-    """Hash of each run of ``width`` tokens; null if there are fewer."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - width + 1)
-    return F.when(F.size(tokens) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, width))))
+
+def _template_hashes(low: Column, kinds: Column) -> Column:
+    """The hashes of the template tokens, from those of the words in lower case."""
+    number, name, unit = (_hash_of(x) for x in (NUMBER, NAME, UNIT))
+    units = [_hash_of(x) for x in UNITS]
+
+    def one(h: Column, i: Column) -> Column:
+        kind = F.get(kinds, i)
+        return F.when(kind == NUMBER, number).when(kind == NAME, name).when(h.isin(*units) & (i > 0) & (F.get(kinds, i - 1) == NUMBER), unit).otherwise(h)
+
+    return F.transform(low, one)
+
+
+def _hash_of(token: str) -> Column:
+    return F.xxhash64(F.lit(token))  # folded to a literal
 
 
 def _is_slot(token: Column) -> Column:
@@ -88,16 +122,17 @@ def item_classes(benchmark: DataFrame) -> DataFrame:
     words in lower case as a third form, which is ``exact`` and has no slots. There
     an item of fewer than ``WINDOW`` words is one window. ``shaped`` are templates.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("t"))
-    forms = ((template_tokens(F.col("t")), False), (template_tokens(F.col("t"), names=False), False), (_low_tokens(F.col("t")), True))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), raw_tokens(text_of()).alias("raw")).withColumn("kinds", _kinds(F.col("raw")))
+    raw, kinds = F.col("raw"), F.col("kinds")
+    forms = ((template_tokens(raw, kinds), False), (template_tokens(raw, kinds, names=False), False), (F.transform(raw, F.lower), True))
     forms = F.array(*[F.struct(tpl.alias("tpl"), F.lit(exact).alias("exact")) for tpl, exact in forms])
-    items = items.select("item_id", raw_tokens(F.col("t")).alias("raw"), F.inline(forms))
+    items = items.select("item_id", "raw", F.inline(forms))
     items = items.withColumn("pattern", _pattern(F.col("raw"), F.col("tpl")))
     first = items.groupBy("tpl", "pattern").agg(F.min_by("raw", F.struct("item_id", "raw")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"), F.max(~F.col("exact")).alias("shaped"))
     said = lambda i: F.size(F.filter(F.slice("tpl", i + 1, WINDOW), lambda x: ~_is_slot(x))) >= LITERALS
     marked = F.filter(F.transform("windows", lambda w, i: F.struct(i.alias("ipos"), w.alias("w"))), lambda x: said(x["ipos"]))
-    whole = F.when(F.col("exact") & F.size("tpl").between(1, WINDOW - 1), F.array(F.struct(F.lit(0).alias("ipos"), F.xxhash64("tpl").alias("w"))))
-    out = first.withColumn("windows", _windows(F.col("tpl"))).withColumn("windows", F.coalesce(marked, whole, F.expr("cast(array() as array<struct<ipos:int,w:bigint>>)")))
+    whole = F.when(F.col("exact") & F.size("tpl").between(1, WINDOW - 1), F.array(F.struct(F.lit(0).alias("ipos"), _short(F.col("hashes"), F.size("tpl")).alias("w"))))
+    out = first.withColumn("hashes", _hashes(F.col("tpl"))).withColumn("windows", _windows(F.col("hashes"))).withColumn("windows", F.coalesce(marked, whole, F.expr("cast(array() as array<struct<ipos:int,w:bigint>>)")))
     return out.select(F.xxhash64("tpl", "pattern").alias("cls"), "items", "raw", "tpl", "exact", "shaped", "windows", F.size("windows").alias("n_windows"))
 
 
@@ -145,7 +180,10 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = F.broadcast(index)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("t"))
     short = [r[0] for r in classes.where(F.col("exact") & F.size("tpl").between(1, WINDOW - 1)).select(F.size("tpl")).distinct().collect()]
-    tokens = texts.select("doc_id", "h", template_tokens(F.col("t")).alias("tpl"), _low_tokens(F.col("t")).alias("low"))
+    # one step for each array, so that none is computed again inside a lambda
+    tokens = texts.select("doc_id", "h", raw_tokens(F.col("t")).alias("raw"))
+    tokens = tokens.select("doc_id", "h", _kinds(F.col("raw")).alias("kinds"), F.transform("raw", lambda x: F.xxhash64(F.lower(x))).alias("low"))
+    tokens = tokens.select("doc_id", "h", "low", _template_hashes(F.col("low"), F.col("kinds")).alias("tpl"))
     hashed = tokens.select("doc_id", "h", _windows(F.col("tpl")).alias("w_tpl"), _windows(F.col("low")).alias("w_low"), *[_windows(F.col("low"), n).alias(f"w_{n}") for n in short])
     # a window without placeholders is the same in both forms and counts once
     other = F.transform("w_low", lambda w, i: F.when(~w.eqNullSafe(F.get("w_tpl", i)), w))
@@ -159,7 +197,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_class = hits.groupBy("doc_id", "h", "cls").agg(F.collect_list(F.struct("shift", "at")).alias("runs"))
     near = by_class.join(classes.select("cls", "n_windows"), "cls").where(F.size(F.array_distinct(F.flatten("runs.at"))) >= SIMILARITY * F.col("n_windows")).drop("n_windows")
     near = stored(near)
-    again = texts.join(near.hint("shuffle_hash"), same(texts, near, "doc_id", "h")).select(near["doc_id"], near["h"], raw_tokens(F.col("t")).alias("doc_raw"), "cls", "runs").dropDuplicates(["doc_id", "h", "cls"])
+    runs = near.withColumnsRenamed({"doc_id": "of_doc", "h": "of_text"}).hint("shuffle_hash")
+    again = _of(texts, near).join(runs, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_text"))).select("doc_id", "h", raw_tokens(F.col("t")).alias("doc_raw"), "cls", "runs").dropDuplicates(["doc_id", "h", "cls"])
     whole = again.join(classes, "cls")
 
     # one step for each array, so that none is computed again inside a lambda
@@ -171,9 +210,18 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return kept.where(F.col("n_matched") >= SIMILARITY * F.col("n_windows")).select("doc_id", "h", "items", "shaped", "n_windows", "n_matched")
 
 
+def _of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc_id, h, t) that ``found`` names; no text is shuffled where those are few."""
+    keys = found.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_text")).distinct()
+    if keys.count() > BROADCAST_FOUND:
+        return texts
+    return texts.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_text")), "left_semi")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns as they are."""
-    bad = _found(docs, benchmark).select(F.col("doc_id").alias("_dc_doc"), F.col("h").alias("_dc_text")).distinct()
+    bad = stored(_found(docs, benchmark).select(F.col("doc_id").alias("_dc_doc"), F.col("h").alias("_dc_text")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_FOUND else bad
     marked = docs.withColumn("_dc_own", F.xxhash64(text_of()))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_dc_doc")) & (F.col("_dc_own") == F.col("_dc_text"))
     return marked.join(bad, on, "left_anti").select(docs.columns)

@@ -317,10 +317,28 @@ def test_decontamination_finds_copies_word_for_word(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == list(range(5, 11))
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_decontamination_with_and_without_broadcasts(spark, monkeypatch, limit):
+    """A window that a third of all texts hold, a very long text, repeated rows; joins broadcast or shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_FOUND", limit)
+    common, item = "every page of this site ends with these nine words", "A farmer sells 12 boxes with 30 eggs each at the market in town"
+    long = "filler words go on and on " * 30_000 + item + " and on" * 10
+    rows = [(i, f"{common} {i}" if i % 3 == 0 else f"text {i}") for i in range(300)] + [(900, long), (900, long), (901, item.replace("12", "15")), (None, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("clash"), "w": F.lit(1)})
+    items = spark.createDataFrame([(0, item), (1, common), (1, common)], "item_id long, text string").withColumn("cls", F.lit("clash"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(i, 1) for i in range(0, 300, 3)} | {(900, 0), (901, 0), (None, 1)}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, items).collect()} == {i for i in range(300) if i % 3}
+
+
 def test_tokens_line_up(spark):
-    rows = [("x5.5 and 5.5.5 km, Ünder 3rd 7kg-b 1,000 m. A.B c2 12 hours",), ("ÄÖ ñ 日本 ٣ 4%",), ("",), ("...",)]
-    df = spark.createDataFrame(rows, "t string")
-    for r in df.select(decontaminate.raw_tokens(F.col("t")).alias("a"), decontaminate.template_tokens(F.col("t")).alias("b")).collect():
-        assert len(r.a) == len(r.b)
-    first = df.select(decontaminate.template_tokens(F.col("t")).alias("b")).first().b
-    assert first[:4] == ["x5.5", "and", decontaminate.NUMBER, decontaminate.UNIT] and first[-2:] == [decontaminate.NUMBER, decontaminate.UNIT]
+    rows = [("x5.5 and 5.5.5 km, Ünder 3rd 7kg-b 1,000 m. A.B c2 12 hours Kilo 5 --- 6     g",), ("ÄÖ ñ 日本 ٣ 4%",), ("",), ("...",)]
+    df = spark.createDataFrame(rows, "t string").select(decontaminate.raw_tokens(F.col("t")).alias("a")).withColumn("k", decontaminate._kinds(F.col("a")))
+    df = df.withColumns({"b": decontaminate.template_tokens(F.col("a"), F.col("k")), "h": decontaminate._template_hashes(F.transform("a", lambda x: F.xxhash64(F.lower(x))), F.col("k"))})
+    df = df.withColumn("same", decontaminate._hashes(F.col("b")) == F.col("h"))
+    for r in df.collect():
+        assert len(r.a) == len(r.b) and r.same
+    first = df.first().b
+    assert first[:4] == ["x5.5", "and", decontaminate.NUMBER, decontaminate.UNIT] and first[-5:] == [decontaminate.UNIT, decontaminate.NAME, decontaminate.NUMBER, decontaminate.NUMBER, decontaminate.UNIT]
+    assert first[4:6] == [decontaminate.NAME, decontaminate.NUMBER]
