@@ -89,33 +89,39 @@ class Space:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """label and packed term counts, made on the executors."""
+    """label, and the places and values of the term counts that are not zero, made on the executors."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
                 part = b.slice(lo, BLOCK)
-                packed = [np.minimum(terms(t), 6e4).astype(np.float16).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["label", "counts"])
+                each = [terms(t) for t in part.column(1).to_pylist()]
+                at = [np.flatnonzero(x) for x in each]
+                columns = [[i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for x, i in zip(each, at)]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in columns]], ["label", "at", "counts"])
 
-    return docs.mapInArrow(run, "label int, counts binary")
+    return docs.mapInArrow(run, "label int, at binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
     """Fit on at most ``sample`` labelled documents outside the held-out part.
 
-    A document with several labels counts with its lowest. Null labels and ids
-    are left out. Without labelled documents every score is 1.
+    A document with several labels counts with its lowest, an id with several texts
+    with the least of them. Null labels and ids are left out. Without labelled
+    documents every score is 1.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("t"))
-    rows = _features(texts.join(F.broadcast(chosen), "doc_id").select("label", "t")).limit(2 * sample).collect()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("t").alias("t"))
+    rows = _features(one.select("label", "t")).collect()
     label = np.array([r["label"] for r in rows], np.float32)
     if not len(rows):
         return Space(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), label)
-    counts = np.stack([np.frombuffer(r["counts"], np.float16) for r in rows]).astype(np.float32)
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for own, r in zip(counts, rows):
+        own[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.float32)
     order = np.lexsort((label, *(counts[:, j] for j in range(0, TERMS, 997)), counts.sum(axis=1)))  # whatever order they came in
     counts, label = counts[order], label[order]
     weight = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
