@@ -55,14 +55,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
+    """doc_id, h (the text's hash) and fp (the fingerprint's 64 bits as a long) of every row."""
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), raw_text().alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(raw_text()).alias("h"), raw_text().alias("t")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _split(mask: int) -> list[int]:
@@ -212,6 +212,17 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(_join_bucket, "u long, v long")
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, h, fp, root (a fingerprint of the component) and component_id of every row of ``docs``."""
+    marked = stored(fingerprints(docs))
+    least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
+    root = stored(root.join(least, "fp"))
+    joint = root.groupBy("root").agg(F.min("least").alias("joint")).join(root.select("root", "fp"), "root").select("fp", "root", "joint")
+    ids = least.join(joint, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("joint", "least").alias("component_id"))
+    return marked.join(ids, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
@@ -221,18 +232,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null doc_id is no candidate for component_id, which is null where a
     component has no other. No rows give no rows; other columns are ignored.
     """
-    marked = stored(fingerprints(docs))
-    least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
-    root = stored(root.join(least, "fp"))
-    joint = root.groupBy("root").agg(F.min("least").alias("joint")).join(root.select("root", "fp"), "root").select("fp", "joint")
-    ids = least.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leads its component; of equal rows one. Null doc_ids stay."""
-    lead = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(lead, "doc_id", "left_semi").withColumn("_same", F.xxhash64(F.coalesce("text", F.lit(""))))
-    named = named.dropDuplicates(["doc_id", "_same"]).drop("_same")
+    """The row of ``docs`` that leads its component: the smallest doc_id and, of several texts with it, the least hash.
+
+    Of equal rows one stays. Null doc_ids stay.
+    """
+    lead = classes(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("lead")).select("lead.*")
+    lead = lead.select(F.col("doc_id").alias("_sh_doc"), F.col("h").alias("_sh_text"))
+    named = docs.where("doc_id is not null").withColumns({"_sh_id": F.col("doc_id").cast("long"), "_sh_h": F.xxhash64(raw_text())})
+    named = named.join(lead, (F.col("_sh_id") == F.col("_sh_doc")) & (F.col("_sh_h") == F.col("_sh_text")), "left_semi").dropDuplicates(["_sh_id", "_sh_h"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
