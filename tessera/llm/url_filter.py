@@ -13,6 +13,7 @@ of a page and not on the number of pages.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 
 from pyspark.ml.fpm import FPGrowth
@@ -76,16 +77,47 @@ def bad_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("bad") == 1, F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens(F.col("url"))).alias("items"))
 
 
+def _file(tokens: list[str]) -> list[list[str]]:
+    """Tokens by their part of the index."""
+    index: list[list[str]] = [[] for _ in range(PARTS)]
+    for t in tokens:
+        index[_part(t)].append(t)
+    return index
+
+
+def _part(token: str) -> int:
+    return zlib.crc32(token.encode()) % PARTS
+
+
+def thinned(transactions: DataFrame, least: int, confidence: float) -> tuple[list[str], DataFrame]:
+    """Tokens that are rules by themselves, and the transactions without what can be in no other rule.
+
+    A token with fewer than ``least`` bad pages is in no rule. One that suffices
+    alone is in no longer rule. Of tokens on exactly the same pages one is enough
+    (the shortest, then the first); otherwise every subset of them would count.
+    """
+    bad = F.array_contains("items", BAD).alias("bad")
+    each = transactions.select(bad, F.xxhash64("items").alias("h"), F.explode(F.array_remove("items", BAD)).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("k"), F.bit_xor("h").alias("x"), F.sum(F.col("h") % 1_000_003).alias("s")).where(F.col("k") >= least)
+    rows = sorted(counts.collect(), key=lambda r: (len(r["token"]), r["token"]))  # each is in a share of the pages: some ten thousand at most
+    alone = [r["token"] for r in rows if r["k"] >= confidence * r["n"]]
+    first = {(r["n"], r["k"], r["x"], r["s"]): r["token"] for r in reversed(rows) if r["k"] < confidence * r["n"]}
+    index = F.from_json(F.lit(json.dumps(_file(list(first.values())))), "array<array<string>>")
+    useful = lambda t: F.array_contains(F.get(index, (F.crc32(t.cast("binary")) % PARTS).cast("int")), t)
+    return alone, transactions.select(F.filter("items", lambda t: (t == BAD) | useful(t)).alias("items"))
+
+
 def mine(transactions: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_PAGES) -> list[list[str]]:
-    """Token combinations that imply a bad label; all that hold no shorter one."""
+    """Token combinations that imply a bad label; all that hold no shorter one, but for tokens that always come with another."""
     total = transactions.count()
     if not total:
         return []
     floor = min(1.0, max(support, least / total))
-    model = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=confidence).fit(transactions)
+    alone, rest = thinned(transactions, math.ceil(floor * total), confidence)
+    kept = [[t] for t in sorted(alone)]
+    model = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=confidence).fit(rest)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == BAD))
     rest = stored(found.select(F.array_sort("antecedent").alias("rule")))
-    kept: list[list[str]] = []
     for n in range(1, (rest.agg(F.max(F.size("rule"))).first()[0] or 0) + 1):
         level = sorted(r["rule"] for r in rest.where(F.size("rule") == n).collect())
         if level:
@@ -102,7 +134,7 @@ def _holds(has: Column, rules: list[list[str]]) -> Column:
             often[t] = often.get(t, 0) + 1
     index: list[list[list[str]]] = [[] for _ in range(PARTS)]
     for r in rules:
-        index[zlib.crc32(min(r, key=lambda t: (often[t], t)).encode()) % PARTS].append(r)
+        index[_part(min(r, key=lambda t: (often[t], t)))].append(r)
     literal = F.from_json(F.lit(json.dumps(index)), "array<array<array<string>>>")  # folded to a literal once
     part = lambda t: F.get(literal, (F.crc32(t.cast("binary")) % PARTS).cast("int"))
     return F.exists(has, lambda t: F.exists(part(t), lambda r: F.size(F.array_except(r, has)) == 0))
