@@ -59,16 +59,14 @@ f AS (SELECT a.*, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines))
 s AS (SELECT *, n_words < {qr.BASE_WORDS} OR 100 * n_repeat_words > {qr.BASE_REPEAT_PERCENT} * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbol_rate,
   CASE WHEN word_chars > 0 THEN capitals::DOUBLE / word_chars ELSE 0 END AS capital_rate, CASE WHEN n_words > 0 THEN marks::DOUBLE / n_words ELSE 0 END AS mark_rate,
   CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS line_rate, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_rate FROM f),
-lab AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {qr.SAMPLE}),
-good AS (SELECT s.* FROM s JOIN lab USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+lab AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+good AS (SELECT doc_id, lang AS stratum, {", ".join(f"max({r}) AS {r}" for r in qr.RULES)} FROM s JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
 cuts(rule, step, cut) AS (VALUES {rules}),
-own AS (SELECT lang FROM good GROUP BY 1 HAVING count(*) >= {qr.OWN_STRATUM} ORDER BY count(*) DESC, lang LIMIT {qr.STRATA}),
-strata AS (SELECT DISTINCT lang, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '{qr.REST}' END AS stratum FROM s),
-c AS (SELECT stratum, rule, step, cut, count(*) AS n, count_if({value} > cut)::BIGINT AS k FROM good JOIN strata USING (lang) CROSS JOIN cuts GROUP BY 1, 2, 3, 4),
+c AS (SELECT stratum, rule, step, cut, count(*) AS n, count_if({value} > cut)::BIGINT AS k FROM good CROSS JOIN cuts GROUP BY 1, 2, 3, 4 HAVING count(*) >= {qr.OWN_STRATUM}),
 p AS (SELECT *, CASE WHEN k > n * {risk} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS p FROM c),
 o AS (SELECT *, min((p <= {qr.LEVEL} / ((SELECT count(DISTINCT stratum) FROM c) * {len(qr.RULES)}))::INT) OVER (PARTITION BY stratum, rule ORDER BY step) = 1 AS certified FROM p),
 b AS (SELECT stratum, rule, min(cut) AS cut FROM o WHERE certified GROUP BY 1, 2),
-bad AS (SELECT DISTINCT s.rid FROM s JOIN strata USING (lang) JOIN b USING (stratum) WHERE {value} > cut)
+bad AS (SELECT DISTINCT s.rid FROM s JOIN b ON s.lang = b.stratum WHERE {value} > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM s"""
 
 

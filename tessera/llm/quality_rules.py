@@ -25,10 +25,6 @@ RISK = 0.05
 LEVEL = 0.05
 #: Labelled good documents that a stratum needs for cutoffs.
 OWN_STRATUM = 700
-#: Only of the SQL equivalent: labelled documents and strata at most, and the name of the pooled rest.
-SAMPLE = 20_000
-STRATA = 60
-REST = "*"
 BASE_WORDS = 20
 BASE_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -129,8 +125,13 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def tests(seen: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each stratum's, rule's and cutoff's test: n, k, p, and whether the sequence is certified so far."""
-    good = seen.select("doc_id", "lang", "base_failed", *RULES).join(labelled(labels), "doc_id").where(~F.col("base_failed"))
+    """Each stratum's, rule's and cutoff's test: n, k, p, and whether the sequence is certified so far.
+
+    A labelled id counts once in a stratum, however many rows it has; of different
+    rows each rule sees the highest value.
+    """
+    rows = seen.select("doc_id", "lang", "base_failed", *RULES).join(labelled(labels), "doc_id").where(~F.col("base_failed"))
+    good = rows.groupBy("doc_id", "lang").agg(*[F.max(rule).alias(rule) for rule in RULES])
     values = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("value"), F.array(*map(F.lit, cuts)).alias("cuts")) for name, cuts in RULES.items()])
     each = good.select("lang", F.inline(values)).select("lang", "rule", "value", F.posexplode("cuts").alias("step", "cut"))
     counts = each.groupBy(F.col("lang").alias("stratum"), "rule", "step", "cut").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("k"))

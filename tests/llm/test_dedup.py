@@ -187,6 +187,13 @@ def test_near_duplicates_and_one_of_each(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*ids.values(), None])
 
 
+def test_one_of_each_with_two_texts_of_an_id(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen fifteen")
+    rows = [(5, a), (3, b), (5, b), (5, c), (5, c), (7, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("clash"), "fp": F.lit("clash"), "root": F.lit("clash")})
+    assert Counter((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()) == Counter([(5, a), (3, b), (5, c)])
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -79,6 +79,43 @@ def test_binomial_tail_of_many(spark):
         assert r.p == pytest.approx(exact, rel=1e-6) and 0 < r.p < 0.5
 
 
+def test_repeated_rows_certify_nothing(spark):
+    """100,000 copies of one labelled document are one document; cutoffs stay uncertified."""
+    one = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("some good words " * 10).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(2, 300).select(F.col("id").alias("doc_id"), F.lit("other fine words " * 10).alias("text"), F.lit("en").alias("lang"))
+    docs = one.union(few).withColumns({"n_words": F.lit("clash"), "kept": F.lit("clash")})
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality_rules.cutoffs(docs, labels)[1] == []
+
+
+def test_quality_verdicts_equal_their_sql(spark, tmp_path):
+    """Two languages with enough labels for certified cutoffs, one with too few."""
+    import duckdb
+
+    from tessera.llm import oracle
+
+    r = random.Random(4)
+    rows = []
+    for i in range(3600):
+        text = " ".join(r.choice("abcdefghij") + str(r.randint(0, 10**6)) for _ in range(30))
+        junk = [lambda t: t.replace(" ", "*** "), str.upper, lambda t: t.replace(" ", "! "), lambda t: t][i % 4] if i % 5 == 0 else (lambda t: t)
+        rows.append((i, junk(text), ["en", "fr", "en", "fr", "de", "en"][i % 6] if i % 50 else None))
+    rows += rows[:9] + [(None, "x " * 40, "en"), (3, "## " * 40, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(3600)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found, strata = quality_rules.cutoffs(docs, labels)
+    assert strata == ["en", "fr"] and all(found["symbol_rate"].get(x) and found["capital_rate"].get(x) for x in strata)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = sorted(map(str, (tuple(x) for x in quality_rules.quality_verdicts(docs, labels).select(names).collect())))
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({oracle.quality_sql()})").fetchall()
+    assert got == sorted(map(str, want)) and any(x.endswith("False, False)") for x in got)
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule, verdict",
     [
@@ -118,6 +155,39 @@ def test_mined_url_rules(spark):
     assert ["host:casino"] in rules and not any("host:casino" in r for r in rules if len(r) > 1)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_equal_a_plain_miner(spark, seed):
+    """All subsets of tokens, counted page by page; of tokens on the same pages the shortest stands for all."""
+    from itertools import combinations
+
+    r = random.Random(seed)
+    pages = [sorted({r.choice("abcdefg") for _ in range(r.randint(0, 5))}) for _ in range(120)]
+    pages = [p + [x + "same" for x in p if x in "ab"] for p in pages]
+    rows = [p + ([url_filter.BAD] if r.random() < 0.1 + 0.6 * ("a" in p and "c" in p) + 0.4 * ("d" in p) else []) for p in pages]
+    got = url_filter.mine(spark.createDataFrame([(x,) for x in rows], "items array<string>"), support=0.0, confidence=0.55, least=4)
+    sets = [frozenset(x) for x in rows]
+    on = lambda s: [p for p in sets if s <= p]
+    tokens = sorted({t for p in pages for t in p}, key=lambda t: (len(t), t))
+    same: dict[tuple, str] = {}
+    for t in tokens:
+        same.setdefault(tuple(i for i, p in enumerate(sets) if t in p), t)
+    holds = lambda s: (n := len(on(s))) and (k := len(on(s | {url_filter.BAD}))) >= 4 and k >= 0.55 * n
+    want = [{t} for t in tokens if holds(frozenset([t]))]
+    for n in range(2, 6):
+        for c in combinations(sorted(same.values()), n):
+            if not any(w <= set(c) for w in want) and holds(frozenset(c)):
+                want.append(set(c))
+    assert sorted(map(sorted, got)) == sorted(map(sorted, want)) and any(len(w) > 1 for w in want)
+
+
+def test_long_urls_repeats_and_null_ids_of_pages(spark):
+    rows = [(i % 50, "http://spam.net/" + "/".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)) + f"/{i}") for i in range(100)] + [(None, f"http://fine.net/{100 + i}") for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("clash"), "items": F.lit("clash")})
+    labels = spark.createDataFrame([(i, int(i >= 100 or i % 5 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int").withColumn("url", F.lit("clash"))
+    got = url_filter.judge(pages, labels).groupBy("host", "verdict").count().collect()
+    assert {tuple(x) for x in got} == {("spam.net", "block", 100), ("fine.net", "allow", 100)}
+
+
 def test_no_general_url_rule_is_crowded_out(spark):
     extra = "abcdefghi"  # thousands of combinations, all bad, of tokens that come with one bad host
     rows, labels = [], []
