@@ -24,24 +24,30 @@ def locked(examples: DataFrame, split: str = "held_out", task: str = "hidden_sta
 
 
 def normalized_predictions(predictions: DataFrame) -> DataFrame:
-    """Stored flags and rewards where there are any, else derived ones.
+    """Stored flags and rewards where there are any, else derived ones, row by row.
 
-    Columns that a source lacks count as absent; a column that is there and null
-    is false, as for ``correct`` and ``parse_failed``.
+    ``_keys`` lists the keys that a row's line has; without that column every row
+    has the columns that the source has. A key that is absent is derived; one
+    that is there and null is false, as for ``correct`` and ``parse_failed``.
     """
-    has = set(predictions.columns)
-    raw = F.coalesce(F.col("raw_text"), F.lit("")) if "raw_text" in has else F.lit("")
-    failed = F.coalesce(F.col("parse_failed"), F.lit(False)) if "parse_failed" in has else parse_failure(raw, F.col("parsed_answer"))
+    columns = set(predictions.columns)
+
+    def given(name: str) -> Column:
+        if name not in columns:
+            return F.lit(False)
+        return F.array_contains("_keys", name) if "_keys" in columns else F.lit(True)
+
+    def stored(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in columns else F.lit(False)
+
+    raw = F.coalesce(F.col("raw_text"), F.lit("")) if "raw_text" in columns else F.lit("")
+    gold = F.col("ground_truth") if "ground_truth" in columns else F.lit(None).cast("string")
+    failed = F.when(given("parse_failed"), stored("parse_failed")).otherwise(parse_failure(raw, F.col("parsed_answer")))
     df = predictions.withColumns({"raw_text": raw, "parse_failed": failed})
-    if "correct" in has or "matched" in has:
-        correct = F.coalesce(F.col("correct" if "correct" in has else "matched"), F.lit(False))
-    elif "ground_truth" in has:
-        correct = F.when(F.col("ground_truth").isNotNull(), ~F.col("parse_failed") & exact_match(F.col("parsed_answer"), F.col("ground_truth")))
-    else:
-        correct = F.lit(None).cast("boolean")
-    df = df.withColumn("correct", correct)
-    given = F.col("reward").cast("double") if "reward" in has else F.lit(None).cast("double")
-    return df.withColumn("reward", F.coalesce(given, F.col("correct").cast("int").cast("double")))
+    own = F.when(gold.isNotNull(), ~F.col("parse_failed") & exact_match(F.col("parsed_answer"), gold))
+    df = df.withColumn("correct", F.when(given("correct"), stored("correct")).when(given("matched"), stored("matched")).otherwise(own))
+    reward = F.col("reward").cast("double") if "reward" in columns else F.lit(None).cast("double")
+    return df.withColumn("reward", F.coalesce(reward, F.col("correct").cast("int").cast("double"))).drop("_keys")
 
 
 def align(examples: DataFrame, methods: DataFrame, predictions: DataFrame) -> DataFrame:

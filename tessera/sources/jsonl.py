@@ -93,26 +93,25 @@ def optional_table(spark: SparkSession, path: str | None, schema: str) -> DataFr
 
 
 def keyed_table(spark: SparkSession, path: str, schema: str, value: str) -> DataFrame:
-    """One row for each (example_id, method_id); of repeated keys the last line."""
-    rows = parsed(spark, path, schema, [])
-    fields = [c for c in rows.columns if c not in ("file", "ord", "_line", "_error", "example_id", "method_id")]
+    """One row for each (example_id, method_id); of repeated keys the last line. A broken line or missing key is an error."""
+    rules = [(blank(F.col(k)), f"{k} is missing") for k in ("example_id", "method_id")]
+    rows = strict(parsed(spark, path, schema, rules))
+    fields = [c for c in rows.columns if c not in ("ord", "example_id", "method_id")]
     last = rows.groupBy("example_id", "method_id").agg(F.max_by(F.struct(*fields), "ord").alias("r"))
     return last.select("example_id", "method_id", "r.*")
 
 
 def predictions(spark: SparkSession, path: str, method_id: str) -> DataFrame:
-    """A method's predictions with only the columns that its file has; ids must be there once.
+    """A method's predictions, with the keys that each line has in ``_keys``; ids must be there once.
 
-    Presence decides how rows are normalised, so keys that no line has are dropped.
+    Presence decides how a row is normalised, so a file may mix rows with and
+    without stored flags.
     """
     from tessera.operators.guards import require_unique
 
     rows = parsed(spark, path, schemas.PREDICTION, [(blank(F.col("example_id")), "example_id is missing")])
-    keys = rows.select(F.explode(F.json_object_keys("_line")).alias("k")).distinct()
-    known = {r[0] for r in keys.where(F.col("k").isin(*rows.columns)).limit(100).collect()}
-    optional = {"parse_failed", "correct", "matched", "reward", "ground_truth"}
-    kept = strict(rows).select(*[c for c in strict(rows).columns if c not in optional - known])
-    return require_unique(kept, "example_id").withColumn("method_id", F.lit(method_id))
+    rows = strict(rows.withColumn("_keys", F.json_object_keys("_line")))
+    return require_unique(rows, "example_id").withColumn("method_id", F.lit(method_id))
 
 
 def document(spark: SparkSession, path: str | None) -> DataFrame:

@@ -175,3 +175,25 @@ def test_reports_do_not_overclaim():
     assert built["evaluation"] == {"accuracy": 0.5} and built["training"] == report.UNAVAILABLE
     assert "| accuracy | 0.5000 |" in report.markdown("run", built)
     assert report.overall_status({"a": "pass", "b": "warn"}) == {"overall": "warn", "counts": {"pass": 1, "warn": 1}}
+
+
+def test_presence_of_keys_is_decided_row_by_row(spark, tmp_path):
+    from tessera.operators.align import normalized_predictions
+
+    base = {"raw_text": "Answer: good", "parsed_answer": "good", "ground_truth": "good"}
+    rows = [
+        {**base, "correct": False}, {**base, "correct": None}, {**base, "matched": True, "parse_failed": True}, base, {**base, "parsed_answer": None, "raw_text": ""},
+        {**base, "parse_failed": True}, {**base, "correct": True, "matched": False, "reward": 0.25}, {"raw_text": "x", "parsed_answer": "x"},
+    ]
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps({"example_id": f"e{i}", **r}) for i, r in enumerate(rows)))
+    got = {r.example_id: (r.correct, r.parse_failed, r.reward) for r in normalized_predictions(jsonl.predictions(spark, f"{tmp_path}/p.jsonl", "m")).collect()}
+    assert [got[f"e{i}"] for i in range(8)] == [
+        (False, False, 0.0), (False, False, 0.0), (True, True, 1.0), (True, False, 1.0), (False, True, 0.0), (False, True, 0.0), (True, False, 0.25), (None, False, None),
+    ]
+
+
+def test_keyed_table_refuses_broken_lines(spark, tmp_path):
+    for bad in ('{"example_id": "a"', '{"example_id": "a", "rm_score": 1.0}'):
+        (tmp_path / "k.jsonl").write_text('{"example_id": "a", "method_id": "m", "rm_score": 1.0}\n' + bad)
+        with pytest.raises(Exception, match="k.jsonl:2"):
+            jsonl.keyed_table(spark, f"{tmp_path}/k.jsonl", "example_id string, method_id string, rm_score double", "rm_score").collect()
