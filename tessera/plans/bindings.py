@@ -42,7 +42,7 @@ def examples(spark: SparkSession, folder: str) -> DataFrame:
         F.when(i % 17 != 0, (24 + (i % 3) * 3).cast("double")).alias("fps"),
         F.col("n_chars").cast("int").alias("num_frames"),
         F.when(F.col("quality").isNull(), "explanation").otherwise("hidden_state").alias("task"),
-        F.substring("text", 1, 80).alias("question"),
+        F.col("text").alias("question"),
         F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("ground_truth"),
         F.when(clip % 10 < 6, "train").when(clip % 10 < 8, "val").otherwise("held_out").alias("split"),
         F.col("toxic").alias("toxic"),
@@ -123,7 +123,7 @@ ex AS (
     CAST(d.n_chars AS DOUBLE) / 30 AS duration_s,
     CASE WHEN d.doc_id % 17 <> 0 THEN CAST(24 + (d.doc_id % 3) * 3 AS DOUBLE) END AS fps,
     CAST(d.n_chars AS INTEGER) AS num_frames,
-    CASE WHEN l.quality IS NULL THEN 'explanation' ELSE 'hidden_state' END AS task, substr(d.text, 1, 80) AS question,
+    CASE WHEN l.quality IS NULL THEN 'explanation' ELSE 'hidden_state' END AS task, d.text AS question,
     CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' END AS ground_truth,
     CASE WHEN (d.doc_id % 331) % 10 < 6 THEN 'train' WHEN (d.doc_id % 331) % 10 < 8 THEN 'val' ELSE 'held_out' END AS split,
     l.toxic AS toxic

@@ -14,6 +14,8 @@ from tessera.plans import bindings as b
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: The SQL of each query without the shared views.
+OWN: dict[str, str] = {}
 
 SETTINGS = divergence.Settings(before="m0", after="m1")
 
@@ -22,12 +24,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
+            OWN[f.__name__] = sql.strip()
             ORACLE[f.__name__] = f"WITH {b.SQL.strip()}\n{sql.strip()}" if sql.lstrip()[0] != "," else f"WITH {b.SQL.strip()}{sql.strip()}"
         return f
 
     return keep
 
 
+def _part(name: str) -> str:
+    """The SQL of an earlier query as a subquery."""
+    sql = OWN[name]
+    return f"(WITH {sql[1:]})" if sql.startswith(",") else f"({sql})"
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
     return analysis.scored(b.predictions(b.examples(s, d)))
 
@@ -148,6 +157,22 @@ _AXES = """, flags AS (
   FROM lock_set e)"""
 
 
+@query(
+    """SELECT method_id, ord % 5 AS kind, count(*)::BIGINT AS n, count_if(failed)::BIGINT AS n_failed, count(ok)::BIGINT AS n_scored, count_if(ok)::BIGINT AS n_correct, avg(ok::INT) AS mean_reward
+FROM (SELECT *, CASE ord % 5 WHEN 0 THEN num % 2 = 0 WHEN 1 THEN num % 3 = 0 WHEN 2 THEN CASE WHEN ground_truth IS NOT NULL THEN num % 7 <> 0 AND parsed_answer IS NOT NULL AND parsed_answer = ground_truth END
+    WHEN 3 THEN CASE WHEN ground_truth IS NOT NULL THEN parsed_answer IS NOT NULL AND parsed_answer = ground_truth END ELSE false END AS ok,
+  CASE WHEN ord % 5 = 2 THEN num % 7 = 0 ELSE parsed_answer IS NULL END AS failed FROM (SELECT *, ord // 5 AS num FROM pred)) GROUP BY 1, 2"""
+)
+def mixed_key_presence(s, d):
+    """Rows of one source that have different keys: correct; matched; parse_failed; none of them; a null correct."""
+    kind, num = F.col("ord") % 5, F.floor(F.col("ord") / 5)
+    keys = F.when(kind == 0, F.array(F.lit("correct"), F.lit("matched"))).when(kind == 1, F.array(F.lit("matched"))).when(kind == 2, F.array(F.lit("parse_failed"))).when(kind == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("correct")))
+    stored = {"_keys": keys, "correct": F.when(kind == 0, num % 2 == 0), "matched": F.when(kind == 0, num % 2 != 0).when(kind == 1, num % 3 == 0), "parse_failed": F.when(kind == 2, num % 7 == 0)}
+    out = align.normalized_predictions(b.predictions(b.examples(s, d)).withColumns(stored))
+    out = out.groupBy("method_id", kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if("parse_failed").alias("n_failed"), F.count("correct").alias("n_scored"), F.count_if("correct").alias("n_correct"), F.avg("reward").alias("mean_reward"))
+    return out
+
+
 @query(_AXES + " SELECT example_id, unseen_trick, unseen_performer, unseen_camera, unseen_prop, unseen_wording, NOT unseen_trick AND unseen_wording AS known_trick_variation, prop_id IS NOT NULL AS has_prop_id, question_variant IS NOT NULL AS has_question_variant FROM flags")
 def axis_flags(s, d):
     ex = b.examples(s, d)
@@ -304,11 +329,11 @@ def duplicate_content_hash(s, d):
 
 
 @query(
-    """, q AS (SELECT *, regexp_replace(lower(trim(regexp_replace(substr(question, 1, 3), '\\s+', ' ', 'g'))), '\\s+', ' ', 'g') AS k FROM ex)
+    """, q AS (SELECT *, regexp_replace(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), '\\s+', ' ', 'g') AS k FROM ex)
 SELECT 'review' AS severity, 'duplicate_question_phrasing' AS code, clip_id AS subject, array_to_string(list_sort(list(DISTINCT example_id)), ',') AS example_ids, clip_id AS clip_ids FROM q GROUP BY clip_id, k HAVING count(*) > 1"""
 )
 def duplicate_questions(s, d):
-    return _flat(validation.duplicate_questions(b.examples(s, d).withColumn("question", F.substring("question", 1, 3))))
+    return _flat(validation.duplicate_questions(b.examples(s, d)))
 
 
 @query("SELECT 'review' AS severity, 'repeated_trick_performer_combo' AS code, concat(trick_id, '|', performer_id) AS subject, '' AS example_ids, array_to_string(list_sort(list(DISTINCT clip_id)), ',') AS clip_ids FROM ex GROUP BY trick_id, performer_id HAVING count(DISTINCT clip_id) >= 4")
@@ -382,12 +407,43 @@ def media_findings(s, d):
     return _flat(validation.media(ex, files))
 
 
-@query()
+_INTEGRITY = """r AS (SELECT ord, example_id, clip_id, row_number() OVER (PARTITION BY example_id ORDER BY ord) > 1 AS again,
+  first_value(video_path) OVER w IS DISTINCT FROM video_path OR first_value(split) OVER w IS DISTINCT FROM split AS moved FROM ex WINDOW w AS (PARTITION BY clip_id ORDER BY ord)),
+first_bad AS (SELECT * FROM r WHERE again OR moved ORDER BY ord LIMIT 1)"""
+_IDS = "array_to_string(list_sort(list(DISTINCT example_id)), ',') AS example_ids, array_to_string(list_sort(list(DISTINCT clip_id)), ',') AS clip_ids"
+
+
+def _all_findings(expected_fps: float | None) -> str:
+    """All findings of ``ex`` as the CTE ``found``."""
+    fps = f"UNION ALL SELECT 'review', 'fps_deviates_from_expected', example_id, example_id, clip_id FROM ex WHERE abs(fps - {expected_fps}) > 0.51" if expected_fps else ""
+    return f""", {_INTEGRITY}, found AS (
+SELECT 'error' AS severity, 'manifest_integrity' AS code, CASE WHEN again THEN example_id ELSE clip_id END AS subject, '' AS example_ids, '' AS clip_ids FROM first_bad
+UNION ALL SELECT 'error', 'duplicate_example_id', example_id, example_id, '' FROM ex GROUP BY example_id HAVING count(*) > 1
+UNION ALL SELECT CASE WHEN trim(ground_truth) <> '' THEN 'review' ELSE 'error' END, CASE WHEN ground_truth IS NULL OR ground_truth = '' THEN 'missing_ground_truth' WHEN trim(ground_truth) = '' THEN 'invalid_ground_truth_whitespace'
+  ELSE 'ground_truth_peripheral_whitespace' END, example_id, example_id, clip_id FROM ex WHERE task = 'hidden_state' AND (ground_truth IS NULL OR ground_truth = '' OR ground_truth <> trim(ground_truth))
+UNION ALL {_part('clip_consistency')}
+UNION ALL SELECT 'error', 'duplicate_video_path', video_path, {_IDS} FROM ex GROUP BY video_path HAVING count(DISTINCT clip_id) > 1
+UNION ALL SELECT 'review', 'missing_fps', example_id, example_id, clip_id FROM ex WHERE fps IS NULL
+UNION ALL SELECT 'error', 'unexpected_fps', example_id, example_id, clip_id FROM ex WHERE fps < 1 OR fps > 120
+UNION ALL SELECT 'review', 'fps_duration_inconsistency', example_id, example_id, clip_id FROM ex WHERE fps <> 0 AND num_frames <> 0 AND duration_s > 0 AND abs(num_frames / fps - duration_s) / duration_s > 0.35
+{fps}
+UNION ALL SELECT severity, code, subject, '', '' FROM {_part('split_leakage_findings')}
+UNION ALL SELECT 'review', CASE held WHEN 0 THEN 'no_held_out_split' ELSE 'only_held_out_present' END, 'split', '', '' FROM (SELECT count_if(split = 'held_out') AS held, count(*) AS n FROM ex) WHERE n > 0 AND held IN (0, n)
+UNION ALL {_part('duplicate_content_hash')}
+UNION ALL {_part('duplicate_questions')}
+UNION ALL {_part('repeated_combo')})"""
+
+
+@query(_all_findings(27.0) + " SELECT * FROM found")
 def validation_findings(s, d):
     return _flat(validation.findings(b.examples(s, d), validation.Options(expected_fps=27.0)))
 
 
-@query()
+@query(
+    _all_findings(None)
+    + """ SELECT (SELECT count(*) FROM ex)::BIGINT AS n_records, (SELECT count(DISTINCT clip_id) FROM ex)::BIGINT AS n_clips, count_if(severity = 'error')::BIGINT AS n_error,
+  count_if(severity = 'leakage')::BIGINT AS n_leakage, count_if(severity = 'review')::BIGINT AS n_review, count_if(severity IN ('error', 'leakage')) = 0 AS passed FROM found"""
+)
 def validation_report(s, d):
     ex = b.examples(s, d)
     return validation.report(ex, validation.findings(ex))
@@ -505,7 +561,30 @@ def preference_findings(s, d):
     return found.groupBy("severity", "code").agg(F.count("*").cast("long").alias("n"))
 
 
-@query()
+@query(
+    f""", w AS {_part('winner_balance')}, g AS {_part('annotator_agreement')}, l AS {_part('length_bias')}, f AS {_part('format_bias')},
+p AS (SELECT count(*) AS n, count(DISTINCT clip_id) AS clips, count_if(response_a = response_b) AS identical FROM pref),
+t AS (SELECT count(*) AS judgments FROM (SELECT 1 FROM pref GROUP BY judgment_id HAVING count(*) > 1)), r AS (SELECT count(*) AS responses FROM {_part('response_duplicates')}),
+o AS (SELECT w.*, g.* EXCLUDE (n_unique_pairs), l.n AS l_n, l.n_longer, l.frac_longer, f.* EXCLUDE (n), p.n AS p_n, clips, identical, judgments, responses FROM w, g, l, f, p, t, r),
+h AS (SELECT unnest([
+  {{'severity': 'error', 'code': 'malformed_records', 'n': 2, 'is': true}},
+  {{'severity': CASE WHEN least(n_a, n_b) = 0 OR (n_forced >= 4 AND greatest(n_a, n_b) >= 0.75 * n_forced) THEN 'warning' ELSE 'info' END,
+    'code': CASE WHEN least(n_a, n_b) = 0 THEN 'winner_one_sided' WHEN n_forced >= 4 AND greatest(n_a, n_b) >= 0.75 * n_forced THEN 'winner_imbalance' ELSE 'winner_mild_imbalance' END,
+    'n': n_forced, 'is': n_forced > 0 AND (least(n_a, n_b) = 0 OR (n_forced >= 4 AND greatest(n_a, n_b) >= 0.75 * n_forced) OR NOT balanced)}},
+  {{'severity': 'warning', 'code': 'duplicate_pair_ids', 'n': n_repeated, 'is': n_repeated > 0}},
+  {{'severity': 'warning', 'code': 'contradictory_labels', 'n': n_contradictory, 'is': n_contradictory > 0}},
+  {{'severity': 'error', 'code': 'identical_responses_within_pair', 'n': identical, 'is': identical > 0}},
+  {{'severity': 'warning', 'code': 'exact_response_duplicates', 'n': responses, 'is': responses > 0}},
+  {{'severity': 'error', 'code': 'pair_id_mismatch', 'n': p_n, 'is': p_n > 0}},
+  {{'severity': 'error', 'code': 'duplicate_judgment_ids', 'n': judgments, 'is': judgments > 0}},
+  {{'severity': CASE WHEN can_estimate_reliability THEN 'warning' ELSE 'info' END, 'code': CASE WHEN can_estimate_reliability THEN 'repeated_judgment_disagreement' ELSE 'irr_unavailable' END,
+    'n': CASE WHEN can_estimate_reliability THEN n_contradictory ELSE n_annotators END, 'is': NOT can_estimate_reliability OR n_contradictory > 0}},
+  {{'severity': 'possible_bias', 'code': 'possible_length_bias', 'n': n_longer, 'is': l_n >= 4 AND n_longer >= l_n * 2 / 3}},
+  {{'severity': 'possible_bias', 'code': 'possible_confidence_format_bias', 'n': n_prefer_confidence, 'is': n_confidence_differs >= 3 AND frac_confidence >= 0.75}},
+  {{'severity': 'possible_bias', 'code': 'possible_markdown_format_bias', 'n': n_prefer_markdown, 'is': n_markdown_differs >= 3 AND frac_markdown >= 0.75}},
+  {{'severity': 'warning', 'code': 'single_clip_concentration', 'n': p_n, 'is': clips = 1 AND p_n >= 4}}], recursive := true) FROM o)
+SELECT severity, code, n::BIGINT AS n FROM h WHERE "is" """
+)
 def preference_quality(s, d):
     return preferences.quality_findings(b.preferences(s, d), 2)
 
