@@ -82,11 +82,21 @@ def ship(spark: SparkSession) -> None:
 _written: list[str] = []
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the tables that this driver has stored. Results that read them must have been written before."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables this driver has stored and not deleted."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that this driver has stored after the first ``since``, but for the last ``keep``.
+
+    Results that read them must have been written before.
+    """
+    gone = _written[since : len(_written) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(name)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

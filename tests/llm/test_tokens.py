@@ -134,6 +134,39 @@ def test_pipeline_against_brute_force(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == set(last)
 
 
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    path, shared, texts = folder
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, texts[1]), (1, texts[1]), (2, None), (3, ""), (None, texts[4]), (None, None), (7, long), (320, texts[320]), (8, "short one")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("h", "spans", "fp", "root", "cls", "w", "score", "label", "t", "items")
+    docs = docs.withColumns({c: F.lit("clash") for c in clash})
+    out = {n: f(spark, docs, path) for n, f in corpus_pipeline.STAGES}
+    first, second, third, fourth, last = out.values()
+    assert all(x.columns == docs.columns for x in (first, second, third, fourth)) and all(r.h == "clash" for r in third.collect())
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.collect())
+    every = sorted(-1 if i is None else i for i, _ in rows)
+    assert ids(second) == [-1, -1, 1, 2, 7, 8, 320] and ids(third) == ids(last) == every and ids(fourth) == [i for i in every if i != 320]
+    assert {r.text for r in third.where("doc_id = 1").collect()} == {""} and third.where("doc_id = 7").first().text == long
+    assert {(r.n_tokens, r.decoded) for r in last.where("doc_id in (2, 3)").collect()} == {(0, "")}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0, name
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert ids(corpus_pipeline.keep_quality(spark, docs, str(tmp_path))) == every == ids(corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)))
+
+
+def test_run_deletes_what_came_before(spark, folder):
+    import corpus_pipeline
+    from tessera.llm import common
+
+    before = common.written()
+    assert corpus_pipeline.run(spark, folder[0]).count() > 0
+    assert common.written() == before + 1
+
+
 def test_entry_lists_everything(spark):
     import __spark_entry__ as e
 
