@@ -328,12 +328,15 @@ def duplicate_content_hash(s, d):
     return _flat(validation.shared_content_hash(b.examples(s, d)))
 
 
-@query(
-    """, q AS (SELECT *, regexp_replace(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), '\\s+', ' ', 'g') AS k FROM ex)
-SELECT 'review' AS severity, 'duplicate_question_phrasing' AS code, clip_id AS subject, array_to_string(list_sort(list(DISTINCT example_id)), ',') AS example_ids, clip_id AS clip_ids FROM q GROUP BY clip_id, k HAVING count(*) > 1"""
-)
+def _questions(source: str) -> str:
+    return f"""(WITH q AS (SELECT *, regexp_replace(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), '\\s+', ' ', 'g') AS k FROM {source})
+SELECT 'review' AS severity, 'duplicate_question_phrasing' AS code, clip_id AS subject, array_to_string(list_sort(list(DISTINCT example_id)), ',') AS example_ids, clip_id AS clip_ids FROM q GROUP BY clip_id, k HAVING count(*) > 1)"""
+
+
+@query("SELECT * FROM " + _questions("(SELECT * REPLACE (performer_id AS clip_id) FROM ex)"))
 def duplicate_questions(s, d):
-    return _flat(validation.duplicate_questions(b.examples(s, d)))
+    """Whole questions, within each performer."""
+    return _flat(validation.duplicate_questions(b.examples(s, d).withColumn("clip_id", F.col("performer_id"))))
 
 
 @query("SELECT 'review' AS severity, 'repeated_trick_performer_combo' AS code, concat(trick_id, '|', performer_id) AS subject, '' AS example_ids, array_to_string(list_sort(list(DISTINCT clip_id)), ',') AS clip_ids FROM ex GROUP BY trick_id, performer_id HAVING count(DISTINCT clip_id) >= 4")
@@ -430,7 +433,7 @@ UNION ALL SELECT 'review', 'fps_duration_inconsistency', example_id, example_id,
 UNION ALL SELECT severity, code, subject, '', '' FROM {_part('split_leakage_findings')}
 UNION ALL SELECT 'review', CASE held WHEN 0 THEN 'no_held_out_split' ELSE 'only_held_out_present' END, 'split', '', '' FROM (SELECT count_if(split = 'held_out') AS held, count(*) AS n FROM ex) WHERE n > 0 AND held IN (0, n)
 UNION ALL {_part('duplicate_content_hash')}
-UNION ALL {_part('duplicate_questions')}
+UNION ALL {_questions('ex')}
 UNION ALL {_part('repeated_combo')})"""
 
 
