@@ -131,6 +131,25 @@ def bucket_ids(spark: SparkSession, each: int = 4) -> np.ndarray:
         tried *= 2
 
 
+#: Rows of one key from which on a join takes that key by broadcast.
+HOT_KEY = 500_000
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``values``, which has one row for each key and in ``count`` how many rows have it.
+
+    ``count`` is dropped. Keys of ``HOT_KEY`` rows or more are broadcast, so that the
+    rows of one never meet in a task; there are no more of them than all rows
+    divided by ``HOT_KEY``. The other keys are shuffled. A null key matches none.
+    """
+    hot = values.where(F.col(count) >= HOT_KEY).drop(count)
+    if hot.isEmpty():
+        return rows.join(values.drop(count), key)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(count) < HOT_KEY).drop(count), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on columns that carry the same names on both sides."""
     out = F.lit(True)

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import lookup, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    return lookup(both, low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
-    hung = links.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hung = lookup(links, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -26,14 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs neighbours below their smallest neighbour (large star) and
     flattens chains (small star); the number of rounds grows with the logarithm
     of the longest chain. The minimum of a node's neighbours is combined before
-    the shuffle, so a hub costs one row from each task. Links of a node with
+    the shuffle, and joined with the links of a hub by broadcast, so that those never
+    meet in one task. Links of a node with
     itself and repeated links have no effect; no links give an empty table.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(ordered)
     mark = _mark(now)
     while mark[0]:
-        now = stored(_small_star(_large_star(now)))
+        now = stored(_small_star(stored(_large_star(now))))
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import raw_text, shuffle_parts, stored
+from tessera.llm.common import lookup, raw_text, shuffle_parts, stored
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -215,12 +215,13 @@ def links(fps: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, h, fp, root (a fingerprint of the component) and component_id of every row of ``docs``."""
     marked = stored(fingerprints(docs))
-    least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     root = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
-    root = stored(root.join(least, "fp"))
-    joint = root.groupBy("root").agg(F.min("least").alias("joint")).join(root.select("root", "fp"), "root").select("fp", "root", "joint")
-    ids = least.join(joint, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("joint", "least").alias("component_id"))
-    return marked.join(ids, "fp")
+    root = stored(root.join(least.drop("n"), "fp"))
+    joint = stored(root.groupBy("root").agg(F.min("least").alias("joint"), F.count("*").alias("n")))
+    joint = lookup(root.select("root", "fp"), joint, "root").select("fp", "root", "joint")
+    ids = least.join(joint, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("joint", "least").alias("component_id"), "n")
+    return lookup(marked, stored(ids), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -171,7 +171,9 @@ def test_links_equal_all_pairs(spark, monkeypatch, subtree):
     assert len(set(zip(got, want))) == len(set(want))
 
 
-def test_near_duplicates_and_one_of_each(spark):
+@pytest.mark.parametrize("hot", [common.HOT_KEY, 2])
+def test_near_duplicates_and_one_of_each(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEY", hot)
     words = [f"w{i}" for i in range(400)]
     near = words[:]
     near[7] = "changed"
@@ -194,13 +196,25 @@ def test_one_of_each_with_two_texts_of_an_id(spark):
     assert Counter((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()) == Counter([(5, a), (3, b), (5, c)])
 
 
-def test_components_of_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("hot", [common.HOT_KEY, 5, 1])
+def test_components_of_a_long_chain_and_a_hub(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEY", hot)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 100])
+def test_lookup_of_hot_and_other_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEY", hot)
+    keys = [1] * 5 + [2] * 2 + [3, 4, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    values = spark.createDataFrame([(1, "a", 5), (2, "b", 2), (3, "c", 1), (9, "z", 0)], "k long, v string, n long")
+    got = Counter(map(tuple, common.lookup(rows, values, "k").select("k", "i", "v").collect()))
+    assert got == Counter((k, i, {1: "a", 2: "b", 3: "c"}[k]) for i, k in enumerate(keys) if k in (1, 2, 3))
+
+
 def test_word_gap_is_ascii_white_space(spark):
     text = "a\x0b\x0c\r\n\t b\x1c\x85\xa0c"
     got = spark.createDataFrame([(text,)], "t string").select(F.split("t", WORD_GAP).alias("w")).first().w
