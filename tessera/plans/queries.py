@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import aggregates, intervals, sampling, scoring, text
 from tessera.operators import align, analysis, divergence, eligibility, guards, preferences, reward_model, selection, validation
 from tessera.plans import bindings as b
+from tessera.sources import jsonl, sinks
+from tessera.streaming import judgments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -634,8 +636,9 @@ def temporal_reward(s, d):
     moment = F.struct(F.col("gold_start").alias("start_s"), F.col("gold_end").alias("end_s"), F.lit(None).cast("int").alias("start_frame"), F.lit(None).cast("int").alias("end_frame"))
     causal = F.struct(F.lit("known").alias("status"), F.lit(True).alias("unique_cause"), moment.alias("causal_moment"))
     rows = b.spans(s, d).withColumn("c", causal)
-    binary, partial = (scoring.temporal_reward(F.col("raw_text"), F.col("c"), m) for m in ("binary", "partial"))
-    return rows.select("event_id", binary.alias("x"), partial.alias("y")).where("x.eligible and not x.parse_failed").select("event_id", F.col("x.value").alias("binary_value"), F.round("y.value", 9).alias("partial_value"))
+    x = rows.select("event_id", scoring.temporal_reward(F.col("raw_text"), F.col("c"), "partial").alias("x")).where("x.eligible and not x.parse_failed")
+    binary = intervals.temporal_value(F.col("x.iou"), F.col("x.eligible"), F.col("x.parse_failed"))
+    return x.select("event_id", binary.alias("binary_value"), F.round("x.value", 9).alias("partial_value"))
 
 
 @query("SELECT example_id, array_to_string(CASE WHEN num_frames = 1 THEN [0] ELSE list_transform(range(least(8, num_frames)), lambda i: round_even(i * (num_frames - 1) / (least(8, num_frames) - 1), 0)::INT) END, ',') AS indices FROM ex WHERE num_frames >= 1")
@@ -817,3 +820,298 @@ def grpo_rows(s, d):
 @query("SELECT high, low, middle FROM (SELECT v[round_even(0.9 * (len(v) - 1), 0)::INT + 1] AS high, v[round_even(0.1 * (len(v) - 1), 0)::INT + 1] AS low, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS middle FROM (SELECT list_sort(list(value)) AS v FROM events))")
 def nearest_rank_quantiles(s, d):
     return aggregates.nearest_rank(b.table(s, d, "events"), "value", {"high": 0.9, "low": 0.1, "middle": 0.5})
+
+
+# records, stages and text functions
+
+
+def _given(rule: dict[int, str], by: str, modulo: int) -> F.Column:
+    """A value by the remainder of a column; null for the others."""
+    out = F.lit(None).cast("string")
+    for k, v in rule.items():
+        out = F.when(F.expr(f"{by} % {modulo} = {k}"), F.lit(v)).otherwise(out)
+    return out
+
+
+def _given_sql(rule: dict[int, str], by: str, modulo: int) -> str:
+    return f"CASE {by} % {modulo} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rule.items()) + " END"
+
+
+@query("SELECT example_id, split FROM ex WHERE task = 'hidden_state' AND split <> 'held_out'")
+def stage_rows(s, d):
+    return guards.for_stage(guards.of_task(b.examples(s, d), "hidden_state"), "dpo", allow_held_out=True).select("example_id", "split")
+
+
+@query("SELECT judgment_id, split AS part FROM pref WHERE split IN ('train', 'val')")
+def preference_parts(s, d):
+    parts = preferences.train_and_validation(b.preferences(s, d), fallback=False)
+    train, val = (p.select("judgment_id", F.lit(n).alias("part")) for p, n in zip(parts, ("train", "val")))
+    return train.unionByName(val)
+
+
+@query("SELECT p.example_id, p.method_id, p.parsed_answer, e.clip_id, e.question_variant, e.duration_s FROM pred p JOIN ex e USING (example_id)")
+def manifest_joined(s, d):
+    ex = b.examples(s, d)
+    rows = b.predictions(ex).select("example_id", "method_id", "parsed_answer")
+    return analysis.join_manifest(rows, ex, ("clip_id", "question_variant", "duration_s"))
+
+
+@query("SELECT ord, example_id, trick_id, parsed_answer FROM pred WHERE method_id = 'm0'")
+def positional_rows(s, d):
+    ex = guards.of_task(b.examples(s, d), "hidden_state")
+    said = b.predictions(ex).where("method_id = 'm0'").select("ord", "example_id", "trick_id", "parsed_answer")
+    return analysis.positional(ex, ex.select("ord", "example_id"), said).select("ord", "example_id", "trick_id", "parsed_answer")
+
+
+@query(
+    """, r AS (SELECT *, ord % 3 = 0 AS gone, ord % 3 <> 0 AND split_part(raw_text, 'Answer: ', 2) = ground_truth AS hit FROM pred)
+SELECT CASE WHEN gone THEN concat('gone_', example_id) ELSE example_id END AS example_id, method_id, hit::INT::DOUBLE AS reward, hit AS matched, false AS parse_failed FROM r"""
+)
+def rollout_rewards(s, d):
+    ex = b.examples(s, d)
+    name = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("gone_"), F.col("example_id"))).otherwise(F.col("example_id"))
+    rollouts = b.predictions(ex).select(name.alias("example_id"), "method_id", F.col("raw_text").alias("completion"))
+    return guards.rollout_rewards(rollouts, ex).drop("completion")
+
+
+@query(
+    f""", o AS (SELECT e.example_id, s.shuffled, list_transform(range(4), lambda i: round_even(i * (num_frames - 1) / 3, 0)::INT) AS v FROM ex e JOIN {_part('lcg_shuffle')} s ON s.doc_id = e.ord WHERE num_frames >= 4)
+SELECT example_id, array_to_string(v, ',') AS ordered_indices, array_to_string(list_transform(string_split(shuffled, ','), lambda k: v[k::INT + 1]), ',') AS shuffled_indices,
+  true AS same_frame_set, shuffled <> '0,1,2,3' AS permuted FROM o"""
+)
+def sample_plans(s, d):
+    ex = b.examples(s, d).where("num_frames >= 4")
+    plan = ex.select("example_id", sampling.sample_plan(F.col("num_frames"), 4, F.col("ord") % 50).alias("p")).select("example_id", "p.*")
+    return plan.withColumns({c: F.array_join(c, ",") for c in ("ordered_indices", "shuffled_indices")})
+
+
+_LEAKAGE = {0: "PASS", 1: "FAIL", 2: "NONE"}
+_APPROVAL = {0: "APPROVE", 1: "REJECT", 2: "APPROVED", 3: "APPROVE"}
+_GOLD = f""", g AS (
+  SELECT doc_id AS i, concat(CASE WHEN doc_id % 8 = 1 THEN 'peerj_' ELSE 'toy_' END, CAST(doc_id AS VARCHAR)) AS clip_id,
+    CASE doc_id % 6 WHEN 0 THEN 'HUMAN_FILL_REQUIRED' WHEN 1 THEN '  ' ELSE lang END AS question, l.quality, source AS provenance_source,
+    {_given_sql(_APPROVAL, 'doc_id', 5)} AS human, {_given_sql(_LEAKAGE, 'doc_id', 4)} AS leak
+  FROM labels l JOIN documents USING (doc_id)
+), errs AS (
+  SELECT clip_id, list_filter([
+    CASE WHEN starts_with(clip_id, 'peerj_') THEN 'wikimedia control must not enter hidden-state gold' END,
+    CASE WHEN trim(question) = '' OR question = 'HUMAN_FILL_REQUIRED' THEN 'question missing' END,
+    CASE WHEN quality <> 1 THEN 'ground_truth missing' END,
+    CASE WHEN trim(provenance_source) = '' THEN 'provenance.source missing' END,
+    CASE WHEN human IS NULL OR human = 'REJECT' THEN 'human approval missing' END,
+    CASE WHEN i % 9 = 0 THEN 'unresolved leakage warning' END,
+    CASE WHEN leak IS NULL OR leak = 'FAIL' THEN 'answer leakage not resolved' END,
+    CASE WHEN i % 11 = 0 THEN 'evaluation clip includes a reveal' END], lambda x: x IS NOT NULL) AS e FROM g
+)"""
+
+
+def _gold(s: SparkSession, d: str) -> DataFrame:
+    rows = b.table(s, d, "labels").select("doc_id", "quality").join(b.table(s, d, "documents").select("doc_id", F.col("lang").alias("spoken"), "source"), "doc_id")
+    i = F.col("doc_id")
+    proposal = F.struct(_given(_LEAKAGE, "doc_id", 4).alias("answer_leakage_status"), F.when(i % 11 == 0, "REVEAL_PRESENT").alias("reveal_status"))
+    metadata = F.to_json(F.struct(_given(_APPROVAL, "doc_id", 5).alias("human_decision"), (i % 9 == 0).alias("unresolved_leakage_warning"), proposal.alias("annotation_proposal")))
+    return eligibility.gold_errors(
+        rows.select(
+            F.concat(F.when(i % 8 == 1, "peerj_").otherwise("toy_"), i.cast("string")).alias("clip_id"),
+            F.when(i % 6 == 0, eligibility.PLACEHOLDER).when(i % 6 == 1, "  ").otherwise(F.col("spoken")).alias("question"),
+            F.when(F.col("quality") == 1, "good").alias("ground_truth"),
+            F.col("source").alias("provenance_source"),
+            metadata.alias("metadata"),
+        )
+    )
+
+
+@query(_GOLD + " SELECT clip_id, len(e) = 0 AS passed, array_to_string(e, '; ') AS errors FROM errs")
+def gold_errors(s, d):
+    return _gold(s, d).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query(_GOLD + " SELECT count(*)::BIGINT AS n, coalesce(bool_and(len(e) = 0), false) AS passed FROM errs")
+def gold_manifest(s, d):
+    return eligibility.gold_manifest(_gold(s, d))
+
+
+@query(
+    """, k AS (SELECT CASE quality WHEN 1 THEN 'QUALIFIES' ELSE CASE toxic WHEN 1 THEN 'NOT_SUITABLE' ELSE 'QUALIFIES_WITH_HUMAN_REVIEW' END END AS status FROM labels)
+SELECT count(*)::BIGINT AS candidate_count, count_if(status = 'QUALIFIES')::BIGINT AS eligible_count, count_if(status = 'QUALIFIES_WITH_HUMAN_REVIEW')::BIGINT AS pending_human_review,
+  count_if(status = 'NOT_SUITABLE')::BIGINT AS rejected_count, greatest(0, 5000 - count_if(status = 'QUALIFIES'))::BIGINT AS still_needed FROM k"""
+)
+def readiness(s, d):
+    status = F.when(F.col("quality") == 1, "QUALIFIES").when(F.col("toxic") == 1, "NOT_SUITABLE").otherwise("QUALIFIES_WITH_HUMAN_REVIEW")
+    return eligibility.readiness(b.table(s, d, "labels").select(status.alias("status")), target=5000)
+
+
+@query("SELECT concat('c_', CAST(doc_id AS VARCHAR)) AS clip_id, quality, n_chars::BIGINT AS frames FROM labels JOIN documents USING (doc_id)")
+def proposals_with_provenance(s, d):
+    clip = F.concat(F.lit("c_"), F.col("doc_id").cast("string")).alias("clip_id")
+    technical = b.table(s, d, "documents").select(clip, F.col("n_chars").cast("long").alias("frames"))
+    return eligibility.with_provenance(b.table(s, d, "labels").select(clip, "quality"), technical)
+
+
+_SAID = {0: "Answer: ", 1: "it clearly proves that this is unclear: ", 2: "the palm and the load, reasoning improved "}
+
+
+def _listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+@query(
+    f""", t AS (SELECT doc_id, concat({_given_sql(_SAID, 'doc_id', 3)}, text) AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_filter({_listed(text.CONFIDENCE_MARKERS)}, lambda w: contains(lower(x), w)), ',') AS confidence,
+  array_to_string(list_filter({_listed(text.KEYWORDS)}, lambda w: contains(lower(x), w)), ',') AS keywords,
+  len(list_filter({_listed(text.AMBIGUITY_HINTS)}, lambda w: contains(lower(x), w))) > 0 AS ambiguous,
+  regexp_matches(x, '{text.LABEL_LIKE}') AS label_like,
+  {' OR '.join(f"regexp_matches(x, '{p}')" for p in text.FORBIDDEN_CLAIMS)} AS forbidden FROM t"""
+)
+def text_markers(s, d):
+    x = F.col("x")
+    said = b.table(s, d, "documents").where("text is not null").select("doc_id", F.concat(_given(_SAID, "doc_id", 3), F.col("text")).alias("x"))
+    return said.select(
+        "doc_id",
+        F.array_join(text.confidence_hits(x), ",").alias("confidence"),
+        F.array_join(text.keyword_hits(x), ",").alias("keywords"),
+        text.suggests_ambiguity(x).alias("ambiguous"),
+        text.label_like(x).alias("label_like"),
+        text.makes_forbidden_claim(x).alias("forbidden"),
+    )
+
+
+@query("SELECT judgment_id, concat('[TASK] ', task, chr(10), '[CLIP] ', clip_id, chr(10), '[INSTRUCTION] ', instruction, chr(10), '[RESPONSE] ', response_b) AS body, length(response_b)::BIGINT AS n_chars FROM pref")
+def reward_contexts(s, d):
+    context = text.context_text(F.col("task"), F.col("clip_id"), F.col("instruction"))
+    return b.preferences(s, d).select("judgment_id", text.pair_text(context, F.col("response_b")).alias("body"), text.char_length(F.col("response_b")).alias("n_chars"))
+
+
+@query("SELECT judgment_id, round(1.0 - 0.5 * least(length(response_a) / 200.0, 1.0), 9)::DOUBLE AS score FROM pref")
+def length_penalties(s, d):
+    return b.preferences(s, d).select("judgment_id", F.round(scoring.length_penalty(F.lit(1.0), F.col("response_a")), 9).alias("score"))
+
+
+_TYPED = {0: " A ", 1: "response_b", 2: "Tie", 3: "2", 4: "neither", 5: "1"}
+
+
+@query("SELECT judgment_id, CASE ord % 7 WHEN 0 THEN 'a' WHEN 5 THEN 'a' WHEN 1 THEN 'b' WHEN 3 THEN 'b' WHEN 2 THEN 'tie' END AS side FROM pref")
+def judged_sides(s, d):
+    return b.preferences(s, d).select("judgment_id", preferences.judged_side(_given(_TYPED, "ord", 7)).alias("side"))
+
+
+@query(
+    """SELECT judgment_id AS row, concat('judg_', substr(sha256('{"annotator_id":"' || annotator_id || '","pair_id":"' || pair_id || '","timestamp":"t' || CAST(ord AS VARCHAR) || '"}'), 1, 24)) AS judgment_id FROM pref"""
+)
+def judgment_ids(s, d):
+    at = F.concat(F.lit("t"), F.col("ord").cast("string"))
+    return b.preferences(s, d).select(F.col("judgment_id").alias("row"), text.judgment_id(F.col("pair_id"), F.col("annotator_id"), at).alias("judgment_id"))
+
+
+@query(
+    r"""SELECT doc_id, concat('20240506T070809Z_', regexp_replace(regexp_replace(concat('.', lang, ' / ', source, '_', CAST(doc_id AS VARCHAR), '!'), '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g')) AS run_id FROM documents"""
+)
+def run_ids(s, d):
+    name = F.concat(F.lit("."), F.col("lang"), F.lit(" / "), F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("!"))
+    return b.table(s, d, "documents").select("doc_id", text.run_id(name, F.to_timestamp(F.lit("2024-05-06 07:08:09"))).alias("run_id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE printf('%.4f', value / 3) END AS shown FROM events WHERE value IS NOT NULL")
+def four_decimals(s, d):
+    rows = b.table(s, d, "events").where("value is not null")
+    return rows.select("event_id", text.four_decimals(F.when(F.col("event_id") % 5 != 0, F.col("value") / 3)).alias("shown"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN source ELSE concat(lang, chr(10), source) END AS said FROM documents""")
+def completion_texts(s, d):
+    lang, source, i = F.col("lang"), F.col("source"), F.col("doc_id")
+    message = lambda x: F.to_json(F.struct(F.lit("assistant").alias("role"), x.alias("content")))
+    payload = F.when(i % 3 == 0, text.json_string(lang)).when(i % 3 == 1, message(source)).otherwise(F.concat(F.lit("["), message(lang), F.lit(","), text.json_string(source), F.lit("]")))
+    return b.table(s, d, "documents").select("doc_id", text.completion_text(payload).alias("said"))
+
+
+@query(
+    f"""SELECT example_id, md5(concat('STUB_RESPONSE images=0 videos=0 frames=', CAST(num_frames AS VARCHAR), ' :: ', replace('{text.PROMPT}', '{{question}}', question))) AS digest FROM ex WHERE question IS NOT NULL"""
+)
+def stub_responses(s, d):
+    ex = b.examples(s, d).where("question is not null")
+    said = text.stub_response(text.prompt(F.col("question")), frames=F.col("num_frames"))
+    return ex.select("example_id", F.md5(said.cast("binary")).alias("digest"))
+
+
+@query(
+    """, e AS (SELECT event_id % 20 AS epoch, max(value) AS val_accuracy, min(value) AS train_accuracy FROM events GROUP BY 1)
+SELECT epoch, val_accuracy, train_accuracy - val_accuracy AS overfit_gap FROM e ORDER BY val_accuracy DESC, epoch DESC LIMIT 1"""
+)
+def best_epoch(s, d):
+    epochs = b.table(s, d, "events").groupBy((F.col("event_id") % 20).alias("epoch")).agg(F.max("value").alias("val_accuracy"), F.min("value").alias("train_accuracy"))
+    return analysis.best_epoch(epochs)
+
+
+@query('SELECT judgment_id, (row_number() OVER (ORDER BY ord))::INT AS "index", count(*) OVER () AS total FROM pref')
+def queue_positions(s, d):
+    return preferences.queue_positions(b.preferences(s, d).select("judgment_id", "ord")).drop("ord")
+
+
+@query(
+    """SELECT epoch_us(time_bucket(INTERVAL '10 minutes', ts))::BIGINT AS start_us, count(*)::BIGINT AS n, round(avg(value), 6) AS mean_reward, count_if(event_id % 9 = 0)::BIGINT AS n_parse_failed FROM events GROUP BY 1"""
+)
+def rollout_windows(s, d):
+    rows = b.table(s, d, "events").select("ts", F.col("value").alias("reward"), (F.col("event_id") % 9 == 0).alias("parse_failed"))
+    start = F.unix_micros(F.col("window.start").cast("timestamp")).alias("start_us")
+    return judgments.rollout_metrics(rows).select(start, "n", F.round("mean_reward", 6).alias("mean_reward"), "n_parse_failed")
+
+
+_STATUS = {0: "known", 1: "ambiguous", 2: "researcher_annotated", 3: "known"}
+
+
+@query(
+    f""", g AS (SELECT event_id, gold_start, gold_end, {_given_sql(_STATUS, 'event_id', 4)} AS status, event_id % 4 <> 3 AS moment FROM span WHERE gold_start >= 0)
+SELECT event_id, status <> 'ambiguous' AND moment AS eligible, CASE WHEN status = 'ambiguous' THEN 'ambiguous_annotation' WHEN NOT moment THEN 'missing_causal_moment' END AS reason,
+  CASE status WHEN 'known' THEN 'objectively_established' ELSE status END AS status_label, CASE WHEN moment THEN gold_start END AS start_s, CASE WHEN moment THEN gold_end END AS end_s FROM g"""
+)
+def gold_intervals(s, d):
+    moment = F.struct(F.col("gold_start").alias("start_s"), F.col("gold_end").alias("end_s"), F.lit(None).cast("int").alias("start_frame"), F.lit(None).cast("int").alias("end_frame"))
+    causal = F.struct(_given(_STATUS, "event_id", 4).alias("status"), F.lit(True).alias("unique_cause"), F.when(F.col("event_id") % 4 != 3, moment).alias("causal_moment"))
+    rows = b.spans(s, d).where("gold_start >= 0").select("event_id", intervals.gold_interval(causal).alias("g"))
+    return rows.select("event_id", "g.eligible", "g.reason", "g.status_label", F.col("g.interval.start").alias("start_s"), F.col("g.interval.end").alias("end_s"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 OR (doc_id % 3 = 2 AND lower(source) = lower(lang)) AS same FROM documents WHERE trim(source) <> ''")
+def exact_matches(s, d):
+    said = F.concat(F.lit("  "), F.upper("source"), F.lit(" \n"))
+    gold = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, " ").otherwise(F.col("lang"))
+    return b.table(s, d, "documents").where("trim(source) <> ''").select("doc_id", text.exact_match(said, gold).alias("same"))
+
+
+# record files
+
+
+def _example_lines(s: SparkSession, d: str) -> DataFrame:
+    """The examples as a file of JSON lines, some of them broken, read back by the scanner."""
+    ex = b.examples(s, d)
+    null = F.lit(None).cast("string")
+    video = F.struct(F.col("video_path").alias("path"), "fps", F.greatest("num_frames", F.lit(1)).alias("num_frames"))
+    split = F.when(F.col("ord") % 13 == 1, "test").otherwise(F.col("split"))
+    provenance = F.struct(F.lit("tables").alias("source"), null.alias("license"))
+    body = F.to_json(
+        F.struct(
+            "example_id", "clip_id", "trick_id", "performer_id", "camera_id", "task", video.alias("video"), F.col("example_id").alias("question"),
+            F.when(F.col("ord") % 2 == 0, F.col("ground_truth")).alias("ground_truth"), F.when(F.col("ord") % 2 == 1, F.col("ground_truth")).alias("answer"),
+            split.alias("split"), provenance.alias("provenance"),
+        )
+    )
+    line = F.when(F.col("ord") % 13 == 0, F.substring(body, 1, 20)).otherwise(F.concat(F.lit("  "), body))
+    path = sinks.scratch(s)
+    ex.select(line.alias("value")).write.text(path)
+    return jsonl.examples(s, path)
+
+
+_REFUSED = "ord % 13 IN (0, 1)"
+
+
+@query(f"SELECT example_id, clip_id, task, split, ground_truth, video_path, fps FROM ex WHERE NOT {_REFUSED}")
+def example_lines_read(s, d):
+    good, _ = jsonl.permissive(_example_lines(s, d))
+    return jsonl.flat_examples(good).select("example_id", "clip_id", "task", "split", "ground_truth", "video_path", "fps")
+
+
+@query(f"SELECT CASE ord % 13 WHEN 0 THEN 'not a JSON object' ELSE 'split is unknown' END AS error, count(*)::BIGINT AS n FROM ex WHERE {_REFUSED} GROUP BY 1")
+def example_lines_refused(s, d):
+    _, bad = jsonl.permissive(_example_lines(s, d))
+    return bad.groupBy("error").agg(F.count("*").alias("n"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +26,17 @@ def make_run_id(name: str, now: datetime | None = None) -> str:
     return f"{stamp}_{safe or 'run'}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which all executors share; in local mode a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def resolve_run_id(config: dict, run_id: str | None, default: str) -> str:
     """The argument, else the config's, else a new one."""
     given = (run_id or "").strip() or str(config.get("run_id") or "").strip()
