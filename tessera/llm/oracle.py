@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import decontaminate as dc
+from tessera.llm import fill_in_middle as fm
 from tessera.llm import quality_rules as qr
 from tessera.llm import substring_dedup, suffix_dedup
 
@@ -94,3 +95,18 @@ bad AS (SELECT rid, c, shift FROM (SELECT DISTINCT * FROM sl) GROUP BY 1, 2, 3 H
 ok AS (SELECT rid, c, count(DISTINCT ipos) AS n_matched FROM hit h WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.rid = h.rid AND b.c = h.c AND b.shift = h.shift) GROUP BY 1, 2),
 res AS (SELECT dk.id AS doc_id, unnest(cls.items) AS item_id, n_windows, n_matched FROM ok JOIN size USING (c) JOIN cls USING (c) JOIN dk USING (rid) WHERE n_matched >= {dc.SIMILARITY} * n_windows)
 SELECT doc_id, item_id, max(n_windows)::BIGINT AS n_windows, max(n_matched)::BIGINT AS n_matched, max(n_matched) / max(n_windows) AS similarity, true AS contaminated FROM res GROUP BY 1, 2"""
+
+
+def fill_in_middle_sql() -> str:
+    """Restored texts are the parts between the markers of the output."""
+    number = lambda i: f"('0x' || substr(digest, {8 * i + 1}, 8))::BIGINT"
+    p, s, m = fm.PREFIX, fm.SUFFIX, fm.MIDDLE
+    return f"""WITH k AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('{fm.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+h AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, {number(0)} AS x, {number(1)} AS y, {number(2)} AS z, {number(3)} AS q FROM k),
+c AS (SELECT *, least(x % (n + 1), y % (n + 1)) AS a, greatest(x % (n + 1), y % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR z % 100 >= {fm.RATE} THEN 'plain' WHEN q % 100 < {fm.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+d AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid WHEN 'spm' THEN '{s}' || suf || '{p}' || pre || '{m}' || mid ELSE t END AS out FROM d),
+r AS (SELECT *, regexp_extract(out, '(?s)^<.>(.*)<.>(.*){m}(.*)$', 1) AS one, regexp_extract(out, '(?s)^<.>(.*)<.>(.*){m}(.*)$', 2) AS two, regexp_extract(out, '(?s)^<.>(.*)<.>(.*){m}(.*)$', 3) AS three FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars, sha256(out) AS output_sha256,
+  sha256(CASE form WHEN 'psm' THEN one || three || two WHEN 'spm' THEN two || three || one ELSE out END) AS restored_sha256 FROM r"""
