@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, fill_in_middle, html_extract, oracle, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
+from tessera.llm import decontaminate, fill_in_middle, html_extract, oracle, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter, whitening
 from tessera.llm.common import ship, table
 
 
@@ -51,6 +51,10 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, folder, "documents")))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
     return {name: _with_package(f) for name, f in found.items()}
