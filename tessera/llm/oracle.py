@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm import decontaminate as dc
 from tessera.llm import fill_in_middle as fm
+from tessera.llm import minhash as mh
 from tessera.llm import quality_rules as qr
 from tessera.llm import substring_dedup, suffix_dedup
 
@@ -110,3 +111,19 @@ o AS (SELECT *, CASE form WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}'
 r AS (SELECT *, regexp_extract(out, '(?s)^<.>(.*)<.>(.*){m}(.*)$', 1) AS one, regexp_extract(out, '(?s)^<.>(.*)<.>(.*){m}(.*)$', 2) AS two, regexp_extract(out, '(?s)^<.>(.*)<.>(.*){m}(.*)$', 3) AS three FROM o)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars, sha256(out) AS output_sha256,
   sha256(CASE form WHEN 'psm' THEN one || three || two WHEN 'spm' THEN two || three || one ELSE out END) AS restored_sha256 FROM r"""
+
+
+def minhash_sql() -> str:
+    """All pairs of different sets that share a shingle; components by growing reach."""
+    w = mh.SHINGLE
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE k AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{_GAP}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, rid, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {w} THEN [md5(array_to_string(w, ' '))] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {w - 2}), lambda i: md5(array_to_string(w[i:i + {w - 1}], ' '))))) END AS x FROM k),
+c AS (SELECT x, min(rid) AS c FROM s GROUP BY x),
+m AS (SELECT doc_id, rid, len(s.x)::BIGINT AS n, CASE WHEN len(s.x) > 0 THEN c ELSE rid END AS c FROM s JOIN c ON s.x = c.x),
+e AS (SELECT c, len(x) AS n, unnest(x) AS v FROM c WHERE len(x) > 0),
+p AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.v = b.v AND a.c < b.c AND 100 * least(a.n, b.n) >= {mh.SIMILAR} * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {mh.SIMILAR} * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(c, t) AS (SELECT DISTINCT c, c FROM m UNION SELECT r.c, l.b FROM r JOIN l ON r.t = l.a),
+i AS (SELECT r.c, min(doc_id) AS component_id FROM r JOIN m ON r.t = m.c GROUP BY r.c)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(doc_id = component_id, component_id IS NULL) AS kept FROM m JOIN i USING (c)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, fill_in_middle, html_extract, oracle, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter, whitening
+from tessera.llm import decontaminate, fill_in_middle, html_extract, minhash, oracle, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter, whitening
 from tessera.llm.common import ship, table
 
 
@@ -51,6 +51,10 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_minhash_near_dedup": op11_minhash_near_dedup,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
@@ -92,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_suffix_dedup": oracle.suffix_sql(),
         "op6_substring_dedup": oracle.substring_sql(),
         "op10_benchmark_decontamination": oracle.decontamination_sql(),
+        "op11_minhash_near_dedup": oracle.minhash_sql(),
         "op13_fill_in_middle": oracle.fill_in_middle_sql(),
     }
