@@ -1115,3 +1115,23 @@ def example_lines_read(s, d):
 def example_lines_refused(s, d):
     _, bad = jsonl.permissive(_example_lines(s, d))
     return bad.groupBy("error").agg(F.count("*").alias("n"))
+
+
+# streams
+
+
+@query(
+    """, one AS (SELECT *, row_number() OVER (PARTITION BY judgment_id ORDER BY ord) AS a FROM pref),
+two AS (SELECT *, row_number() OVER (PARTITION BY annotator_id, pair_id ORDER BY ord, judgment_id) AS b FROM one WHERE a = 1)
+SELECT judgment_id, annotator_id, pair_id, winner FROM two WHERE b = 1"""
+)
+def judgment_log(s, d):
+    """The judgments in three parts, the log being stopped after each and started again; the first part comes again with the last."""
+    rows = b.preferences(s, d).select("judgment_id", "annotator_id", "pair_id", "ord", "winner")
+    where = sinks.scratch(s)
+    bounds = rows.stat.approxQuantile("ord", [1 / 3, 2 / 3], 0.01) or [0, 0]
+    parts = ["ord <= {0}", "ord > {0} and ord <= {1}", "ord > {1} or ord <= {0}"]
+    for part in parts:
+        rows.where(part.format(*bounds)).write.mode("append").parquet(f"{where}/in")
+        judgments.log_judgments(s.readStream.schema(rows.schema).parquet(f"{where}/in"), f"{where}/log", f"{where}/state").awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{where}/log").drop("ord")
