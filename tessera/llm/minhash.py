@@ -12,7 +12,7 @@ short list with whatever it is linked with. Classes with more values there (thos
 made of passages that many share) post their whole sketch, where the same holds. What
 is left then consists almost wholly of common passages. Its lists are compared with
 one pivot each, in rounds: lists within one component need no more, and when pivots
-bring no more links, the classes outside a list's main component are compared with
+bring few more links, the classes outside a list's main component are compared with
 all of the list.
 """
 
@@ -41,8 +41,9 @@ FIRST = 24
 SHORT = 32
 #: Chance that a linked pair shares fewer values than ``needed``.
 MISS = 1e-12
-#: Rounds of pivots before the rest is compared directly.
+#: Rounds of pivots before the rest is compared directly; they end when fewer than one in ``HELPFUL`` comparisons links.
 ROUNDS = 6
+HELPFUL = 4
 #: Rows of one key that one task joins; keys of more have copies of their value.
 SHARE = 1_000
 #: So many ids of wanted texts are broadcast (some 24 MB); more are joined by shuffle.
@@ -203,31 +204,39 @@ class Finder:
         return found if long is None else self.common_links(stored(long.select("v", "id", "n")), found)
 
     def apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """The pairs that the links do not join yet."""
-        label = stored(_labels(links))
+        """The pairs that the links, one to a smaller id for each ``a``, do not join yet."""
+        while True:
+            above = spread(links, links.select(F.col("a").alias("b"), F.col("b").alias("up")), "b").select("a", "up")
+            if above.isEmpty():
+                break
+            links = stored(links.join(above, "a", "left").select("a", F.coalesce("up", "b").alias("b")))
         for i in ("a", "b"):
-            pairs = pairs.join(label.select(F.col("node").alias(i), F.col("root").alias(f"r_{i}")), i, "left")
+            pairs = pairs.join(links.select(F.col("a").alias(i), F.col("b").alias(f"r_{i}")), i, "left")
         return pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
     def common_links(self, lists: DataFrame, found: DataFrame) -> DataFrame:
         """More links of the classes in the long ``lists`` (v, id, n), to be compared with each other."""
-        for r in range(ROUNDS + 1):
-            label = _labels(found).withColumnRenamed("node", "id")
-            at = stored(lists.join(label, "id", "left").select("v", "id", "n", F.coalesce("root", "id").alias("root")))
+        at = lists.withColumn("root", F.col("id"))
+        for r in range(ROUNDS):
             pivot = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("order"), "id", "n", "root"))
-            open_ = stored(at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot.alias("p"), F.count("*").alias("rows")).where("lo < hi"))
-            if open_.isEmpty():
+            pivots = stored(at.groupBy("v").agg(pivot.alias("p"), F.count("*").alias("rows")))
+            tried = lookup(at, pivots, "v", "rows").where((F.col("root") != F.col("p.root")) & _close(F.col("n"), F.col("p.n"), self.similar))
+            tried = stored(tried.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct())
+            new = self.confirmed(stored(self.estimated(tried)))
+            found = found.union(new)
+            at = self.open_lists(at, found)
+            if at.isEmpty():
                 return found
-            left = lookup(at, open_.select("v", "p", "rows"), "v", "rows")
-            if r == ROUNDS:
+            if new.count() * HELPFUL < tried.count():
                 break
-            tried = left.where((F.col("root") != F.col("p.root")) & _close(F.col("n"), F.col("p.n"), self.similar))
-            tried = tried.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
-            new = self.confirmed(stored(self.estimated(stored(tried))))
-            if new.isEmpty():
-                break
-            found = found.union(new)
-        return found.union(self.confirmed(stored(self.estimated(self.outside(stored(left.drop("p")))))))
+        return found.union(self.confirmed(stored(self.estimated(self.outside(at)))))
+
+    def open_lists(self, at: DataFrame, found: DataFrame) -> DataFrame:
+        """The lists that hold several components of the links, with every row's root."""
+        label = _labels(found).withColumnRenamed("node", "id")
+        at = stored(at.select("v", "id", "n").join(label, "id", "left").select("v", "id", "n", F.coalesce("root", "id").alias("root")))
+        several = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+        return stored(lookup(at, stored(several.select("v", "rows")), "v", "rows"))
 
     def outside(self, at: DataFrame) -> DataFrame:
         """(a, b) of the classes outside a list's main component with those of its other components that share enough lists."""
