@@ -72,13 +72,70 @@ def train_and_validation(rows: DataFrame, fallback: bool) -> tuple[DataFrame, Da
     return train, val
 
 
+#: Ranges that one pass of ``smallest`` counts, and how many rows it sorts.
+RANGES = 1024
+SORTED = 10_000
+#: Bits of the hash by which rows are dealt.
+DEAL_BITS = 60
+
+
+def dealt(key: Column, seed: int) -> Column:
+    """A seeded hash of a key, from 0 up to 2^60."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, DEAL_BITS // 4), 16, 10).cast("long")
+
+
+def smallest(rows: DataFrame, n: int, order: str, key: str) -> Column:
+    """A condition for the n rows with the smallest (order, key); order is a long from 0 up to 2^60.
+
+    Rows are counted by range, and the range that holds the n-th is narrowed down
+    until few rows are left to sort, so no task ranks them all. Rows of equal
+    order and key are taken together.
+    """
+    lo, bits, left = 0, DEAL_BITS, n
+    inside = rows.select(order, F.col(key).cast("string").alias("_key"))
+    while bits > 0 and n > 0:
+        bits = max(0, bits - RANGES.bit_length() + 1)
+        counts = inside.groupBy(F.shiftright(F.col(order) - lo, bits).alias("_range")).count().orderBy("_range").collect()
+        for r in counts:
+            if left <= r["count"]:
+                break
+            left -= r["count"]
+        lo += r["_range"] << bits
+        inside = inside.where(F.col(order).between(lo, lo + (1 << bits) - 1))
+        if r["count"] <= SORTED:
+            break
+    if n <= 0:
+        return F.lit(False)
+    edge = inside.orderBy(order, "_key").limit(left).agg(F.max(F.struct(F.col(order).alias("o"), F.coalesce("_key", F.lit("")).alias("k"))).alias("m")).first()["m"]
+    return (F.col(order) < edge["o"]) | ((F.col(order) == edge["o"]) & (F.coalesce(F.col(key).cast("string"), F.lit("")) <= edge["k"]))
+
+
 def seeded_split(rows: DataFrame, key: str, seed: int, fraction: float) -> DataFrame:
-    """``rows`` with column ``part``: labelled splits win; else about ``fraction`` go to val by a seeded hash of the key."""
-    labelled = not rows.where(F.col("split").isin("train", "val")).isEmpty()
-    if labelled:
-        return rows.withColumn("part", F.col("split"))
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    return rows.withColumn("part", F.when(share < fraction, "val").otherwise("train"))
+    """``rows`` with column ``part``, train or val; held-out rows are an error at run time.
+
+    Labelled rows keep their split. If there are train rows and no val, exactly
+    max(1, round(n * fraction)) of the n train rows become val, none of a single one;
+    the same without any labels, where one row at least stays in train. Which rows
+    they are follows from a seeded hash of the key, so repeated keys stay together.
+    Labelled rows beside others, or val rows without train rows, are refused. A
+    fraction of 0 or less carves nothing.
+    """
+    rows = refuse_held_out(rows)
+    kind = F.when(F.col("split").isin("train", "val"), F.col("split")).otherwise("none")
+    n = {r["kind"]: r["count"] for r in rows.groupBy(kind.alias("kind")).count().collect()}
+    labelled = n.get("train", 0) + n.get("val", 0)
+    if labelled and n.get("none"):
+        raise ValueError("rows with a train or val split beside rows without one")
+    if n.get("val") and not n.get("train"):
+        raise ValueError("there are no train rows")
+    if n.get("val") or fraction <= 0:
+        return rows.withColumn("part", F.when(F.col("split") == "val", "val").otherwise("train"))
+    whole = labelled or n.get("none", 0)
+    take = 0 if whole < 2 else max(1, round(whole * fraction))
+    if not labelled:
+        take = min(take, max(0, whole - 1))
+    hashed = rows.withColumn("_dealt", dealt(F.col(key), seed))
+    return hashed.withColumn("part", F.when(smallest(hashed, take, "_dealt", key), "val").otherwise("train")).drop("_dealt")
 
 
 @dataclass(frozen=True)

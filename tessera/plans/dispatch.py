@@ -9,12 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import align, analysis, divergence, guards, preferences, reward_model, selection, validation
+from tessera.operators import align, analysis, divergence, embedding_reward, guards, preferences, reward_model, selection, validation
 from tessera.plans import inference, report
 from tessera.sources import jsonl, sinks
 
@@ -242,13 +242,16 @@ def _grpo(spark, c, where, generate) -> dict:
 
 
 def _reward_model(spark, c, where, generate) -> dict:
-    parts = preferences.seeded_split(preferences.refuse_held_out(_pairs(spark, c)), "judgment_id", int(c.get("seed") or 0), float(c.get("val_fraction") or 0.2))
+    fraction = 0.25 if c.get("val_fraction") is None else float(c["val_fraction"])
+    parts = preferences.seeded_split(preferences.dpo_rows(_pairs(spark, c)), "judgment_id", int(c.get("seed") or 0), fraction).persist()
     train, val = parts.where("part = 'train'"), parts.where("part = 'val'")
-    model = reward_model.train(train)
-    model.write().save(f"{where}/model")
-    measure = lambda rows: reward_model.pair_metrics(reward_model.score(model, rows)).first().asDict()
-    sinks.write_rows(reward_model.score(model, val), f"{where}/val_scores")
-    return {"training": {"train": measure(train), "val": measure(val)}, "disclaimer": report.DISCLAIMER}
+    settings = embedding_reward.Settings(**{f.name: type(f.default)(c[f.name]) for f in fields(embedding_reward.Settings) if c.get(f.name) is not None})
+    model, history = embedding_reward.train(train, val, settings)
+    embedding_reward.save(spark, model, f"{where}/model")
+    measure = lambda rows: reward_model.pair_metrics(embedding_reward.score(model, rows)).first().asDict()
+    sinks.write_rows(embedding_reward.score(model, val), f"{where}/val_scores")
+    sinks.write_json(spark, f"{where}/history.json", history)
+    return {"training": {"train": measure(train), "val": measure(val), "history": history}, "disclaimer": report.DISCLAIMER}
 
 
 RUNNERS: dict[str, Callable[..., dict]] = {"baseline": _baseline, "temporal_shuffle": _temporal, "comparison": _comparison, "reward_hacking": _divergence, "dpo": _dpo, "grpo": _grpo, "reward_model": _reward_model}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import aggregates, intervals, sampling, scoring, text
-from tessera.operators import align, analysis, divergence, eligibility, guards, preferences, reward_model, selection, validation
+from tessera.operators import align, analysis, divergence, eligibility, embedding_reward, guards, preferences, reward_model, selection, validation
 from tessera.plans import bindings as b
 from tessera.sources import jsonl, sinks
 from tessera.streaming import judgments
@@ -1135,3 +1136,45 @@ def judgment_log(s, d):
         rows.where(part.format(*bounds)).write.mode("append").parquet(f"{where}/in")
         judgments.log_judgments(s.readStream.schema(rows.schema).parquet(f"{where}/in"), f"{where}/log", f"{where}/state").awaitTermination()
     return s.read.schema(rows.schema).parquet(f"{where}/log").drop("ord")
+
+
+# reward model
+
+
+@query(
+    """, f AS (SELECT judgment_id FROM pref WHERE winner IN ('a', 'b') AND split = 'train'), n AS (SELECT count(*) AS n FROM f),
+r AS (SELECT judgment_id, row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || judgment_id), 1, 15))::BIGINT, judgment_id) AS k FROM f)
+SELECT judgment_id, CASE WHEN n > 1 AND k <= greatest(1, round_even(n * 0.25, 0)) THEN 'val' ELSE 'train' END AS part FROM r, n"""
+)
+def preference_split(s, d):
+    rows = preferences.dpo_rows(b.preferences(s, d)).where("split = 'train'")
+    return preferences.seeded_split(rows, "judgment_id", 7, 0.25).select("judgment_id", "part")
+
+
+def _stated_model(names: list[str]) -> embedding_reward.Model:
+    """Weights by rule, so that SQL can say what they give."""
+    i = np.arange(len(names) + 2)
+    layers = {"w1": [[0.5, -0.25], [0.75, 1.0]], "b1": [0.1, 0.0], "w2": [[1.0, 0.5], [-0.5, 1.0]], "b2": [0.0, 0.05], "w3": [[0.8], [-0.6]], "b3": [0.2]}
+    return embedding_reward.Model(names, np.stack([(i * 7 % 11 - 5) / 5, (i * 5 % 13 - 6) / 6], axis=1), {k: np.array(v) for k, v in layers.items()})
+
+
+@query(
+    r""", t AS (SELECT judgment_id, '[TASK] ' || task || chr(10) || '[CLIP] ' || clip_id || chr(10) || '[INSTRUCTION] ' || instruction || chr(10) || '[RESPONSE] ' AS c,
+  CASE winner WHEN 'a' THEN response_a ELSE response_b END AS x, CASE winner WHEN 'a' THEN response_b ELSE response_a END AS y FROM pref WHERE winner IN ('a', 'b')),
+sides AS (SELECT judgment_id, 'x' AS side, c || x AS txt FROM t UNION ALL SELECT judgment_id, 'y', c || y FROM t),
+w AS (SELECT judgment_id, side, list_filter(string_split_regex(lower(txt), '\s+'), lambda x: x <> '') AS w FROM sides),
+voc AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS id FROM (SELECT DISTINCT unnest(w) AS word FROM w)),
+u AS (SELECT judgment_id, side, unnest(w[1:256]) AS word FROM w),
+p AS (SELECT judgment_id, side, avg((id * 7 % 11 - 5) / 5.0) AS p1, avg((id * 5 % 13 - 6) / 6.0) AS p2 FROM u JOIN voc USING (word) GROUP BY 1, 2),
+h AS (SELECT judgment_id, side, greatest(0.5 * p1 + 0.75 * p2 + 0.1, 0) AS h1, greatest(p2 - 0.25 * p1, 0) AS h2 FROM p),
+g AS (SELECT judgment_id, side, 0.8 * greatest(h1 - 0.5 * h2, 0) - 0.6 * greatest(0.5 * h1 + h2 + 0.05, 0) + 0.2 AS score FROM h),
+o AS (SELECT judgment_id, max(score) FILTER (side = 'x') AS cs, max(score) FILTER (side = 'y') AS rs FROM g GROUP BY 1)
+SELECT judgment_id, round(cs, 9) AS reward_chosen, round(rs, 9) AS reward_rejected, round(ln(1 + exp(rs - cs)), 9) AS bt_loss FROM o"""
+)
+def embedding_rewards(s, d):
+    rows = preferences.dpo_rows(b.preferences(s, d))
+    model = _stated_model(embedding_reward.frequent(embedding_reward.texts(rows), 50_000))
+    where = sinks.scratch(s)
+    embedding_reward.save(s, model, where)
+    out = embedding_reward.score(embedding_reward.load(s, where), rows)
+    return out.select("judgment_id", *(F.round(c, 9).alias(c) for c in ("reward_chosen", "reward_rejected", "bt_loss")))
