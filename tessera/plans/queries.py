@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import aggregates, intervals, sampling, scoring, text
+from tessera.functions import aggregates, canonical, intervals, sampling, scoring, text
 from tessera.operators import align, analysis, divergence, eligibility, embedding_reward, guards, preferences, reward_model, selection, validation
 from tessera.plans import bindings as b
-from tessera.sources import jsonl, sinks
+from tessera.sources import files, jsonl, sinks
 from tessera.streaming import judgments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1178,3 +1178,28 @@ def embedding_rewards(s, d):
     embedding_reward.save(s, model, where)
     out = embedding_reward.score(embedding_reward.load(s, where), rows)
     return out.select("judgment_id", *(F.round(c, 9).alias(c) for c in ("reward_chosen", "reward_rejected", "bt_loss")))
+
+
+# content ids of nested objects and of files
+
+
+@query(
+    """, o AS (SELECT doc_id, '{"id":' || doc_id || ',"meta":{"lang":' || coalesce('"' || lang || '"', 'null') || ',"sizes":[' || n_chars || ',{"k":' || n_chars % 7 || ',"z":null}],"source":' || coalesce('"' || source || '"', 'null') || '},"share":' || CAST(n_chars / 4.0::DOUBLE AS VARCHAR) || '}' AS j FROM documents)
+SELECT doc_id, j AS canonical, substr(sha256(j), 1, 16) AS fingerprint FROM o"""
+)
+def nested_fingerprints(s, d):
+    sizes = F.to_json(F.array(F.struct(F.lit(None).cast("string").alias("z"), (F.col("n_chars") % 7).alias("k"))), {"ignoreNullFields": "false"})
+    meta = F.to_json(F.struct("source", "lang"), {"ignoreNullFields": "false"})
+    text_of = F.concat(F.lit('{ "share" : '), (F.col("n_chars") / 4).cast("string"), F.lit(', "id":'), F.col("doc_id").cast("string"), F.lit(', "meta": '), F.regexp_replace(meta, r"\}$", ""), F.lit(',\n"sizes": ['), F.col("n_chars").cast("string"), F.lit(", "), F.substring(sizes, F.lit(2), F.length(sizes) - 2), F.lit("]}}"))
+    rows = b.table(s, d, "documents").select("doc_id", text_of.alias("payload"))
+    return rows.select("doc_id", canonical.canonical_object(F.col("payload")).alias("canonical"), canonical.config_fingerprint(F.col("payload")).alias("fingerprint"))
+
+
+@query("SELECT item_id, strlen(text || chr(10))::BIGINT AS length, sha256(text || chr(10)) AS digest FROM benchmark WHERE text IS NOT NULL")
+def item_file_digests(s, d):
+    where = sinks.scratch(s)
+    items = b.table(s, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("value"))
+    items.repartition("item_id").write.partitionBy("item_id").text(where)
+    kind = items.schema["item_id"].dataType
+    found = files.file_digests(s, where, "*.txt")
+    return found.select(F.url_decode(F.regexp_extract("path", "item_id=([^/]*)/", 1)).cast(kind).alias("item_id"), "length", "digest")
