@@ -23,6 +23,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ ROUNDS = 6
 HELPFUL = 4
 #: Rows of one key that one task joins; keys of more have copies of their value.
 SHARE = 1_000
+#: Classes of one side that a task compares with as many of the other.
+TOGETHER = 256
 #: So many ids of wanted texts are broadcast (some 24 MB); more are joined by shuffle.
 BROADCAST = 1_000_000
 
@@ -173,8 +176,7 @@ class Finder:
                     if len(sets) > 200:
                         sets.clear()
                     p, q = (sets[i] if i in sets else sets.setdefault(i, shingle_set(t)) for i, t in ((x, tx), (y, ty)))
-                    common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                    good.append(100 * common >= similar * (len(p) + len(q) - common))
+                    good.append(_similar(p, q, similar))
                 yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         both = spread(spread(pairs.select("a", "b"), of("a"), "a"), of("b"), "b").select("a", "b", "t_a", "t_b")
@@ -229,7 +231,7 @@ class Finder:
                 return found
             if new.count() * HELPFUL < tried.count():
                 break
-        return found.union(self.confirmed(stored(self.estimated(self.outside(at)))))
+        return found.union(self.joined(stored(self.outside(at))))
 
     def open_lists(self, at: DataFrame, found: DataFrame) -> DataFrame:
         """The lists that hold several components of the links, with every row's root."""
@@ -239,15 +241,50 @@ class Finder:
         return stored(lookup(at, stored(several.select("v", "rows")), "v", "rows"))
 
     def outside(self, at: DataFrame) -> DataFrame:
-        """(a, b) of the classes outside a list's main component with those of its other components that share enough lists."""
+        """(a, b, r) of the classes outside a list's main component with those of its other components r that share enough lists."""
         size = at.groupBy("v", "root").agg(F.count("*").alias("size"))
         main = stored(size.groupBy("v").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("rows")).select("v", F.col("m.root").alias("main"), "rows"))
         at = stored(lookup(at, main, "v", "rows"))
         x = at.where("root <> main").select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-        y = at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"), (F.col("root") == F.col("main")).alias("in_main"))
-        both = x.join(y, "v").where((F.col("r_a") != F.col("r_b")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & _close(F.col("n_a"), F.col("n_b"), self.similar))
-        shared = both.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.least("n_a", "n_b").alias("n")).agg(F.count("*").alias("shared"))
-        return shared.where(F.col("shared") >= self.least_shared(self.sketch)).select("a", "b")
+        y = at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r"), (F.col("root") == F.col("main")).alias("in_main"))
+        both = x.join(y, "v").where((F.col("r_a") != F.col("r")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & _close(F.col("n_a"), F.col("n_b"), self.similar))
+        shared = both.groupBy("a", "b", "r", F.least("n_a", "n_b").alias("n")).agg(F.count("*").alias("shared"))
+        return shared.where(F.col("shared") >= self.least_shared(self.sketch)).select("a", "b", "r").distinct()
+
+    def joined(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): one confirmed link at most from each class ``a`` of ``pairs`` to each block of a component r; kept.
+
+        A component's members and the classes compared with it are dealt into blocks of
+        some ``TOGETHER``, and a text is sent once to each pair of blocks that needs it.
+        """
+        blocks = lambda c: F.ceil(F.count_distinct(c) / TOGETHER).cast("int")
+        many = stored(pairs.groupBy("r").agg(blocks("a").alias("n_a"), blocks("b").alias("n_b")).where("n_a > 1 or n_b > 1"))
+        dealt = lambda c: F.pmod(F.xxhash64(c), F.coalesce(f"n_{c}", F.lit(1))).alias(f"k_{c}")
+        where = ["r", "k_a", "k_b"]
+        pairs = stored(pairs.join(F.broadcast(many), "r", "left").select("r", dealt("a"), dealt("b"), "a", "b"))
+        ids = pairs.select(*where, F.col("a").alias("id")).union(pairs.select(*where, F.col("b").alias("id"))).distinct()
+        none = F.lit(None)
+        rows = spread(ids, self.texts, "id").select(*where, "id", "t", none.cast("long").alias("b"))
+        rows = rows.union(pairs.select(*where, "a", none.cast("binary"), "b"))
+        similar = self.similar
+
+        def run(t: pa.Table) -> pa.Table:
+            text = t.filter(pc.is_valid(t["t"]))
+            sets = {i: shingle_set(x) for i, x in zip(text["id"].to_pylist(), text["t"].to_pylist())}
+            links: dict[int, int] = {}
+            told = t.filter(pc.is_valid(t["b"])).sort_by([("id", "ascending"), ("b", "ascending")])
+            for a, b in zip(told["id"].to_pylist(), told["b"].to_pylist()):
+                if a not in links and _similar(sets[a], sets[b], similar):
+                    links[a] = b
+            return pa.table({"a": pa.array(links.keys(), pa.int64()), "b": pa.array(links.values(), pa.int64())})
+
+        return stored(rows.groupBy(*where).applyInArrow(run, "a long, b long"))
+
+
+def _similar(p: np.ndarray, q: np.ndarray, similar: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``similar`` hundredths or more."""
+    common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+    return 100 * common >= similar * (len(p) + len(q) - common)
 
 
 def _labels(links: DataFrame) -> DataFrame:

@@ -55,6 +55,7 @@ def corpus(seed):
 def test_equals_all_pairs(spark, monkeypatch, seed, first, sketch, short, rounds):
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     monkeypatch.setattr(minhash, "SHARE", 5)
+    monkeypatch.setattr(minhash, "TOGETHER", 7)
     rows = corpus(seed)
     out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), first=first, sketch=sketch, short=short)
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()) == expected(rows)
