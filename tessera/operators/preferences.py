@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,6 +310,20 @@ def pending(queue: DataFrame, judgments: DataFrame, annotator: str | Column) ->
 
 
 def queue_positions(queue: DataFrame, order: str = "ord") -> DataFrame:
-    """1-based index of each row and the total. Ranks need one order over the queue, which a person works through."""
-    w = Window.orderBy(order)
-    return queue.withColumns({"index": F.row_number().over(w), "total": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    """1-based index of each row and the total.
+
+    A sketch of the order bounds as many ranges as there are shuffle partitions; rows are
+    counted by range, ranked inside it and shifted by the ranges before it. Rows of
+    equal order follow each other in any order, those without one come first.
+    """
+    n = max(1, int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = F.col(order).cast("double")
+    found = queue.select(place.alias("_place")).where("_place is not null").stat.approxQuantile("_place", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    bounds = [-math.inf, *sorted({b for b in found if math.isfinite(b)} or {0.0}), math.inf]
+    dealt = Bucketizer(splits=bounds, inputCol="_place", outputCol="_range", handleInvalid="keep").transform(queue.withColumn("_place", place))
+    dealt = dealt.withColumn("_range", F.when(F.col("_place").isNull(), -1.0).otherwise(F.col("_range"))).drop("_place")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # at most n + 2 rows
+    every = Window.orderBy("_range")
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("_size").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    index = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.join(F.broadcast(sizes), "_range").withColumn("index", index).select(*queue.columns, "index", "total")
