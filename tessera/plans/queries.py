@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import aggregates, canonical, intervals, sampling, scoring, text
 from tessera.operators import align, analysis, divergence, eligibility, embedding_reward, guards, preferences, reward_model, selection, validation
 from tessera.plans import bindings as b
+from tessera.plans import runs
 from tessera.sources import files, jsonl, sinks
 from tessera.streaming import judgments
 
@@ -1203,3 +1204,23 @@ def item_file_digests(s, d):
     kind = items.schema["item_id"].dataType
     found = files.file_digests(s, where, "*.txt")
     return found.select(F.url_decode(F.regexp_extract("path", "item_id=([^/]*)/", 1)).cast(kind).alias("item_id"), "length", "digest")
+
+
+# tables of runs
+
+
+@query(
+    """SELECT method_id || '_' || split AS run, avg(correct::INT) AS accuracy, CASE WHEN split = 'held_out' THEN count(correct)::BIGINT END AS n_examples,
+  CASE split WHEN 'train' THEN 'metrics.json' WHEN 'val' THEN 'held_out_eval.json' ELSE 'predictions.jsonl' END AS source FROM scored GROUP BY method_id, split"""
+)
+def run_accuracies(s, d):
+    """Train runs state their accuracy among others, validation runs state it alone, held-out ones have rows only."""
+    rows = _scored(s, d).select(F.concat_ws("_", "method_id", "split").alias("run"), "split", "example_id", "correct")
+    own = rows.groupBy("run", "split").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"), F.count("*").alias("n_examples"))
+    body = F.when(F.col("split") == "train", F.to_json(F.struct(F.col("accuracy").alias("overall_accuracy"), (-F.col("accuracy")).alias("accuracy")))).otherwise(F.to_json(F.struct("accuracy", "n_examples")))
+    name = F.when(F.col("split") == "train", "metrics.json").otherwise("held_out_eval.json")
+    docs = own.where("split <> 'held_out'").select("run", name.alias("document"), body.alias("body"))
+    later = docs.where("document = 'metrics.json'").select("run", F.lit("held_out_eval.json").alias("document"), F.lit('{"accuracy": 2}').alias("body"))
+    lines = rows.select("run", F.lit("predictions.jsonl").alias("document"), F.to_json(F.struct("example_id", "correct")).alias("body"))
+    worse = lines.select("run", F.lit("held_out_eval_rows.jsonl").alias("document"), F.lit('{"correct": false}').alias("body"))
+    return runs.accuracies(docs.union(later), lines.union(worse))
