@@ -45,9 +45,9 @@ FROM k LEFT JOIN tot USING (rid) LEFT JOIN kept USING (rid)"""
 
 
 def quality_sql() -> str:
-    rules = ", ".join(f"('{rule}', {step}, {cut}::DOUBLE)" for rule, cuts in qr.RULES.items() for step, cut in enumerate(cuts))
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in qr.RULES) + " END"
-    risk = qr.RISK / len(qr.RULES)
+    steps = ", ".join("(" + ", ".join([str(step), *(f"{qr.cutoff(rule, step)}::DOUBLE" for rule in qr.RULES)]) + ")" for step in range(qr.STEPS))
+    above = " OR ".join(f"{rule} > cut_{rule}" for rule in qr.RULES)
+    risk = qr.RISK
     w = qr.WINDOW
     return f"""WITH k AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS} AS w, row_number() OVER () AS rid FROM documents),
 win AS (SELECT rid, i, array_to_string(w[i:i + {w - 1}], ' ') AS h FROM (SELECT rid, w, unnest(range(1, len(w) - {w - 2})) AS i FROM k WHERE len(w) > {w})),
@@ -63,12 +63,12 @@ s AS (SELECT *, n_words < {qr.BASE_WORDS} OR 100 * n_repeat_words > {qr.BASE_REP
   CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS line_rate, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_rate FROM f),
 lab AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
 good AS (SELECT doc_id, lang AS stratum, {", ".join(f"max({r}) AS {r}" for r in qr.RULES)} FROM s JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
-cuts(rule, step, cut) AS (VALUES {rules}),
-c AS (SELECT stratum, rule, step, cut, count(*) AS n, count_if({value} > cut)::BIGINT AS k FROM good CROSS JOIN cuts GROUP BY 1, 2, 3, 4 HAVING count(*) >= {qr.OWN_STRATUM}),
+cuts(step, {", ".join(f"cut_{rule}" for rule in qr.RULES)}) AS (VALUES {steps}),
+c AS (SELECT stratum, step, count(*) AS n, count_if({above})::BIGINT AS k FROM good CROSS JOIN cuts GROUP BY 1, 2),
 p AS (SELECT *, CASE WHEN k > n * {risk} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS p FROM c),
-o AS (SELECT *, min((p <= {qr.LEVEL} / ((SELECT count(DISTINCT stratum) FROM c) * {len(qr.RULES)}))::INT) OVER (PARTITION BY stratum, rule ORDER BY step) = 1 AS certified FROM p),
-b AS (SELECT stratum, rule, min(cut) AS cut FROM o WHERE certified GROUP BY 1, 2),
-bad AS (SELECT DISTINCT s.rid FROM s JOIN b ON s.lang = b.stratum WHERE {value} > cut)
+o AS (SELECT *, min((p <= {qr.LEVEL} / (SELECT count(DISTINCT stratum) FROM c))::INT) OVER (PARTITION BY stratum ORDER BY step) = 1 AS certified FROM p),
+b AS (SELECT stratum, cuts.* FROM (SELECT stratum, max(step) AS step FROM o WHERE certified GROUP BY 1) JOIN cuts USING (step)),
+bad AS (SELECT DISTINCT s.rid FROM s JOIN b ON s.lang = b.stratum WHERE {above})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM s"""
 
 

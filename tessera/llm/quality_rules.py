@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Each rule rejects a document whose statistic lies above a cutoff. Cutoffs are
-tried from lenient to strict on labelled good documents: a cutoff is certified
-if so few of them are rejected that, were the true rate of false rejections
-``RISK`` / rules or more, seeing so few had an exact binomial probability of at
-most ``LEVEL`` / (strata x rules). Testing a rule ends with its first failure
-(fixed-sequence testing), strata and rules share the level (Bonferroni). So with
-confidence 1 - ``LEVEL`` no stratum loses more than ``RISK`` of its good
-documents by these rules. A stratum without certified cutoffs has the base alone.
+Each rule rejects a document whose statistic lies above a cutoff. The cutoffs of all
+rules go from lenient to strict together, in one fixed sequence of steps. On each
+stratum's labelled good documents a step is certified if so few of them are rejected
+by any rule that, were the true rate of false rejections ``RISK`` or more, seeing so
+few had an exact binomial probability of at most ``LEVEL`` / strata. Testing a stratum
+ends with its first failure (fixed-sequence testing); strata share the level
+(Bonferroni). So with confidence 1 - ``LEVEL`` no stratum loses more than ``RISK`` of
+its good documents by these rules. How many labels that takes is up to the test alone:
+with four strata some 86, if no step rejects one of them. A stratum without a
+certified step has the base alone.
 
 Statistics, tests and verdicts are built-in expressions. Statistics are computed
 once and stored; no text is shuffled, only the labels, the statistics that they
@@ -23,12 +25,10 @@ from tessera.llm.common import WORD_GAP, stored, text_of
 
 RISK = 0.05
 LEVEL = 0.05
-#: Labelled good documents that a stratum needs for cutoffs.
-OWN_STRATUM = 700
 BASE_WORDS = 20
 BASE_REPEAT_PERCENT = 30
 WINDOW = 8
-#: Rules with their cutoffs, lenient to strict.
+#: Rules with their cutoffs by step, lenient to strict; a rule with fewer stays at its last.
 RULES = {
     "symbol_rate": (2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05),
     "capital_rate": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15),
@@ -124,44 +124,51 @@ def measured(docs: DataFrame) -> DataFrame:
     return stored(statistics(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang")))
 
 
+STEPS = max(map(len, RULES.values()))
+
+
+def cutoff(rule: str, step: int) -> float:
+    return RULES[rule][min(step, len(RULES[rule]) - 1)]
+
+
 def tests(seen: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each stratum's, rule's and cutoff's test: n, k, p, and whether the sequence is certified so far.
+    """Each stratum's and step's test: n, k (rejected by any rule), p, and whether the sequence is certified so far.
 
     A labelled id counts once in a stratum, however many rows it has; of different
     rows each rule sees the highest value.
     """
     rows = seen.select("doc_id", "lang", "base_failed", *RULES).join(labelled(labels), "doc_id").where(~F.col("base_failed"))
     good = rows.groupBy("doc_id", "lang").agg(*[F.max(rule).alias(rule) for rule in RULES])
-    values = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("value"), F.array(*map(F.lit, cuts)).alias("cuts")) for name, cuts in RULES.items()])
-    each = good.select("lang", F.inline(values)).select("lang", "rule", "value", F.posexplode("cuts").alias("step", "cut"))
-    counts = each.groupBy(F.col("lang").alias("stratum"), "rule", "step", "cut").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("k"))
-    tried = counts.where(F.col("n") >= OWN_STRATUM).withColumn("p", binomial_tail("n", "k", RISK / len(RULES)))
-    everything = Window.partitionBy(F.lit(1))  # strata x rules x cutoffs, a few thousand rows at most
-    shared = F.size(F.collect_set("stratum").over(everything)) * len(RULES)
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    broken = []
+    for step in range(STEPS):
+        by_any = F.lit(False)
+        for rule in RULES:
+            by_any = by_any | (F.col(rule) > cutoff(rule, step))
+        broken.append(F.count_if(by_any).alias(f"k{step}"))
+    counts = good.groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("n"), *broken)
+    each = counts.select("stratum", "n", F.posexplode(F.array(*[f"k{step}" for step in range(STEPS)])).alias("step", "k"))
+    tried = each.withColumn("p", binomial_tail("n", "k", RISK))
+    shared = F.size(F.collect_set("stratum").over(Window.partitionBy(F.lit(1))))  # strata x steps, some hundred rows
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return tried.withColumn("certified", F.min((F.col("p") <= LEVEL / shared).cast("int")).over(so_far) == 1)
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[str, float]], list[str]]:
-    """rule -> stratum -> strictest certified cutoff, and the strata: some hundred numbers at most."""
+    """rule -> stratum -> cutoff of its strictest certified step, and the strata that have one."""
     return _cutoffs(measured(docs), labels)
 
 
 def _cutoffs(seen: DataFrame, labels: DataFrame) -> tuple[dict[str, dict[str, float]], list[str]]:
-    rows = tests(seen, labels).collect()
-    found: dict[str, dict[str, float]] = {rule: {} for rule in RULES}
-    for r in rows:
-        if r["certified"]:
-            found[r["rule"]][r["stratum"]] = min(r["cut"], found[r["rule"]].get(r["stratum"], r["cut"]))
-    return found, sorted({r["stratum"] for r in rows})
+    steps = {r["stratum"]: r["step"] for r in tests(seen, labels).where("certified").groupBy("stratum").agg(F.max("step").alias("step")).collect()}
+    return {rule: {stratum: cutoff(rule, step) for stratum, step in steps.items()} for rule in RULES}, sorted(steps)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every row.
 
     Null and empty texts have no words and fail the base. Strata are languages,
-    null being one of its own. For a language without enough labels no cutoff is
-    certified and the base alone decides.
+    null being one of its own. For a language whose labels certify no step the base
+    alone decides.
     Repeated rows and null doc_ids are judged like others; no rows give no rows;
     other columns are ignored.
     """

@@ -315,7 +315,8 @@ def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, ids: n
     """Open phrases (column ``open``) with their text, or the entries of their windows where the anchor is hot.
 
     ``cut`` gives the text of symbols lo to hi of a document; ``bucket_of`` the
-    buckets of phrases by anchor hash and by the text from the anchor on.
+    buckets of phrases by anchor hash and by the text from the anchor on. Of equal
+    rows a task sends one: whatever two of them have in common is settled.
     """
 
     def rows_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -344,7 +345,12 @@ def open_phrases(found: DataFrame, blocks: Blocks, width: int, gram: int, ids: n
             yield pa.RecordBatch.from_arrays([sent.column(0), sent.column(1), none, none, none, pa.nulls(sent.num_rows, pa.binary())], OPEN_NAMES)
 
     def run(batches):
+        sent: set[tuple] = set()
         for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "h"))))
+            first = {k: i for i, k in reversed(list(enumerate(keys))) if k not in sent}
+            sent.update(first)
+            b = b.take(pa.array(sorted(first.values()), pa.int64()))
             for lo in range(0, b.num_rows, 1000):
                 yield from rows_of(b.slice(lo, 1000))
 

@@ -219,3 +219,24 @@ def test_word_gap_is_ascii_white_space(spark):
     text = "a\x0b\x0c\r\n\t b\x1c\x85\xa0c"
     got = spark.createDataFrame([(text,)], "t string").select(F.split("t", WORD_GAP).alias("w")).first().w
     assert got == [w.decode() for w in text.encode().split()]
+
+
+def test_equal_rows_send_one_text(spark, monkeypatch):
+    """500 equal rows that share a passage with one other document: results as by brute force, no more texts compared than tasks read."""
+    r = random.Random(9)
+    text = "".join(r.choices("abcdefgh ", k=600))
+    rows = [(7, text, "x", 1, 2)] * 500 + [(8, "start " + text[100:180] + " end", "x", 1, 2), (None, text[300:420], "x", 1, 2)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    seqs = [t.encode() for _, t, *_ in rows]
+    flags = brute.covered(seqs, 20)
+    sent = []
+    whole = repeats.open_phrases
+
+    def counted(*a):
+        out = whole(*a)
+        sent.append(out.where("doc_id = 7 or doc_id is null").groupBy("doc_id", "h", "pos").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(repeats, "open_phrases", counted)
+    got = Counter((x.doc_id, x.n_removed) for x in suffix_dedup.remove_repeated_bytes(df, 20, 6).collect())
+    assert got == Counter((row[0], sum(f)) for row, f in zip(rows, flags)) and len(sent) == 1 and (sent[0] or 0) <= 4

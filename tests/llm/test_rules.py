@@ -70,6 +70,17 @@ def test_cutoffs_only_where_certified(spark):
     assert quality_rules.quality_verdicts(docs, labels).where("kept = base_failed").count() == 0
 
 
+def test_a_stratum_needs_as_many_labels_as_the_test_says(spark):
+    """One stratum: 59 good documents suffice without a rejection (0.95^59 < 0.05 < 0.95^58); 92 are not enough with one, 93 are."""
+    r = random.Random(5)
+    good = lambda: " ".join(r.choice("abcdefghij") + str(r.randint(0, 10**6)) for _ in range(30))
+    for n, odd, certified in ((58, 0, False), (59, 0, True), (92, 1, False), (93, 1, True)):
+        rows = [(i, good().replace(" ", "*** ") if i < odd else good(), "en") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        found, strata = quality_rules.cutoffs(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+        assert strata == (["en"] if certified else []) and all(len(x) == certified for x in found.values())
+
+
 def test_binomial_tail_of_many(spark):
     from math import exp, fsum, lgamma, log
 
@@ -89,7 +100,7 @@ def test_repeated_rows_certify_nothing(spark):
 
 
 def test_quality_verdicts_equal_their_sql(spark, tmp_path):
-    """Two languages with enough labels for certified cutoffs, one with too few."""
+    """Three languages with enough labels for certified steps, and rows without a language that have too few."""
     import duckdb
 
     from tessera.llm import oracle
@@ -106,7 +117,7 @@ def test_quality_verdicts_equal_their_sql(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     found, strata = quality_rules.cutoffs(docs, labels)
-    assert strata == ["en", "fr"] and all(found["symbol_rate"].get(x) and found["capital_rate"].get(x) for x in strata)
+    assert strata == ["de", "en", "fr"] and all(found["symbol_rate"].get(x) and found["capital_rate"].get(x) for x in strata)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     got = sorted(map(str, (tuple(x) for x in quality_rules.quality_verdicts(docs, labels).select(names).collect())))
     db = duckdb.connect()
