@@ -25,6 +25,9 @@ WINDOW = 5
 SIMILARITY = 0.8
 #: Tokens of a window that are no placeholders, at least; the others say too little.
 LITERALS = 2
+#: An item of fewer than ``WINDOW`` words that more documents hold, and more than this share of all, is common speech and no evidence.
+COMMON_LEAST = 100
+COMMON_SHARE = 0.001
 #: Benchmark windows that are broadcast at most, some 40 MB.
 BROADCAST_WINDOWS = 1_000_000
 #: Documents with a hit whose keys are broadcast at most, some 24 MB; with more, texts are joined by a shuffle.
@@ -160,8 +163,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document holds an item if ``SIMILARITY`` of the item's windows or more are
     in it, each with consistent slots. Counts are of the item's
     templates, or of its words as they are if only those are found. An item of fewer
-    than ``WINDOW`` words is held where all of them follow each other, so one of a
-    single common word is in many documents; one without words is never found. Null and empty texts hold nothing; repeated rows
+    than ``WINDOW`` words is held where all of them follow each other, unless more than
+    ``COMMON_LEAST`` documents and ``COMMON_SHARE`` of all rows hold it: then it is common
+    speech and none does; one without words is never found. Null and empty texts hold nothing; repeated rows
     give one row; a null doc_id or item_id is carried; empty tables give no rows;
     other columns are ignored.
     """
@@ -197,6 +201,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_class = hits.groupBy("doc_id", "h", "cls").agg(F.collect_list(F.struct("shift", "at")).alias("runs"))
     near = by_class.join(classes.select("cls", "n_windows"), "cls").where(F.size(F.array_distinct(F.flatten("runs.at"))) >= SIMILARITY * F.col("n_windows")).drop("n_windows")
     near = stored(near)
+    if short:
+        near = _telling(near, classes, docs)
     runs = near.withColumnsRenamed({"doc_id": "of_doc", "h": "of_text"}).hint("shuffle_hash")
     again = _of(texts, near).join(runs, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_text"))).select("doc_id", "h", raw_tokens(F.col("t")).alias("doc_raw"), "cls", "runs").dropDuplicates(["doc_id", "h", "cls"])
     whole = again.join(classes, "cls")
@@ -210,6 +216,14 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return kept.where(F.col("n_matched") >= SIMILARITY * F.col("n_windows")).select("doc_id", "h", "items", "shaped", "n_windows", "n_matched")
 
 
+def _telling(near: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``near`` without the classes of short items that too many documents hold; there are fewer of those than short items."""
+    few = classes.where(F.size("tpl") < WINDOW).select("cls")
+    bound = max(COMMON_LEAST, COMMON_SHARE * docs.count())
+    common = stored(near.join(few, "cls", "left_semi").groupBy("cls").count().where(F.col("count") > bound).select("cls"))
+    return near.join(F.broadcast(common), "cls", "left_anti")
+
+
 def _of(texts: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``texts`` (doc_id, h, t) that ``found`` names; no text is shuffled where those are few."""
     keys = found.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_text")).distinct()

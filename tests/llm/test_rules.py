@@ -423,3 +423,16 @@ def test_tokens_line_up(spark):
     first = df.first().b
     assert first[:4] == ["x5.5", "and", decontaminate.NUMBER, decontaminate.UNIT] and first[-5:] == [decontaminate.UNIT, decontaminate.NAME, decontaminate.NUMBER, decontaminate.NUMBER, decontaminate.UNIT]
     assert first[4:6] == [decontaminate.NAME, decontaminate.NUMBER]
+
+
+def test_common_speech_is_no_evidence(spark, monkeypatch):
+    """A one-word item in every document empties nothing; a rare one, and a long item in many documents, still count."""
+    rows = [(i, f"the text number {i} of these", "en") for i in range(300)] + [(900, "a zyzzyva came along", "en")]
+    rows += [(1000 + i, f"{i} what would the answer to this long question be now {i}", "en") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(1, "The"), (2, "Zyzzyva"), (3, "What would the answer to this long question be now"), (4, "number 7 of")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(900, 2), (7, 4), *((1000 + i, 3) for i in range(150))}
+    assert decontaminate.without_leaks(docs, items).count() == 299
+    monkeypatch.setattr(decontaminate, "COMMON_LEAST", 450)
+    assert sum(1 for r in decontaminate.leaks(docs, items).collect() if r.item_id == 1) == 450
