@@ -10,10 +10,11 @@ Linked sets share at least ``needed(m)`` of the m lowest values of their union,
 for a chance of ``MISS``. A class with fewer of its values in long lists thus shares a
 short list with whatever it is linked with. Classes with more values there (those
 made of passages that many share) post their whole sketch, where the same holds. What
-is left then consists almost wholly of common passages. Its lists are compared with
-one pivot each, in rounds: lists within one component need no more, and when pivots
-bring few more links, the classes outside a list's main component are compared with
-all of the list.
+is left then consists almost wholly of common passages; of its long lists a prefix has
+to be compared, rare lists first. Lists are compared with one pivot each, in rounds:
+those within one component need no more, and when pivots bring few more links, the
+classes outside a list's main component are compared with the others of the list, as
+far as the shingles that they share with any other allow a link.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup, raw_text, stored
@@ -138,6 +139,17 @@ class Finder:
         held = stored(posted.groupBy("v").agg(F.count("*").alias("length")).where("length > 1"))
         return stored(lookup(posted, held.withColumn("rows", F.col("length")), "v", "rows"))
 
+    def prefixes(self, long: DataFrame) -> DataFrame:
+        """Of the classes that may share long lists alone, the rows that have to be compared.
+
+        Whatever such a class of r rows is linked with shares ``least_shared`` of them, so the
+        first shared list, rare ones first, is among its first r - least_shared + 1, and
+        among those of the other.
+        """
+        own = Window.partitionBy("id")
+        ranked = long.withColumns({"rows": F.count("*").over(own), "nth": F.row_number().over(own.orderBy("length", "v")), "least": self.least_shared(self.posted)})
+        return ranked.where((F.col("rows") >= F.col("least")) & (F.col("nth") <= F.col("rows") - F.col("least") + 1)).select("v", "id", "n")
+
     def short_pairs(self, lists: DataFrame) -> DataFrame:
         """(a, b), a > b, once for each pair of classes in a short list."""
         few = lists.where(F.col("length") <= self.short)
@@ -163,38 +175,41 @@ class Finder:
         rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("id", "t")
         self.texts = stored(rows.dropDuplicates(["id"]))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) whose full sets are similar enough; kept."""
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, common): how many shingles the full sets of each pair have in common, and whether that links them; kept."""
         similar = self.similar
         of = lambda i: self.texts.select(F.col("id").alias(i), F.col("t").alias(f"t_{i}"))
 
         def run(batches):
             for b in batches:
                 sets: dict[int, np.ndarray] = {}
-                good = []
+                common, linked = [], []
                 for x, y, tx, ty in zip(*(b.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b"))):
                     if len(sets) > 200:
                         sets.clear()
                     p, q = (sets[i] if i in sets else sets.setdefault(i, shingle_set(t)) for i, t in ((x, tx), (y, ty)))
-                    good.append(_similar(p, q, similar))
-                yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    common.append(_common(p, q))
+                    linked.append(_similar(p, q, similar))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
 
         both = spread(spread(pairs.select("a", "b"), of("a"), "a"), of("b"), "b").select("a", "b", "t_a", "t_b")
-        return stored(both.mapInArrow(run, "a long, b long"))
+        return stored(both.mapInArrow(run, "a long, b long, common long, linked boolean"))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) whose full sets are similar enough; kept."""
+        return self.measured(pairs).where("linked").select("a", "b")
 
     def links(self) -> DataFrame:
         """(a, b) of enough confirmed links that the components are those of all links."""
         sets, pairs = self.sets, []
         for m in self.levels:
-            lists = self.lists(sets, m)
+            self.posted, lists = m, self.lists(sets, m)
             pairs.append(self.short_pairs(lists))
-            long = lists.where(F.col("length") > self.short)
-            more = stored(long.groupBy("id", "n").agg(F.count("*").alias("many")).where(F.col("many") >= self.least_shared(m)).select("id"))
-            if more.isEmpty():
+            long = stored(self.prefixes(lists.where(F.col("length") > self.short)))
+            if long.isEmpty():
                 long = None
                 break
-            long = long.join(more, "id")
-            sets = self.sets.join(more, "id")
+            sets = self.sets.join(long.select("id").distinct(), "id")
         near = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1]).distinct()
         near = stored(self.estimated(near))
         ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id")))
@@ -203,7 +218,7 @@ class Finder:
         found = self.confirmed(best)
         rest = near.join(best, ["a", "b"], "left_anti").select("a", "b")
         found = found.union(self.confirmed(self.apart(rest, found)))
-        return found if long is None else self.common_links(stored(long.select("v", "id", "n")), found)
+        return found if long is None else self.common_links(long, found)
 
     def apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
         """The pairs that the links, one to a smaller id for each ``a``, do not join yet."""
@@ -217,15 +232,32 @@ class Finder:
         return pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
     def common_links(self, lists: DataFrame, found: DataFrame) -> DataFrame:
-        """More links of the classes in the long ``lists`` (v, id, n), to be compared with each other."""
-        at = lists.withColumn("root", F.col("id"))
+        """More links of the classes in the long ``lists`` (v, id, n), to be compared with each other.
+
+        Linked sets have 85 / 185 of the sum of their sizes in common or more, and a class
+        has no more in common with any other than ``common``, its shingles that others
+        have. So classes with much of their own are left out at once, and a list's first
+        pivot is the class with the least of its own, to which most of the others are near.
+        """
+        at = lists.join(self.common_sizes(lists.select("id").distinct()), "id").withColumns({"root": F.col("id"), "with_p": F.lit(None).cast("long")})
         for r in range(ROUNDS):
-            pivot = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("order"), "id", "n", "root"))
+            smallest = stored(at.groupBy("v").agg(F.min("n").alias("n_least"), F.count("*").alias("rows")))
+            at = lookup(at, smallest, "v", "rows")
+            other = F.greatest(F.ceil(F.col("n") * self.similar / 100), "n_least")
+            at = stored(at.where(self.enough(F.col("common"), F.col("n") + other)).drop("n_least"))
+            first = (F.col("n") - F.col("common")) / F.col("n") if r == 0 else F.lit(0.0)
+            pivot = F.min(F.struct(first.alias("own"), F.xxhash64("id", F.lit(r)).alias("order"), "id", "n", "common", "root"))
             pivots = stored(at.groupBy("v").agg(pivot.alias("p"), F.count("*").alias("rows")))
-            tried = lookup(at, pivots, "v", "rows").where((F.col("root") != F.col("p.root")) & _close(F.col("n"), F.col("p.n"), self.similar))
-            tried = stored(tried.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct())
-            new = self.confirmed(stored(self.estimated(tried)))
+            near = _close(F.col("n"), F.col("p.n"), self.similar) & self.enough(F.least("common", "p.common"), F.col("n") + F.col("p.n"))
+            told = lookup(at, pivots, "v", "rows").withColumns({"a": F.greatest("id", "p.id"), "b": F.least("id", "p.id")})
+            tried = stored(told.where((F.col("root") != F.col("p.root")) & near).select("a", "b").distinct())
+            seen = self.measured(tried)
+            new = seen.where("linked").select("a", "b")
             found = found.union(new)
+            if r == 0:
+                both = seen.select("a", "b", F.col("common").alias("with_p"))
+                at = told.drop("with_p").join(both, ["a", "b"], "left").withColumn("with_p", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.col("with_p")))
+                at = stored(at.select("v", "id", "n", "common", "with_p", "root"))
             at = self.open_lists(at, found)
             if at.isEmpty():
                 return found
@@ -233,23 +265,48 @@ class Finder:
                 break
         return found.union(self.joined(stored(self.outside(at))))
 
+    def enough(self, common: Column, sizes: Column) -> Column:
+        """Whether so many common shingles suffice for a link between sets of so many in all."""
+        return common * (100 + self.similar) >= sizes * self.similar
+
     def open_lists(self, at: DataFrame, found: DataFrame) -> DataFrame:
         """The lists that hold several components of the links, with every row's root."""
         label = _labels(found).withColumnRenamed("node", "id")
-        at = stored(at.select("v", "id", "n").join(label, "id", "left").select("v", "id", "n", F.coalesce("root", "id").alias("root")))
+        at = stored(at.drop("root").join(label, "id", "left").select("v", "id", "n", "common", "with_p", F.coalesce("root", "id").alias("root")))
         several = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
         return stored(lookup(at, stored(several.select("v", "rows")), "v", "rows"))
 
     def outside(self, at: DataFrame) -> DataFrame:
-        """(a, b, r) of the classes outside a list's main component with those of its other components r that share enough lists."""
+        """(a, b, r) of the classes outside a list's main component with those of its other components r that they can be linked with.
+
+        Two sets that were measured against one pivot have in common at most the lesser of what
+        each has of the pivot, and the lesser of what each has besides that others have too.
+        """
         size = at.groupBy("v", "root").agg(F.count("*").alias("size"))
         main = stored(size.groupBy("v").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("rows")).select("v", F.col("m.root").alias("main"), "rows"))
         at = stored(lookup(at, main, "v", "rows"))
-        x = at.where("root <> main").select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-        y = at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r"), (F.col("root") == F.col("main")).alias("in_main"))
-        both = x.join(y, "v").where((F.col("r_a") != F.col("r")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & _close(F.col("n_a"), F.col("n_b"), self.similar))
-        shared = both.groupBy("a", "b", "r", F.least("n_a", "n_b").alias("n")).agg(F.count("*").alias("shared"))
-        return shared.where(F.col("shared") >= self.least_shared(self.sketch)).select("a", "b", "r").distinct()
+        x = at.where("root <> main").select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("common").alias("c_a"), F.col("with_p").alias("p_a"))
+        y = at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r"), F.col("common").alias("c_b"), F.col("with_p").alias("p_b"), (F.col("root") == F.col("main")).alias("in_main"))
+        most = F.least("c_a", "c_b")
+        by_pivot = F.least("p_a", "p_b") + F.least(F.col("c_a") - F.col("p_a"), F.col("c_b") - F.col("p_b"))
+        most = F.when(F.col("p_a").isNotNull() & F.col("p_b").isNotNull(), F.least(most, by_pivot)).otherwise(most)
+        able = _close(F.col("n_a"), F.col("n_b"), self.similar) & self.enough(most, F.col("n_a") + F.col("n_b"))
+        return x.join(y, "v").where((F.col("r_a") != F.col("r")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & able).select("a", "b", "r").distinct()
+
+    def common_sizes(self, ids: DataFrame) -> DataFrame:
+        """(id, common): how many shingles of its full set a class shares with any other of ``ids``."""
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 200):
+                    part = b.slice(lo, 200)
+                    sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                    own = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets))], ["id", "v"])
+
+        posted = stored(self.texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(run, "id long, v long"))
+        held = stored(posted.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1"))
+        return lookup(posted, held, "v", "rows").groupBy("id").agg(F.count("*").alias("common"))
 
     def joined(self, pairs: DataFrame) -> DataFrame:
         """(a, b): one confirmed link at most from each class ``a`` of ``pairs`` to each block of a component r; kept.
@@ -281,9 +338,14 @@ class Finder:
         return stored(rows.groupBy(*where).applyInArrow(run, "a long, b long"))
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    return len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+
+
 def _similar(p: np.ndarray, q: np.ndarray, similar: int) -> bool:
     """Whether the Jaccard similarity of two sorted sets is ``similar`` hundredths or more."""
-    common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+    common = _common(p, q)
     return 100 * common >= similar * (len(p) + len(q) - common)
 
 
