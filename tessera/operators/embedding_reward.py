@@ -233,3 +233,15 @@ def load(spark: SparkSession, path: str) -> Model:
     layers = {r["name"]: r for r in spark.read.parquet(f"{path}/layers").collect()}
     weights = {k: np.array(layers[k]["weights"]).reshape(layers[k]["shape"]) for k in LAYERS}
     return Model([r["word"] for r in rows[2:]], np.array([r["vector"] for r in rows]), weights, layers["w1"]["max_length"])
+
+
+def score_file(spark: SparkSession, preferences_path: str, model_path: str, out: str | None = None) -> DataFrame:
+    """The forced choices of a preference file scored by a stored model, written to ``out`` if that is given; nothing is trained."""
+    from tessera.operators.preferences import dpo_rows
+    from tessera.sources import jsonl, sinks
+
+    scored = score(load(spark, model_path), dpo_rows(jsonl.strict(jsonl.preferences(spark, preferences_path))))
+    if out is None:
+        return scored
+    sinks.write_rows(scored, out)
+    return spark.read.schema(scored.schema).json(out)

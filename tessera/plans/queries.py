@@ -1224,3 +1224,60 @@ def run_accuracies(s, d):
     lines = rows.select("run", F.lit("predictions.jsonl").alias("document"), F.to_json(F.struct("example_id", "correct")).alias("body"))
     worse = lines.select("run", F.lit("held_out_eval_rows.jsonl").alias("document"), F.lit('{"correct": false}').alias("body"))
     return runs.accuracies(docs.union(later), lines.union(worse))
+
+
+# single functions
+
+
+@query("SELECT example_id, method_id, CASE WHEN NOT missing THEN rm_score END AS reward, CASE WHEN NOT missing AND rm_score IS NOT NULL THEN 'reward_model' ELSE 'none' END AS reward_source FROM aligned LEFT JOIN rm USING (example_id, method_id)")
+def cell_rewards(s, d):
+    ex = b.examples(s, d)
+    return divergence.cell_rewards(_aligned(s, d, ex), b.model_scores(ex), SETTINGS).select("example_id", "method_id", "reward", "reward_source")
+
+
+@query("SELECT count_if(NOT missing AND reward IS NOT NULL AND (correct IS NULL OR abs(reward - correct::INT) >= 1e-9)) = 0 AS tied FROM aligned")
+def reward_ties(s, d):
+    ex = b.examples(s, d)
+    objective = divergence.Settings(before="m0", after="m1", quadrant_reward="objective")
+    return divergence.reward_is_accuracy(divergence.cell_rewards(_aligned(s, d, ex), b.model_scores(ex), objective), objective)
+
+
+@query(
+    """SELECT example_id, CASE WHEN a.correct AND b.correct THEN 'both_correct' WHEN NOT a.correct AND NOT b.correct THEN 'both_incorrect' WHEN a.correct THEN 'ordered_only' ELSE 'shuffled_only' END AS outcome
+FROM scored a JOIN scored b USING (example_id) WHERE a.method_id = 'm0' AND b.method_id = 'm1'"""
+)
+def paired_outcomes(s, d):
+    rows = _scored(s, d)
+    side = lambda m, name: rows.where(F.col("method_id") == m).select("example_id", F.col("correct").alias(name))
+    return side("m0", "o").join(side("m1", "s"), "example_id").select("example_id", scoring.paired_outcome(F.col("o"), F.col("s")).alias("outcome"))
+
+
+@query("SELECT example_id, method_id, parsed_answer IS NULL AS failed, coalesce(parsed_answer, regexp_extract(raw_text, 'Answer: (.*)$', 1)) AS prediction FROM pred")
+def extracted_predictions(s, d):
+    rows = b.predictions(b.examples(s, d))
+    raw, parsed = F.col("raw_text"), F.col("parsed_answer")
+    return rows.select("example_id", "method_id", text.parse_failure(raw, parsed).alias("failed"), text.extract_prediction(raw, parsed).alias("prediction"))
+
+
+@query(
+    r""", w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+v AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS id FROM (SELECT word FROM u GROUP BY 1 HAVING count(*) >= 2)),
+e AS (SELECT item_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM u LEFT JOIN v USING (word) WHERE pos <= 24 GROUP BY 1)
+SELECT item_id, array_to_string(list_concat(ids, list_transform(range(0, 24 - len(ids)), lambda i: 0)), ',') AS ids FROM e"""
+)
+def encoded_items(s, d):
+    items = b.table(s, d, "benchmark")
+    known = reward_model.vocabulary(items, "text", 2).agg(F.map_from_entries(F.collect_list(F.struct("word", "id"))).alias("known"))
+    ids = text.token_ids(F.col("text"), F.col("known"), 24)
+    return items.crossJoin(F.broadcast(known)).select("item_id", F.array_join(ids, ",").alias("ids"))
+
+
+@query(
+    """, t AS (SELECT judgment_id, ord, pair_id FROM pref UNION ALL SELECT judgment_id, ord + 1000000, pair_id FROM pref WHERE ord % 3 = 0)
+SELECT judgment_id, 'duplicate_judgment_id' AS code, (count(*) - 1)::BIGINT AS n FROM t GROUP BY 1 HAVING count(*) > 1"""
+)
+def repeated_judgments(s, d):
+    rows = b.preferences(s, d)
+    twice = rows.unionByName(rows.where("ord % 3 = 0").withColumn("ord", F.col("ord") + 1_000_000))
+    found = preferences.validate(twice).where("code = 'duplicate_judgment_id'")
+    return found.groupBy("judgment_id", "code").agg(F.count("*").alias("n"))
