@@ -62,7 +62,7 @@ def verdicts(stream: DataFrame) -> DataFrame:
     up, whether its row was taken or not. Null ids are one key like any other.
     """
     names = stream.columns
-    shape = StructType(stream.schema.fields).add("refused", "string")
+    shape = StructType([*stream.schema.fields]).add("refused", "string")
     rows = stream.withColumn("refused", F.lit(None).cast("string"))
     for keys, reason in ((["judgment_id"], SEEN_ID), (["annotator_id", "pair_id"], SEEN_PAIR)):
         rows = rows.groupBy(*keys).transformWithStateInPandas(FirstOnly(_order(names), reason), shape, "append", "none")
