@@ -3,6 +3,7 @@
 A text is the mean of its words' vectors, scored by two hidden layers. Weights are
 small and broadcast; a training step is one pass over the encoded pairs, in which
 every task gives the gradient of its pairs and the gradients are added in a tree.
+A stored model is joined with the words that it scores, so it may have any number of them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tessera.sources.sinks import scratch
 #: Ids of no word (never scored) and of an unknown one.
 PAD, UNKNOWN = 0, 1
 LAYERS = ("w1", "b1", "w2", "b2", "w3", "b3")
+#: A word that is read so often has its vector broadcast.
+OFTEN = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,10 +62,7 @@ class Model:
         """Scores, and what the gradient needs, of texts whose ids follow each other from ``begin`` on."""
         size = np.diff(np.r_[begin, len(ids)])[:, None]
         pooled = np.add.reduceat(self.embedding[ids], begin, axis=0) / size
-        m = self.layers
-        one = np.maximum(pooled @ m["w1"] + m["b1"], 0)
-        two = np.maximum(one @ m["w2"] + m["b2"], 0)
-        return {"size": size, "pooled": pooled, "one": one, "two": two, "score": (two @ m["w3"] + m["b3"])[:, 0]}
+        return {"size": size, "pooled": pooled, **_through(self.layers, pooled)}
 
     def backward(self, ids: np.ndarray, begin: np.ndarray, f: dict[str, np.ndarray], d: np.ndarray, into: dict[str, np.ndarray]) -> None:
         """Add the gradients for ``d``, those of the scores."""
@@ -82,6 +82,21 @@ class Model:
         return {"embedding": self.embedding, **self.layers}
 
 
+def _through(m: dict[str, np.ndarray], pooled: np.ndarray, times=np.matmul) -> dict[str, np.ndarray]:
+    """What both layers make of mean vectors, and the scores."""
+    one = np.maximum(times(pooled, m["w1"]) + m["b1"], 0)
+    two = np.maximum(times(one, m["w2"]) + m["b2"], 0)
+    return {"one": one, "two": two, "score": (times(two, m["w3"]) + m["b3"])[:, 0]}
+
+
+def _in_order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The product of two matrices, its terms added from the first on: the same for a row whatever rows are beside it."""
+    out = x[:, :1] * w[0]
+    for i in range(1, len(w)):
+        out = out + x[:, i : i + 1] * w[i]
+    return out
+
+
 def fresh(names: list[str], s: Settings) -> Model:
     """Seeded weights: normal vectors, layers uniform within the root of their inputs."""
     r = np.random.default_rng(s.seed)
@@ -99,10 +114,14 @@ def texts(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"x": words(pair_text(context, F.col("chosen"))), "y": words(pair_text(context, F.col("rejected")))})
 
 
+def each_word(sides: DataFrame) -> DataFrame:
+    """A row of ``word`` for each word of x and y."""
+    return sides.select(F.explode(F.array("x", "y")).alias("t")).select(F.explode("t").alias("word"))
+
+
 def frequent(sides: DataFrame, most: int) -> list[str]:
     """The ``most`` most frequent words of x and y, of equally frequent ones the first, in order."""
-    each = sides.select(F.explode(F.array("x", "y")).alias("t")).select(F.explode("t").alias("word"))
-    counted = each.groupBy("word").agg(F.count("*").alias("n")).where(~F.col("word").isin("<pad>", "<unk>"))
+    counted = each_word(sides).groupBy("word").agg(F.count("*").alias("n")).where(~F.col("word").isin("<pad>", "<unk>"))
     return sorted(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect())
 
 
@@ -219,20 +238,71 @@ def score(model: Model, pairs: DataFrame) -> DataFrame:
     return pair_scores(texts(pairs).select(*names, "x", "y").mapInArrow(run, shape))
 
 
+def score_stored(spark: SparkSession, path: str, pairs: DataFrame) -> DataFrame:
+    """``score`` by a stored model of any number of words, which stay in Spark; null texts have null rewards.
+
+    The words that are read are joined with their vectors: those of ``OFTEN`` rows or
+    more by broadcast, so that they never meet in one task, the others by shuffle. A
+    text's vectors are added in the order of its words, so that no digit of a reward
+    depends on how rows were dealt.
+    """
+    names = ["judgment_id", "pair_id", "clip_id", "split"]
+    layers, length = _layers(spark, path)
+    stored = spark.read.parquet(f"{path}/words")
+    unknown = stored.where(F.col("id") == UNKNOWN).first()["vector"]
+    vectors = stored.where(F.col("id") > UNKNOWN).select("word", "vector")
+    kept = scratch(spark)
+    texts(pairs).select(F.monotonically_increasing_id().alias("row"), *names, "x", "y").write.parquet(kept)
+    rows = spark.read.parquet(kept)
+    first = lambda c: F.when(F.size(c) > 0, F.slice(c, 1, length)).when(F.col(c).isNotNull(), F.array(F.lit(None).cast("string")))
+    side = lambda c: F.struct(F.lit(c).alias("side"), first(c).alias("words"))
+    read = rows.select("row", F.inline(F.array(side("x"), side("y")))).select("row", "side", F.posexplode("words").alias("nth", "word"))
+    often = F.broadcast(read.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("word"))
+    hot = F.broadcast(often.join(vectors, "word", "left"))
+    both = read.join(often, "word", "left_anti").join(vectors, "word", "left").unionByName(read.join(hot, "word"))
+    vector = F.coalesce("vector", F.array(*map(F.lit, unknown)))
+    listed = both.groupBy("row", "side").agg(F.array_sort(F.collect_list(F.struct("nth", vector.alias("vector")))).alias("v"))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column("v")
+            size = np.diff(v.offsets.to_numpy())
+            each = v.flatten().field("vector").flatten().to_numpy().reshape(-1, len(unknown))
+            mean = np.add.reduceat(each, np.cumsum(np.r_[0, size[:-1]]), axis=0) / size[:, None]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("side"), pa.array(_through(layers, mean, _in_order)["score"])], ["row", "side", "reward"])
+
+    rewards = listed.mapInArrow(run, "row long, side string, reward double")
+    of = lambda c, name: F.max(F.when(F.col("side") == c, F.col("reward"))).alias(name)
+    rewards = rewards.groupBy("row").agg(of("x", "reward_chosen"), of("y", "reward_rejected"))
+    return pair_scores(rows.select("row", *names).join(rewards, "row", "left").drop("row"))
+
+
 def save(spark: SparkSession, model: Model, path: str) -> None:
     """Two Parquet tables: words with their vectors, and layers."""
     rows = [(i, w, v.tolist()) for i, (w, v) in enumerate(zip(["<pad>", "<unk>", *model.words], model.embedding))]
-    spark.createDataFrame(rows, "id long, word string, vector array<double>").write.parquet(f"{path}/words")
-    layers = [(k, list(v.shape), v.ravel().tolist(), model.max_length) for k, v in model.layers.items()]
-    spark.createDataFrame(layers, "name string, shape array<long>, weights array<double>, max_length long").write.parquet(f"{path}/layers")
+    save_tables(spark.createDataFrame(rows, "id long, word string, vector array<double>"), model.layers, model.max_length, path)
+
+
+def save_tables(rows: DataFrame, weights: dict[str, np.ndarray], max_length: int, path: str) -> None:
+    """A model whose words (id, word, vector) are a table, ids 0 and 1 for padding and unknown words among them."""
+    rows.select("id", "word", "vector").write.parquet(f"{path}/words")
+    layers = [(k, list(v.shape), v.ravel().tolist(), max_length) for k, v in weights.items()]
+    rows.sparkSession.createDataFrame(layers, "name string, shape array<long>, weights array<double>, max_length long").write.parquet(f"{path}/layers")
+
+
+def _layers(spark: SparkSession, path: str) -> tuple[dict[str, np.ndarray], int]:
+    """The layers of a stored model and how many words of a text it reads."""
+    layers = {r["name"]: r for r in spark.read.parquet(f"{path}/layers").collect()}
+    return {k: np.array(layers[k]["weights"]).reshape(layers[k]["shape"]) for k in LAYERS}, layers["w1"]["max_length"]
 
 
 def load(spark: SparkSession, path: str) -> Model:
-    """A stored model; its words are as many as ``most_words`` allowed."""
+    """A stored model, as ``train`` gives it; its words are as many as ``most_words`` allowed."""
     rows = sorted(spark.read.parquet(f"{path}/words").collect(), key=lambda r: r["id"])
-    layers = {r["name"]: r for r in spark.read.parquet(f"{path}/layers").collect()}
-    weights = {k: np.array(layers[k]["weights"]).reshape(layers[k]["shape"]) for k in LAYERS}
-    return Model([r["word"] for r in rows[2:]], np.array([r["vector"] for r in rows]), weights, layers["w1"]["max_length"])
+    weights, max_length = _layers(spark, path)
+    return Model([r["word"] for r in rows[2:]], np.array([r["vector"] for r in rows]), weights, max_length)
 
 
 def score_file(spark: SparkSession, preferences_path: str, model_path: str, out: str | None = None) -> DataFrame:
@@ -240,7 +310,7 @@ def score_file(spark: SparkSession, preferences_path: str, model_path: str, out:
     from tessera.operators.preferences import dpo_rows
     from tessera.sources import jsonl, sinks
 
-    scored = score(load(spark, model_path), dpo_rows(jsonl.strict(jsonl.preferences(spark, preferences_path))))
+    scored = score_stored(spark, model_path, dpo_rows(jsonl.strict(jsonl.preferences(spark, preferences_path))))
     if out is None:
         return scored
     sinks.write_rows(scored, out)

@@ -113,3 +113,39 @@ def test_training_lowers_the_loss_and_a_stored_model_scores_alike(spark, tmp_pat
     assert er.score(model, val.limit(0)).collect() == []
     with pytest.raises(ValueError, match="no train"):
         er.train(rows.limit(0), None, er.Settings(epochs=1))
+
+
+def test_a_stored_model_may_have_more_words_than_one_in_memory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(er, "OFTEN", 20)  # some words by broadcast, others by shuffle
+    rows = pairs(spark)
+    sides = er.texts(rows)
+    model = er.fresh(er.frequent(sides, 15), er.Settings(embedding_dim=5, hidden_dim=4, max_length=6))
+    er.save(spark, model, str(tmp_path / "few"))
+    of = lambda frame: {r["judgment_id"]: (r["reward_chosen"], r["reward_rejected"]) for r in frame.collect()}
+    want, got = of(er.score(model, rows)), of(er.score_stored(spark, str(tmp_path / "few"), rows))
+    assert want.keys() == got.keys() and all(abs(x - y) < 1e-12 for k in want for x, y in zip(want[k], got[k]))
+    assert er.score_stored(spark, str(tmp_path / "few"), rows.limit(0)).collect() == []
+    holes = of(er.score_stored(spark, str(tmp_path / "few"), rows.withColumn("chosen", F.when(F.col("judgment_id") != "j1", F.col("chosen")))))
+    assert holes["j1"] == (None, got["j1"][1]) and holes["j2"] == got["j2"]
+
+
+def test_the_stated_model_knows_every_word(spark, tmp_path):
+    """More words than ``Settings.most_words``: each has its own vector, as in the query's SQL."""
+    import duckdb
+
+    from tessera.plans.queries import ORACLE, QUERIES
+
+    tables = "documents labels events benchmark".split()
+    for t in tables:
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    turn = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), (F.col("id") * 300 + i).cast("string"))))
+    turn = F.concat(turn, F.expr("repeat('x', int(id div 2 % 3))"))
+    talk = spark.range(300).select((F.col("id") / 2).cast("long").alias("conv_id"), (F.col("id") % 2).cast("int").alias("turn"), F.lit("assistant").alias("role"), turn.alias("text"))
+    talk.write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    for t in [*tables, "conversations"]:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(c.execute(ORACLE["embedding_rewards"]).fetchall())
+    got = sorted(map(tuple, QUERIES["embedding_rewards"](spark, str(tmp_path)).collect()))
+    assert len(want) * 600 > er.Settings().most_words and [r[0] for r in got] == [r[0] for r in want]
+    assert all(abs(x - y) < 2e-9 for r, s in zip(got, want) for x, y in zip(r[1:], s[1:]))
