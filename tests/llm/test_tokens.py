@@ -69,6 +69,18 @@ def test_a_difference_is_settled_by_the_library(monkeypatch):
     assert token_count.count_batch(texts, BPE, {}) == want and t.fast is None
 
 
+def test_every_document_is_decoded_by_the_library_too(monkeypatch):
+    m = piece_bpe.Model(PIECES)
+    monkeypatch.setitem(piece_bpe._models, PIECES, m)
+    decode = m.decode
+    texts = [f"number {i} of {'x ' * (i % 9)}" for i in range(25)]
+    ids = m.library.encode(texts)
+    monkeypatch.setattr(m, "decode", lambda x: "wrong" if list(x) == ids[13] else decode(x))
+    assert [x[2] for x in piece_bpe.encode_batch(texts, PIECES)] == m.library.decode(ids)
+    monkeypatch.setattr(m, "decode", lambda ids: "wrong")
+    assert [x[2] for x in piece_bpe.encode_batch(["", *texts[:1]], PIECES)][1] == m.library.decode(ids[0])
+
+
 def test_pieces_cut_at_single_spaces_only():
     text = " a b\n\nc d  e \tf\xa0 g h "
     assert "".join(token_count.pieces(text)) == text
