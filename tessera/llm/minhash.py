@@ -281,17 +281,21 @@ class Finder:
 
         Two sets that were measured against one pivot have in common at most the lesser of what
         each has of the pivot, and the lesser of what each has besides that others have too.
+        A pair meets in the first list alone that holds both: each list tells one class outside its
+        main component from the other of any two components, and any list's bounds are exact.
         """
         size = at.groupBy("v", "root").agg(F.count("*").alias("size"))
         main = stored(size.groupBy("v").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("rows")).select("v", F.col("m.root").alias("main"), "rows"))
-        at = stored(lookup(at, main, "v", "rows"))
-        x = at.where("root <> main").select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("common").alias("c_a"), F.col("with_p").alias("p_a"))
-        y = at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r"), F.col("common").alias("c_b"), F.col("with_p").alias("p_b"), (F.col("root") == F.col("main")).alias("in_main"))
+        of = at.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("lists"))
+        at = stored(lookup(at, main, "v", "rows").join(of, "id"))
+        x = at.where("root <> main").select("v", F.col("lists").alias("l_a"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("common").alias("c_a"), F.col("with_p").alias("p_a"))
+        y = at.select("v", F.col("lists").alias("l_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r"), F.col("common").alias("c_b"), F.col("with_p").alias("p_b"), (F.col("root") == F.col("main")).alias("in_main"))
         most = F.least("c_a", "c_b")
         by_pivot = F.least("p_a", "p_b") + F.least(F.col("c_a") - F.col("p_a"), F.col("c_b") - F.col("p_b"))
         most = F.when(F.col("p_a").isNotNull() & F.col("p_b").isNotNull(), F.least(most, by_pivot)).otherwise(most)
         able = _close(F.col("n_a"), F.col("n_b"), self.similar) & self.enough(most, F.col("n_a") + F.col("n_b"))
-        return x.join(y, "v").where((F.col("r_a") != F.col("r")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & able).select("a", "b", "r").distinct()
+        first = F.get(F.array_intersect("l_a", "l_b"), F.lit(0)) == F.col("v")
+        return x.join(y, "v").where((F.col("r_a") != F.col("r")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & able & first).select("a", "b", "r")
 
     def common_sizes(self, ids: DataFrame) -> DataFrame:
         """(id, common): how many shingles of its full set a class shares with any other of ``ids``."""

@@ -79,3 +79,14 @@ def test_bound_of_shared_values():
     for m in (1, 7, 24, 128):
         tail = lambda x: sum(comb(m, i) * 0.85**i * 0.15 ** (m - i) for i in range(x))
         assert tail(minhash.needed(m)) <= minhash.MISS * 1.0001 < tail(minhash.needed(m) + 1)
+
+
+def test_a_pair_meets_in_one_list(spark):
+    """Lists that hold the same classes, each with another main component, give a pair once, whichever way round."""
+    held = {v: [i for i in range(24) if (i + v) % 5] + [100 + 3 * i + v % 3 for i in range(20)] for v in range(7)}
+    rows = [(v, i, 100, 100, None, i % 3) for v, ids in held.items() for i in ids]
+    at = spark.createDataFrame(rows, "v long, id long, n long, common long, with_p long, root long").repartition(3)
+    finder = minhash.Finder(None, None, minhash.SIMILAR, minhash.FIRST, minhash.SKETCH, minhash.SHORT)
+    got = Counter(frozenset((r["a"], r["b"])) for r in finder.outside(at).collect())
+    assert set(got) == {frozenset((a, b)) for ids in held.values() for a in ids for b in ids if a % 3 != b % 3}
+    assert set(got.values()) == {1}
