@@ -239,7 +239,7 @@ class Finder:
         have. So classes with much of their own are left out at once, and a list's first
         pivot is the class with the least of its own, to which most of the others are near.
         """
-        at = lists.join(self.common_sizes(lists.select("id").distinct()), "id").withColumns({"root": F.col("id"), "with_p": F.lit(None).cast("long")})
+        at = self.able(lists).withColumns({"root": F.col("id"), "with_p": F.lit(None).cast("long")})
         for r in range(ROUNDS):
             smallest = stored(at.groupBy("v").agg(F.min("n").alias("n_least"), F.count("*").alias("rows")))
             at = lookup(at, smallest, "v", "rows")
@@ -265,6 +265,16 @@ class Finder:
                 break
         return found.union(self.joined(stored(self.outside(at))))
 
+    def able(self, lists: DataFrame) -> DataFrame:
+        """The rows of ``lists``, with ``common``, of the classes that have enough in common with others to be linked at all; kept.
+
+        Their rows are joined once and after that choice, as a class has up to ``sketch`` of them.
+        """
+        classes = lists.select("id", "n").distinct()
+        least = F.col("n") + F.ceil(F.col("n") * self.similar / 100)
+        some = self.common_sizes(classes.select("id")).join(classes, "id").where(self.enough(F.col("common"), least))
+        return stored(lists.join(some.select("id", "common"), "id"))
+
     def enough(self, common: Column, sizes: Column) -> Column:
         """Whether so many common shingles suffice for a link between sets of so many in all."""
         return common * (100 + self.similar) >= sizes * self.similar
@@ -286,8 +296,8 @@ class Finder:
         """
         size = at.groupBy("v", "root").agg(F.count("*").alias("size"))
         main = stored(size.groupBy("v").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("rows")).select("v", F.col("m.root").alias("main"), "rows"))
-        of = at.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("lists"))
-        at = stored(lookup(at, main, "v", "rows").join(of, "id"))
+        of = F.array_sort(F.collect_list("v").over(Window.partitionBy("id")))  # of retained values, so few
+        at = stored(lookup(at, main, "v", "rows").withColumn("lists", of))
         x = at.where("root <> main").select("v", F.col("lists").alias("l_a"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("common").alias("c_a"), F.col("with_p").alias("p_a"))
         y = at.select("v", F.col("lists").alias("l_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r"), F.col("common").alias("c_b"), F.col("with_p").alias("p_b"), (F.col("root") == F.col("main")).alias("in_main"))
         most = F.least("c_a", "c_b")

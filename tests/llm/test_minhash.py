@@ -1,6 +1,7 @@
 """Near-duplicates by shingle sets against all pairs."""
 
 import random
+import re
 from collections import Counter
 from math import comb
 
@@ -90,3 +91,37 @@ def test_a_pair_meets_in_one_list(spark):
     got = Counter(frozenset((r["a"], r["b"])) for r in finder.outside(at).collect())
     assert set(got) == {frozenset((a, b)) for ids in held.values() for a in ids for b in ids if a % 3 != b % 3}
     assert set(got.values()) == {1}
+
+
+def rows_by(spark, key, since):
+    """How many rows inner joins by ``key`` alone made in what ran after the first ``since`` executions."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    for run in (e.executionId() for e in each(store.executionsList()) if e.executionId() >= since):
+        values = store.executionMetrics(run)
+        for node in each(store.planGraph(run).allNodes()):
+            if re.search(rf"Join \[{key}#\d+L?\], \[{key}#\d+L?\], Inner", node.desc()):
+                told = [values.get(m.accumulatorId()) for m in each(node.metrics()) if m.name() == "number of output rows"]
+                made += sum(int(x.get().replace(",", "")) for x in told if x.isDefined())
+    return made
+
+
+def test_rows_of_long_lists_meet_their_class_once(spark, monkeypatch):
+    """A class has up to a sketch of them, so they are joined by id once, not again for each step that reads the result."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(400)]
+    texts = [" ".join([*common[k % 3 * 9 :], *(f"w{r.randrange(10**6)}" for _ in range(n))]) for k in range(40) for n in (30, 36, 130)]
+    rows = [(i, t, "x", 1, 2, 3) for i, t in enumerate(texts)]
+    seen, find = {}, minhash.Finder.common_links
+
+    def told(self, lists, found):
+        seen.update(rows=lists.count(), classes=lists.select("id").distinct().count(), since=spark._jsparkSession.sharedState().statusStore().executionsCount())
+        return find(self, lists, found)
+
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    monkeypatch.setattr(minhash.Finder, "common_links", told)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), short=4)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()) == expected(rows)
+    assert seen["rows"] > 20 * seen["classes"] > 1000
+    assert rows_by(spark, "id", seen["since"]) <= seen["rows"] + 5 * seen["classes"]
